@@ -31,6 +31,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives
+
+    made = derivatives(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "source_digest", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -49,8 +71,14 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import digests
+
+    return digests(table(spark, sf_dir, "documents"), size=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op7_bpe, op8_packing, op9_tiff)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_html, op5_urls, op7_bpe, op8_packing, op9_tiff, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "_b", most_bytes: in
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
