@@ -53,6 +53,13 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    training = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    return score(table(spark, sf_dir, "documents"), training)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -78,7 +85,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_html, op5_urls, op7_bpe, op8_packing, op9_tiff, op10_substring)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_html, op5_urls, op6_lm, op7_bpe, op8_packing, op9_tiff, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:

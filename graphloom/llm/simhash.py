@@ -228,3 +228,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = placed.join(least, "_root").select("_fp", "component_id")
     return fps.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2) -> DataFrame:
+    """The rows of ``docs`` but for near copies of a row with a smaller id; all columns stay.
+
+    Of rows repeated with the same id one stays.  Rows with null ids stay only if
+    no row of their component has an id, one for each text.
+    """
+    groups = near_duplicates(docs, id_col, text_col, shingle, max_diff)
+    keep = kept(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
+    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]), "inner")
+    once = rows.where("_n = 1").select(*[docs[c] for c in docs.columns])
+    again = rows.where("_n > 1").select(*[docs[c] for c in docs.columns])
+    return once.unionByName(again.dropDuplicates([id_col] if id_col == text_col else [id_col]))

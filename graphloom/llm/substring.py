@@ -334,5 +334,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     joined = packed.join(spans, ["_th", "_tk"], "left").select("_row", "_null", "_b", "_spans")
     kind = packed.schema["_row"].dataType.simpleString()
     out = joined.mapInArrow(run, f"_row {kind}, _null boolean, _b binary")
-    new = F.when("_null", F.lit(None)).otherwise(F.col("_b").cast("string"))
+    new = F.when(F.col("_null"), F.lit(None)).otherwise(F.col("_b").cast("string"))
     return out.select(*[new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
