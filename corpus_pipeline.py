@@ -1,10 +1,67 @@
-"""Cleaning pipeline over ``documents``: quality rules, near-duplicates, repeated passages, packing."""
+"""Cleaning pipeline over ``documents``: quality rules, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
+Parquet to the folder that all executors share and rereads it for the next stage.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.packing import pack
+from graphloom.llm.quality import keep_good
+from graphloom.llm.queries import vocabulary
+from graphloom.llm.simhash import keep_one
+from graphloom.llm.substring import dedup
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id.
+
+    Fingerprints of five-word shingles at 64 bits lie 4 to 14 bits apart at a
+    similarity of 0.8; those of word pairs lie closer, so the stage takes these.
+    """
+    return keep_one(docs, shingle=2, max_diff=6)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that one with a smaller id has."""
+    return dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 1024."""
+    return pack(docs, vocabulary())
+
+
+STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("packing", packing)]
+#: Suffix arrays, fingerprint components and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return out
+        out.write.parquet(f"{base}/{i}")
+        docs = spark.read.parquet(f"{base}/{i}")
+    return docs
