@@ -19,6 +19,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,16 @@ def vocabulary(known: DataFrame, s: Settings) -> Vocabulary:
     """From word counts; collects ``s.dictionary`` words and ``s.shared`` totals."""
     number = F.xxhash64(F.substring("w", -2, 2)).bitwiseAND(F.lit(s.shared - 1))
     sums = known.where(F.length("w") > 0).groupBy(number.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    top = known.where(F.length("w") > 0).orderBy(F.desc("c"), "w").limit(s.dictionary).collect()
+    # the dictionary: all words above a count that leaves at most ``s.dictionary`` of them
+    step = F.floor(F.log2("c") * 64).cast("int")
+    left, least = s.dictionary, None
+    for r in known.where(F.length("w") > 0).groupBy(step.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["k"]
+    chosen = known.where((F.length("w") > 0) & (step >= least)).collect() if least is not None else []
+    top = sorted(chosen, key=lambda r: (-r["c"], bytes(r["w"])))
     end = known.where(F.length("w") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     words, c = [END, *(bytes(r["w"]) for r in top)], np.array([end, *(r["c"] for r in top)], np.int64)
     single = np.arange(len(words)) <= s.words
@@ -153,7 +163,7 @@ class _Reader:
         parts = [[*t.lower().split(), END] for t in texts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         get = self.codes.__getitem__
-        return np.fromiter((get(w) for p in parts for w in p), np.int64, int(lengths.sum())), lengths
+        return np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(lengths.sum())), lengths
 
     def units(self, codes: np.ndarray) -> np.ndarray:
         v, rare = self.v, self.codes.rare
@@ -199,7 +209,7 @@ def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
         reader, n = _Reader(v), 0
         for b in slices(batches, most_bytes=12 << 20):
             codes, lengths = reader.read(b.column(0).to_pylist())
-            w, memory = gru.train(w, v.first, cut(codes, lengths, reader), end, memory, n_lanes=512)
+            w, memory = gru.train(w, v.first, cut(codes, lengths, reader), end, memory, n_lanes=1024)
             n += len(codes)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([_dump(w)], pa.binary())], names=["part", "n", "w"])
@@ -236,7 +246,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for b in slices(batches, most_bytes=12 << 20):
             codes, lengths = reader.read(b.column("_b").to_pylist())
             units = reader.units(codes)
-            model = gru.score(w, v.first, np.split(units, np.cumsum(lengths)[:-1]), v.end)
+            model = gru.score(w, v.first, np.split(units, np.cumsum(lengths)[:-1]), v.end, n_lanes=1024)
             text = np.repeat(np.arange(len(lengths)), lengths)
             total = lambda x: np.bincount(text, weights=x, minlength=len(lengths))
             in_dict = codes < fixed
