@@ -98,7 +98,7 @@ def representatives(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         entity = materialize(entity.unionByName(fresh))
         open_ = left
     best = pairs.join(entity, ["scope", "norm"], "left_semi").groupBy("scope", "other").agg(F.min_by("norm", "ord").alias("rep")).withColumnRenamed("other", "norm")
-    return labels.select("scope", "norm").join(best, ["scope", "norm"], "left").join(entity.withColumn("_own", F.lit(True)), ["scope", "norm"], "left").select("scope", "norm", F.when("_own", F.col("norm")).otherwise(F.coalesce("rep", "norm")).alias("rep") if False else F.when(F.col("_own"), F.col("norm")).otherwise(F.coalesce(F.col("rep"), F.col("norm"))).alias("rep"))
+    return labels.select("scope", "norm").join(best, ["scope", "norm"], "left").join(entity.withColumn("_own", F.lit(True)), ["scope", "norm"], "left").select("scope", "norm", F.when(F.col("_own"), F.col("norm")).otherwise(F.coalesce(F.col("rep"), F.col("norm"))).alias("rep"))
 
 
 def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def merge_nodes(resolved: DataFrame, keys: list[str] | None = None) -> DataFrame
     at = F.struct("graph_ord", "node_ord")
     heads = resolved.groupBy(*keys).agg(F.min(at).alias("first"), F.min_by(F.struct("label", "type"), at).alias("_head"), F.min_by("description", F.when(F.col("description") != "", at)).alias("description"))
     flat = resolved.select(*keys, at.alias("_at"), F.explode("properties").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.max_by("_v", "_at").alias("_v"))
-    props = flat.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias("properties")) if "variant" not in resolved.schema["properties"].dataType.simpleString() else flat.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("properties"))
+    props = flat.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("properties"))
     kind = resolved.schema["properties"].dataType.simpleString()
     return heads.join(props, keys, "left").select(*keys, "first", F.col("_head.label").alias("label"), F.col("_head.type").alias("type"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("properties", F.expr(f"cast(map() as {kind})")).alias("properties"))
 
