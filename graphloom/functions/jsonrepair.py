@@ -13,6 +13,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FENCE = re.compile(r"^\s*```[\w-]*\s*\n?|\n?\s*```\s*$")
 BARE = re.compile(r"[^\s,:\[\]{}\"']+")
@@ -176,7 +177,7 @@ def parse(raw: str | None) -> tuple[object, str]:
     return (got, "salvaged") if got else (None, "failed")
 
 
-@F.pandas_udf("struct<json:string,status:string>")
+@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("status", T.StringType())]))
 def repair_json(raw: pd.Series) -> pd.DataFrame:
     got = [parse(x) for x in raw]
     return pd.DataFrame({"json": [None if s == "failed" else json.dumps(v, ensure_ascii=False) for v, s in got], "status": [s for _, s in got]})

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER_LATIN = 0x2FFF
 
@@ -37,7 +38,7 @@ def normalize_text(label: str | None, keep_scripts: bool = True) -> str:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalize_udf(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: None if x is None else normalize_text(x))
 
@@ -72,7 +73,7 @@ def indel_ratio(a: str, b: str) -> int:
     return 200 * (len(a) - row.bit_count()) // total
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
 

@@ -1,11 +1,436 @@
-"""All queries by name and their SQL."""
+"""All queries by name, and the same in SQL.
+
+Graph queries run on a graph made from the star schema: customers, suppliers,
+nations and regions are nodes, in eight partial graphs that each repeat the
+nations and regions, with duplicate, looping and dangling edges among them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chunking, jsonrepair, text
+from ..operators import graph as G
+from ..operators import refine, resolve
+from ..schema import GENERIC_TYPES
+from ..sinks import export
+from ..sources import providers
+
+GRAPHS = 8
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------ the star schema as partial graphs
+def star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    many = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRAPHS - 1).cast("long")))
+    region, nation = (table(spark, d, t).withColumn("graph_ord", many) for t in ("region", "nation"))
+    supplier = table(spark, d, "supplier").withColumn("graph_ord", F.col("s_suppkey") % GRAPHS)
+    customer = table(spark, d, "customer").withColumn("graph_ord", F.col("c_custkey") % GRAPHS)
+    prop = lambda k, v: F.create_map(F.lit(k), F.col(v).cast("string"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+
+    def node(df, base, k, prefix, label, kind, props, about):
+        return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("node_ord"), key(prefix, k).alias("orig_id"), F.col(label).alias("label"), F.lit(kind).alias("type"), props.alias("properties"), about.alias("description"))
+
+    seen = F.when(F.col("graph_ord") >= 2, key("seen in ", "graph_ord")).otherwise("")
+    nodes = node(region, 0, "r_regionkey", "r", "r_name", "Region", prop("graph", "graph_ord"), seen)
+    nodes = nodes.unionByName(node(nation, 100, "n_nationkey", "n", "n_name", "Nation", prop("graph", "graph_ord"), seen))
+    nodes = nodes.unionByName(node(supplier, 1000, "s_suppkey", "s", "s_name", "Supplier", prop("nation", "s_nationkey"), F.lit("")))
+    nodes = nodes.unionByName(node(customer, 10_000_000, "c_custkey", "c", "c_name", "Customer", prop("segment", "c_mktsegment"), F.lit("")))
+
+    def edge(df, base, k, s, t, kind, label, evidence):
+        return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("edge_ord"), s.alias("source"), t.alias("target"), F.lit(kind).alias("type"), F.lit(label).alias("label"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit(evidence).alias("evidence"))
+
+    edges = edge(nation, 0, "n_nationkey", key("n", "n_nationkey"), key("r", "n_regionkey"), "IN_REGION", "lies in", "first")
+    edges = edges.unionByName(edge(nation, 100, "n_nationkey", key("n", "n_nationkey"), key("r", "n_regionkey"), "IN_REGION", "lies in", "again"))
+    edges = edges.unionByName(edge(region, 500, "r_regionkey", key("r", "r_regionkey"), key("r", "r_regionkey"), "SELF", "", ""))
+    edges = edges.unionByName(edge(region, 600, "r_regionkey", key("r", "r_regionkey"), F.lit("nobody"), "LOST", "", ""))
+    edges = edges.unionByName(edge(supplier, 1000, "s_suppkey", key("s", "s_suppkey"), key("n", "s_nationkey"), "RELATED_TO", "", "it's <here> & \"there\""))
+    edges = edges.unionByName(edge(customer.where("c_custkey % 5 <> 0"), 10_000_000, "c_custkey", key("c", "c_custkey"), key("n", "c_nationkey"), "IN_NATION", "lives in", ""))
+    return nodes, edges
+
+
+def merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = resolve.merge(*star(spark, d), threshold=101)
+    return nodes, resolve.prune(nodes, edges)
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Edges with ``ord`` from 0."""
+    return resolve.numbered(edges, ["graph_ord", "edge_ord"]).withColumn("ord", F.col("ord") - 1)
+
+
+_G = f"(SELECT unnest(range({GRAPHS})) AS g)"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(%s))), '[^\x00-\x7F]', '', 'g'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
+STAR = f"""
+raw_nodes AS (
+ SELECT g AS graph_ord, CAST(r_regionkey AS BIGINT) AS node_ord, 'r' || r_regionkey AS orig_id, r_name AS label, 'Region' AS type, 'graph' AS k, CAST(g AS VARCHAR) AS v, CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END AS description FROM region, {_G}
+ UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, n_name, 'Nation', 'graph', CAST(g AS VARCHAR), CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END FROM nation, {_G}
+ UNION ALL SELECT s_suppkey % {GRAPHS}, 1000 + s_suppkey, 's' || s_suppkey, s_name, 'Supplier', 'nation', CAST(s_nationkey AS VARCHAR), '' FROM supplier
+ UNION ALL SELECT c_custkey % {GRAPHS}, 10000000 + c_custkey, 'c' || c_custkey, c_name, 'Customer', 'segment', c_mktsegment, '' FROM customer),
+raw_edges AS (
+ SELECT g AS graph_ord, CAST(n_nationkey AS BIGINT) AS edge_ord, 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'IN_REGION' AS type, 'lies in' AS label, 'first' AS evidence FROM nation, {_G}
+ UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'IN_REGION', 'lies in', 'again' FROM nation, {_G}
+ UNION ALL SELECT g, 500 + r_regionkey, 'r' || r_regionkey, 'r' || r_regionkey, 'SELF', '', '' FROM region, {_G}
+ UNION ALL SELECT g, 600 + r_regionkey, 'r' || r_regionkey, 'nobody', 'LOST', '', '' FROM region, {_G}
+ UNION ALL SELECT s_suppkey % {GRAPHS}, 1000 + s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'RELATED_TO', '', 'it''s <here> & "there"' FROM supplier
+ UNION ALL SELECT c_custkey % {GRAPHS}, 10000000 + c_custkey, 'c' || c_custkey, 'n' || c_nationkey, 'IN_NATION', 'lives in', '' FROM customer WHERE c_custkey % 5 <> 0),
+keyed AS (SELECT *, lower(type) AS tk, {_NORM % 'label'} AS nl FROM raw_nodes),
+ents AS (SELECT tk, nl, min(struct_pack(a := graph_ord, b := node_ord)) AS first, arg_min(label, struct_pack(a := graph_ord, b := node_ord)) AS label, arg_min(type, struct_pack(a := graph_ord, b := node_ord)) AS type, coalesce(arg_min(description, struct_pack(a := graph_ord, b := node_ord)) FILTER (WHERE description <> ''), '') AS description, any_value(k) AS k, arg_max(v, struct_pack(a := graph_ord, b := node_ord)) AS v FROM keyed GROUP BY tk, nl),
+nodes AS (SELECT row_number() OVER (ORDER BY first) AS ord, 'n' || row_number() OVER (ORDER BY first) AS id, label, type, description, k, v, tk, nl FROM ents),
+ids AS (SELECT DISTINCT graph_ord, orig_id, id FROM keyed JOIN nodes USING (tk, nl)),
+mapped AS (SELECT e.graph_ord, e.edge_ord, s.id AS source, t.id AS target, e.type, e.label, e.evidence FROM raw_edges e JOIN ids s ON s.graph_ord = e.graph_ord AND s.orig_id = e.source JOIN ids t ON t.graph_ord = e.graph_ord AND t.orig_id = e.target),
+edges AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY graph_ord, edge_ord) AS rn FROM mapped WHERE source <> target) WHERE rn = 1),
+oedges AS (SELECT *, row_number() OVER (ORDER BY graph_ord, edge_ord) - 1 AS ord FROM edges)
+"""
+
+
+def on_star(select: str) -> str:
+    return f"WITH {STAR} {select}"
+
+
+# ------------------------------------------------------------ documents and chunks
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc_ord"), "text", "lang")
+
+
+_EST = "CAST(CASE WHEN length(text) <= 6000 THEN 1 ELSE greatest(1, ceil((length(text) - 500) / 5500.0)) END AS INTEGER)"
+_REPORT = f"SELECT CAST(doc_id AS VARCHAR) AS name, length(text) AS chars, {_EST} AS chunks, CAST(floor(length(text) / 4.0) AS BIGINT) AS tokens FROM documents"
+_CHUNKS = r"""WITH RECURSIVE w(doc_ord, text, start, cut, k) AS (
+ SELECT doc_id, text, 0, CASE WHEN length(text) <= {s} THEN length(text) ELSE b END, 0 FROM (SELECT doc_id, text, CASE WHEN strpos(reverse(substr(text, 1, {s})), chr(10)) > 0 AND {s} - strpos(reverse(substr(text, 1, {s})), chr(10)) - {o} > 0 THEN {s} - strpos(reverse(substr(text, 1, {s})), chr(10)) ELSE {s} END AS b FROM documents WHERE length(text) > 0)
+ UNION ALL
+ SELECT doc_ord, text, st, CASE WHEN length(text) <= st + {s} THEN length(text) WHEN strpos(reverse(substr(text, st + 1, {s})), chr(10)) > 0 AND {s} - strpos(reverse(substr(text, st + 1, {s})), chr(10)) - {o} > 0 THEN st + {s} - strpos(reverse(substr(text, st + 1, {s})), chr(10)) ELSE st + {s} END, k + 1 FROM (SELECT doc_ord, text, cut - {o} AS st, k FROM w WHERE cut < length(text))),
+c AS (SELECT doc_ord, CAST(row_number() OVER (PARTITION BY doc_ord ORDER BY k) - 1 AS INTEGER) AS chunk_idx, t AS text FROM (SELECT doc_ord, k, trim(substr(text, start + 1, cut - start), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM w) WHERE t <> '')
+"""
+
+
+@query(_EST.join(["SELECT doc_id AS doc_ord, ", " AS chunks FROM documents"]))
+def doc_chunk_estimate(spark, d):
+    return docs(spark, d).select("doc_ord", chunking.estimate_chunks(F.length("text"), 6000, 500).alias("chunks"))
+
+
+@query(_REPORT)
+def dry_run_report(spark, d):
+    return chunking.dry_run(docs(spark, d).withColumn("name", F.col("doc_ord").cast("string")))
+
+
+@query(f"SELECT count(*) AS files, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) * 30 / 3 / 60.0 AS minutes FROM ({_REPORT})")
+def dry_run_total(spark, d):
+    return chunking.dry_run_total(dry_run_report(spark, d), workers=3)
+
+
+@query(_CHUNKS.format(s=1000, o=100) + "SELECT doc_ord, chunk_idx, text FROM c")
+def chunk_boundary(spark, d):
+    return chunking.chunks(docs(spark, d), 1000, 100)
+
+
+@query(_CHUNKS.format(s=6000, o=500) + "SELECT lang, count(*) AS n, CAST(sum(length(c.text)) AS BIGINT) AS chars, max(length(c.text)) AS longest FROM c JOIN documents ON doc_ord = doc_id GROUP BY lang")
+def chunk_stats_by_lang(spark, d):
+    cut = chunking.chunks(docs(spark, d))
+    return cut.join(docs(spark, d).select("doc_ord", "lang"), "doc_ord").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("""WITH f AS (SELECT doc_id AS doc_ord, replace(replace(text, chr(10), ''), ' ', '_') AS text FROM documents), k AS (SELECT doc_ord, text, CAST(unnest(range(0, CAST(greatest(0, ceil((length(text) - 1000) / 900.0)) AS BIGINT) + 1)) AS INTEGER) AS chunk_idx FROM f WHERE length(text) > 0) SELECT doc_ord, chunk_idx, substr(text, chunk_idx * 900 + 1, 1000) AS text FROM k""")
+def chunk_fixed_window(spark, d):
+    flat = docs(spark, d).withColumn("text", F.replace(F.replace("text", F.lit("\n"), F.lit("")), F.lit(" "), F.lit("_")))
+    return chunking.fixed_windows(flat, 1000, 100)
+
+
+@query("SELECT doc_id AS doc_ord FROM documents WHERE regexp_matches(text, '\\S')")
+def nonblank_docs(spark, d):
+    from ..sources.files import not_blank
+
+    return not_blank(docs(spark, d)).select("doc_ord")
+
+
+@query(f"SELECT label, {_NORM % 'label'} AS norm FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS label FROM documents) WHERE regexp_matches(label, '[A-Za-z0-9]')")
+def label_normalize(spark, d):
+    words = docs(spark, d).select(F.explode(F.split("text", " ")).alias("label")).distinct()
+    return words.select("label", text.normalize_label(F.col("label")).alias("norm")).where(F.col("label").rlike("[A-Za-z0-9]"))
+
+
+@query("SELECT event_type, k, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
+def json_graph_ingest(spark, d):
+    parsed = table(spark, d, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k"))
+    return parsed.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '[CSV — ' || (SELECT count(*) FROM nation) || ' righe, 3 colonne]' AS line, -1 AS pos UNION ALL SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |', n_nationkey FROM nation")
+def csv_pipe_render(spark, d):
+    n = table(spark, d, "nation")
+    head = n.agg(F.concat(F.lit("[CSV — "), F.count("*").cast("string"), F.lit(" righe, 3 colonne]")).alias("line")).withColumn("pos", F.lit(-1))
+    return head.unionByName(n.select(text.pipe_row(*[F.col(c) for c in n.columns]).alias("line"), F.col("n_nationkey").alias("pos")))
+
+
+@query("SELECT event_id, props FROM events WHERE json_valid(props) ORDER BY event_id LIMIT 100")
+def jsonl_first100(spark, d):
+    e = table(spark, d, "events")
+    return e.where(F.try_parse_json("props").isNotNull()).orderBy("event_id").limit(100).select("event_id", "props")
+
+
+@query("SELECT page_id, length(html) AS chars, CASE WHEN lower(url) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(url), '\\.html?$') THEN 'text' ELSE 'other' END AS kind FROM pages")
+def ext_dispatch(spark, d):
+    ext = text.suffix(F.col("url"))
+    return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("chars"), F.when(ext == ".pdf", "pdf").when(ext.isin(".htm", ".html"), "text").otherwise("other").alias("kind"))
+
+
+_CASES = [("fence", '```json\n{"a": 1}\n```', '{"a": 1}', "repaired"), ("comma", '{"a": [1, 2,],}', '{"a": [1, 2]}', "repaired"), ("literal", '{"a": None, "b": True}', '{"a": null, "b": true}', "repaired"), ("string", '{"a": "None, // not",}', '{"a": "None, // not"}', "repaired"), ("cut", '{"nodes": [{"id": "n1", "label": "A"}', '{"nodes": [{"id": "n1", "label": "A"}]}', "repaired"), ("text", "I cannot help", None, "failed"), ("bare", "{a: 'x y', /* c */ b: 2} // end", '{"a": "x y", "b": 2}', "repaired")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in (n, out, status)) + ")" for n, _, out, status in _CASES) + ") AS t(name, json, status)")
+def json_repair(spark, d):
+    rows = spark.createDataFrame([(n, raw) for n, raw, _, _ in _CASES], "name string, raw string")
+    return rows.select("name", jsonrepair.repair_json("raw").alias("r")).select("name", "r.json", "r.status")
+
+
+# ------------------------------------------------------------ merging
+@query(on_star("SELECT ord, id, label, type FROM nodes"))
+def merge_exact_nodes(spark, d):
+    nodes, edges = star(spark, d)
+    return resolve.merge(nodes, edges, 101)[0].select("ord", "id", "label", "type")
+
+
+@query(on_star("SELECT id, '{\"' || k || '\":\"' || v || '\"}' AS props FROM nodes"))
+def merge_props_last_wins(spark, d):
+    return merged(spark, d)[0].select("id", export.props_json().alias("props"))
+
+
+@query(on_star("SELECT id, description FROM nodes"))
+def merge_desc_first(spark, d):
+    return merged(spark, d)[0].select("id", "description")
+
+
+@query(on_star("SELECT graph_ord, edge_ord, source, target, type FROM mapped"))
+def edge_remap(spark, d):
+    return resolve.merge(*star(spark, d), 101)[1].select("graph_ord", "edge_ord", "source", "target", "type")
+
+
+@query(on_star("SELECT graph_ord, edge_ord, source, target, type, label, evidence FROM edges"))
+def prune_edges(spark, d):
+    return merged(spark, d)[1].drop("properties")
+
+
+@query(on_star("SELECT type, count(*) AS n FROM edges GROUP BY type"))
+def two_level_merge(spark, d):
+    nodes, edges = (df.withColumn("doc_ord", F.col("graph_ord")) for df in star(spark, d))
+    return G.edge_type_counts(resolve.merge_two_levels(nodes, edges, 101)[1])
+
+
+def _fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
+    words = docs(spark, d).select("doc_ord", F.posexplode(F.split("text", r"\s+")).alias("pos", "label"))
+    return words.where(F.length("label") >= 12)
+
+
+@query()
+def fuzzy_merge(spark, d):
+    """Entities among the long words of all documents at a threshold of 90."""
+    w = _fuzzy_labels(spark, d)
+    nodes = w.select(F.col("doc_ord").alias("graph_ord"), F.col("pos").alias("node_ord"), "label", F.lit("Word").alias("type"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit("").alias("description"))
+    return resolve.merge_nodes(resolve.entities(nodes, 90)).select("rep", "label")
+
+
+# ------------------------------------------------------------ questions
+@query(on_star("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS isolated"))
+def graph_stats(spark, d):
+    return G.stats(*merged(spark, d)).select("nodes", "edges", "isolated")
+
+
+@query(on_star("SELECT type, count(*) AS n FROM nodes GROUP BY type"))
+def node_type_counts(spark, d):
+    return G.node_type_counts(merged(spark, d)[0])
+
+
+@query(on_star("SELECT type, count(*) AS n FROM edges GROUP BY type"))
+def edge_type_counts(spark, d):
+    return G.edge_type_counts(merged(spark, d)[1])
+
+
+@query(on_star("SELECT id, label FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)"))
+def isolated_nodes(spark, d):
+    return G.isolated_nodes(*merged(spark, d)).select("id", "label")
+
+
+@query(on_star("SELECT id, (SELECT count(*) FROM (SELECT source AS x FROM edges UNION ALL SELECT target FROM edges) WHERE x = id) AS degree FROM nodes"))
+def node_degree(spark, d):
+    return G.degrees(*merged(spark, d))
+
+
+@query(on_star("SELECT source, target, type, count(*) OVER p AS n_parallel, row_number() OVER (p ORDER BY graph_ord, edge_ord) - 1 AS parallel_idx FROM mapped WHERE source <> target WINDOW p AS (PARTITION BY least(source, target), greatest(source, target))"))
+def parallel_edges(spark, d):
+    edges = resolve.merge(*star(spark, d), 101)[1].where("source <> target")
+    return G.parallel_edges(edges).select("source", "target", "type", "n_parallel", F.col("parallel_idx").cast("long"))
+
+
+_HOPS = "WITH RECURSIVE " + STAR + ", und AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), hop(id, hop) AS (SELECT id, 0 FROM nodes WHERE label = 'ASIA' OR type = 'Region' AND ord = 1 UNION SELECT b, hop + 1 FROM hop JOIN und ON a = id WHERE hop < {k}) SELECT id, min(hop) AS hop FROM hop GROUP BY id"
+
+
+def _hops(spark, d, k):
+    nodes, edges = merged(spark, d)
+    return G.k_hop(edges, nodes.where("label = 'ASIA' OR type = 'Region' AND ord = 1"), k)
+
+
+@query(_HOPS.format(k=1))
+def k_hop_1(spark, d):
+    return _hops(spark, d, 1)
+
+
+@query(_HOPS.format(k=2))
+def k_hop_2(spark, d):
+    return _hops(spark, d, 2)
+
+
+@query(on_star("SELECT id, label FROM nodes WHERE contains(lower(label), 'an')"))
+def node_search(spark, d):
+    return G.search(merged(spark, d)[0], " AN ").select("id", "label")
+
+
+@query(on_star("SELECT id, type FROM nodes WHERE type IN ('Region', 'Nation')"))
+def type_filter(spark, d):
+    return G.of_types(merged(spark, d)[0], ["Region", "Nation"]).select("id", "type")
+
+
+_COLORS = "colors AS (SELECT type, CAST(row_number() OVER (ORDER BY min(ord)) - 1 AS INTEGER) AS rank FROM nodes GROUP BY type), palette AS (SELECT type, rank, [" + ", ".join(f"'{c}'" for c in G.PALETTE) + "][rank % 15 + 1] AS color FROM colors)"
+
+
+@query(f"WITH {STAR}, {_COLORS} SELECT type, rank, color FROM palette")
+def type_colors(spark, d):
+    return G.type_colors(merged(spark, d)[0])
+
+
+@query(f"WITH {STAR}, {_COLORS} SELECT ord, id, label, type, color, description AS \"desc\" FROM nodes JOIN palette USING (type)")
+def viewer_nodes(spark, d):
+    return G.viewer_nodes(merged(spark, d)[0]).drop("props")
+
+
+@query(on_star("SELECT source, target, type, label, evidence FROM edges"))
+def viewer_edges(spark, d):
+    return G.viewer_edges(*merged(spark, d)).drop("props")
+
+
+# ------------------------------------------------------------ refinement
+_GENERIC = ", ".join(f"'{t}'" for t in GENERIC_TYPES)
+_BATCH = f"""{STAR}, batches AS (SELECT *, (row_number() OVER (PARTITION BY graph_ord ORDER BY edge_ord) - 1) // 30 AS batch, (row_number() OVER (PARTITION BY graph_ord ORDER BY edge_ord) - 1) % 30 AS pos FROM edges WHERE upper(trim(type)) IN ({_GENERIC}) OR trim(label) = '')"""
+
+
+def _batches(spark, d):
+    return refine.batched(merged(spark, d)[1].where(refine.needs_enrichment()), 30)
+
+
+@query(f"WITH {_BATCH} SELECT graph_ord, edge_ord, batch, pos FROM batches")
+def batch_assign(spark, d):
+    return _batches(spark, d).select("graph_ord", "edge_ord", "batch", F.col("pos").cast("long"))
+
+
+@query(on_star(f"SELECT graph_ord, edge_ord, type FROM edges WHERE upper(trim(type)) IN ({_GENERIC}) OR trim(label) = ''"))
+def enrich_select(spark, d):
+    return merged(spark, d)[1].where(refine.needs_enrichment()).select("graph_ord", "edge_ord", "type")
+
+
+@query(f"WITH {_BATCH} SELECT graph_ord, edge_ord, CASE pos % 3 WHEN 0 THEN 'SELLS_FROM' ELSE type END AS type, CASE pos % 3 WHEN 0 THEN 'sells from' WHEN 1 THEN 'known' ELSE label END AS label FROM batches")
+def enrich_apply(spark, d):
+    b = _batches(spark, d)
+    item = F.when(F.col("pos") % 3 == 0, F.struct(F.lit("sells from").alias("type"), F.lit("sells from").alias("label"))).when(F.col("pos") % 3 == 1, F.struct(F.lit("related to").alias("type"), F.lit("known").alias("label")))
+    replies = b.withColumn("i", item).where("i IS NOT NULL").groupBy("graph_ord", "batch").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("_idx"), "i.type", "i.label", F.lit(None).cast("map<string,string>").alias("properties"))).alias("items"))
+    return refine.apply_enrichment(b, replies).select("graph_ord", "edge_ord", "type", "label")
+
+
+@query(f"WITH {_BATCH} SELECT graph_ord, edge_ord FROM batches WHERE pos % 4 <> 0")
+def verify_filter(spark, d):
+    b = _batches(spark, d)
+    replies = b.where("pos % 4 < 2").groupBy("graph_ord", "batch").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("idx"), (F.col("pos") % 4 == 1).alias("valid"), F.lit("").alias("reason"))).alias("items"))
+    return refine.drop_invalid(b, replies).select("graph_ord", "edge_ord")
+
+
+@query(_CHUNKS.format(s=1000, o=100) + "SELECT doc_ord, chunk_idx FROM c WHERE NOT (doc_ord % 3 = 0 AND chunk_idx % 2 = 0)")
+def resume_todo(spark, d):
+    cut = chunking.chunks(docs(spark, d), 1000, 100)
+    done = cut.where("doc_ord % 3 = 0 OR doc_ord % 5 = 0").select("doc_ord", "chunk_idx", F.when(F.col("doc_ord") % 3 == 0, "a").otherwise("old").alias("config_hash"), F.when(F.col("chunk_idx") % 2 == 0, "ok").otherwise("failed").alias("status"))
+    return providers.todo(cut, done, "a").select("doc_ord", "chunk_idx")
+
+
+# ------------------------------------------------------------ sinks
+def _x(c: str) -> str:
+    return f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+_PROPS = "'{\"' || k || '\":\"' || v || '\"}'"
+
+
+@query(on_star(f"""SELECT 1 AS part, ord, '<node id="' || id || '"><data key="label">' || {_x('label')} || '</data><data key="type">' || type || '</data><data key="description">' || {_x('description')} || '</data><data key="properties">' || {_x(_PROPS)} || '</data></node>' AS line FROM nodes UNION ALL SELECT 2, ord, '<edge id="e' || ord || '" source="' || source || '" target="' || target || '"><data key="etype">' || type || '</data><data key="elabel">' || {_x('label')} || '</data><data key="evidence">' || {_x('evidence')} || '</data><data key="eprops">{{}}</data></edge>' FROM oedges"""))
+def export_graphml_lines(spark, d):
+    nodes, edges = merged(spark, d)
+    return export.graphml_lines(nodes, ordered(edges)).where("part IN (1, 2)")
+
+
+@query(on_star(f'SELECT id AS ":ID", label AS "label:string", type AS ":LABEL", description AS "description:string", {_PROPS} AS "properties:string" FROM nodes'))
+def export_neo4j_nodes(spark, d):
+    return export.csv_nodes(merged(spark, d)[0])
+
+
+@query(on_star('SELECT source AS ":START_ID", target AS ":END_ID", type AS ":TYPE", label AS "label:string", evidence AS "evidence:string", \'{}\' AS "properties:string" FROM edges'))
+def export_neo4j_rels(spark, d):
+    return export.csv_edges(merged(spark, d)[1])
+
+
+@query(on_star("""SELECT 1 AS part, ord, 'd2g:' || id || ' rdf:type d2g:' || type || ' ; rdfs:label "' || label || '" ; d2g:' || k || ' "' || v || '" .' AS line FROM nodes UNION ALL SELECT 2, ord, 'd2g:' || source || ' d2g:' || type || ' d2g:' || target || ' .' || CASE WHEN evidence <> '' THEN ' # ' || evidence ELSE '' END FROM oedges"""))
+def export_turtle_lines(spark, d):
+    nodes, edges = merged(spark, d)
+    return export.turtle_lines(nodes, ordered(edges)).where("part IN (1, 2)")
+
+
+def _cypher(verb: str, shown: str) -> str:
+    q = lambda c: f"replace({c}, '''', '\\''')"
+    return on_star(f"""SELECT 1 AS part, ord, '{verb} (:`' || type || '` {{id: ''' || id || ''', name: ''' || label || '''' || CASE WHEN description <> '' THEN ', description: ''' || description || '''' ELSE '' END || ', `' || k || '`: ''' || v || '''}});' AS line FROM nodes UNION ALL SELECT 2, ord, 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) {verb} (a)-[:`' || type || '`' || CASE WHEN {shown} THEN ' {{evidence: ''' || {q('evidence')} || '''}}' ELSE '' END || ']->(b);' FROM oedges""")
+
+
+@query(_cypher("MERGE", "evidence <> ''"))
+def export_cypher_merge(spark, d):
+    nodes, edges = merged(spark, d)
+    return export.cypher_lines(nodes, ordered(edges))
+
+
+@query(_cypher("CREATE", "true"))
+def export_cypher_create(spark, d):
+    nodes, edges = merged(spark, d)
+    return export.cypher_lines(nodes, ordered(edges), create=True)
+
+
+# ------------------------------------------------------------ end to end
+_WORDS = _CHUNKS.format(s=6000, o=500) + ", words AS (SELECT doc_ord, chunk_idx, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS w FROM c), n AS (SELECT DISTINCT lower(unnest(w)) AS a FROM words), e AS (SELECT DISTINCT lower(w[i]) AS a, lower(w[i + 1]) AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words))"
+
+
+@query(_WORDS + "SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e WHERE a <> b) AS edges, (SELECT count(*) FROM n WHERE a NOT IN (SELECT a FROM e WHERE a <> b UNION SELECT b FROM e WHERE a <> b)) AS isolated")
+def rule_graph_from_text(spark, d):
+    """Documents to chunks to rule-made graphs, merged and pruned; the size of the result."""
+    cut = chunking.chunks(docs(spark, d))
+    nodes, edges = providers.rule_graph(cut)
+    at = F.col("doc_ord") * 1_000_000 + F.col("graph_ord")
+    nodes, edges = resolve.merge(nodes.withColumn("graph_ord", at), edges.withColumn("graph_ord", at), 101)
+    return G.stats(nodes, resolve.prune(nodes, edges)).select("nodes", "edges", "isolated")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

@@ -14,10 +14,15 @@ from ..operators.graph import stats, viewer_edges, viewer_nodes
 EVIDENCE = 200
 
 
+def entries(col: str = "properties") -> Column:
+    """Properties as (key, value) by key; values may be of a type that has no order."""
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.array_sort(F.map_entries(col), by_key)
+
+
 def props_json(col: str = "properties") -> Column:
     """Properties as JSON with sorted keys."""
-    c = F.col(col)
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))))
+    return F.to_json(F.map_from_entries(entries(col)))
 
 
 def _text(c: str) -> Column:
@@ -47,7 +52,7 @@ def turtle_lines(nodes: DataFrame, edges: DataFrame, base: str = "http://example
     lit_ = lambda c: F.concat(F.lit('"'), quoted(c, '"'), F.lit('"'))
     head = ["@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", f"@prefix d2g: <{base}> ."]
     fixed = nodes.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(head)], "part int, ord long, line string")
-    triples = F.array_join(F.transform(F.sort_array(F.map_entries("properties")), lambda e: F.concat(F.lit(" ; d2g:"), safe_id(e["key"]), F.lit(" "), lit_(F.coalesce(e["value"].cast("string"), F.lit(""))))), "")
+    triples = F.array_join(F.transform(entries(), lambda e: F.concat(F.lit(" ; d2g:"), safe_id(e["key"]), F.lit(" "), lit_(F.coalesce(e["value"].cast("string"), F.lit(""))))), "")
     n = nodes.select(F.lit(1).alias("part"), "ord", F.concat(F.lit("d2g:"), safe_id(F.col("id")), F.lit(" rdf:type d2g:"), safe_id(F.col("type")), F.lit(" ; rdfs:label "), lit_(F.col("label")), triples, F.lit(" .")).alias("line"))
     note = F.when(_text("evidence") != "", F.concat(F.lit(" # "), F.regexp_replace(F.substring("evidence", 1, EVIDENCE), r"[\r\n]+", " "))).otherwise("")
     e = edges.select(F.lit(2).alias("part"), "ord", F.concat(F.lit("d2g:"), safe_id(F.col("source")), F.lit(" d2g:"), safe_id(F.col("type")), F.lit(" d2g:"), safe_id(F.col("target")), F.lit(" ."), note).alias("line"))
@@ -59,7 +64,7 @@ def cypher_lines(nodes: DataFrame, edges: DataFrame, create: bool = False) -> Da
     s = lambda c: F.concat(F.lit("'"), quoted(c, "'"), F.lit("'"))
     name = lambda c: F.concat(F.lit("`"), F.replace(c, F.lit("`"), F.lit("``")), F.lit("`"))
     verb = F.lit("CREATE" if create else "MERGE")
-    props = F.array_join(F.transform(F.sort_array(F.map_entries("properties")), lambda e: F.concat(F.lit(", "), name(e["key"]), F.lit(": "), s(F.coalesce(e["value"].cast("string"), F.lit(""))))), "")
+    props = F.array_join(F.transform(entries(), lambda e: F.concat(F.lit(", "), name(e["key"]), F.lit(": "), s(F.coalesce(e["value"].cast("string"), F.lit(""))))), "")
     about = F.when(_text("description") != "", F.concat(F.lit(", description: "), s(F.col("description")))).otherwise("")
     n = nodes.select(F.lit(1).alias("part"), "ord", F.concat(verb, F.lit(" (:"), name(F.col("type")), F.lit(" {id: "), s(F.col("id")), F.lit(", name: "), s(F.col("label")), about, props, F.lit("});")).alias("line"))
     short = F.substring(_text("evidence"), 1, 80 if create else EVIDENCE)
