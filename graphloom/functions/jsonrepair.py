@@ -21,6 +21,12 @@ WORDS = {"true": True, "false": False, "null": None, "none": None, "nan": None,
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
+def _paired(chars: list[str]) -> str:
+    """Joins escaped surrogates to the characters they stand for; one alone becomes U+FFFD."""
+    text = "".join(chars)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 class _Reader:
     def __init__(self, text: str):
         self.text, self.at, self.cut = text, 0, False
@@ -44,7 +50,7 @@ class _Reader:
             c = self.text[self.at]
             self.at += 1
             if c == quote:
-                return "".join(out)
+                return _paired(out)
             if c == "\\" and self.at < len(self.text):
                 c = self.text[self.at]
                 self.at += 1
@@ -55,7 +61,7 @@ class _Reader:
                     c = ESCAPES.get(c, c)
             out.append(c)
         self.cut = True
-        return "".join(out)
+        return _paired(out)
 
     def value(self, depth: int = 0):
         self.skip()
