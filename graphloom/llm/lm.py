@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .components import kept
-from .words import slices, with_bytes
+from .words import only, slices, with_bytes
 
 SEED = 42
 END = b""  # no word is empty
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
         return [u[i : i + s.part] for u in np.split(units, np.cumsum(lengths)[:-1]) for i in range(0, len(u), s.part)]
 
     w = gru.start(v.unit_counts, v.first, s.hidden)
-    some = with_bytes(docs.withColumn("_o", F.xxhash64(f"`{id_col}`", f"`{text_col}`")), text_col, "_o").orderBy("_o").limit(s.start_texts).collect()
+    some = with_bytes(only(docs, _i=id_col, _t=text_col).withColumn("_o", F.xxhash64("_i", "_t")), "_t", "_o").orderBy("_o").limit(s.start_texts).collect()
     memory = None
     if some:
         reader = _Reader(v)

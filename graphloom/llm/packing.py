@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import codec, texts_of
 from .components import kept
-from .words import slices
+from .words import only, slices
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, en
                     seen[some] += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([part] * len(row), pa.int32()), pa.array(rank, pa.int64())], names=["_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_rank"])
 
-    source = texts_of(docs.withColumnRenamed(id_col, "_id"), text_col, "_id")
+    source = texts_of(only(docs, _id=id_col, _t=text_col), "_t", "_id")
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, _part int, _rank long")
 
 

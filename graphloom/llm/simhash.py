@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import contract, kept
-from .words import slices, with_bytes
+from .words import only, slices, with_bytes
 
 SEED = 42
 FANOUT = 8
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["_id", "_fp"])
 
-    source = with_bytes(docs.withColumnRenamed(id_col, "_id"), text_col, "_id")
+    source = with_bytes(only(docs, _id=id_col, _t=text_col), "_t", "_id")
     kind = source.schema["_id"].dataType.simpleString()
     return source.mapInArrow(run, f"_id {kind}, _fp long")
 
@@ -233,12 +233,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2) -> DataFrame:
     """The rows of ``docs`` but for near copies of a row with a smaller id; all columns stay.
 
-    Of rows repeated with the same id one stays.  Rows with null ids stay only if
-    no row of their component has an id, one for each text.
+    Of rows repeated with the same id one stays.  Of rows with null ids
+    one stays, if a component has no other.
     """
     groups = near_duplicates(docs, id_col, text_col, shingle, max_diff)
     keep = kept(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]), "inner")
-    once = rows.where("_n = 1").select(*[docs[c] for c in docs.columns])
-    again = rows.where("_n > 1").select(*[docs[c] for c in docs.columns])
-    return once.unionByName(again.dropDuplicates([id_col] if id_col == text_col else [id_col]))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"))
+    rows = packed.join(keep, F.col("_own").eqNullSafe(F.col("_id")))
+    once = rows.where("_n = 1").select("_row")
+    again = rows.where("_n > 1").groupBy("_own").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(again).select("_row.*")

@@ -32,12 +32,12 @@ class Reputation:
 
 
 def host(url: Column) -> Column:
-    rest = F.split(url, "://", 2).getItem(1)
+    rest = F.get(F.split(url, "://", 2), F.lit(1))
     return F.coalesce(F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
 
 
 def path(url: Column) -> Column:
-    rest = F.split(url, "://", 2).getItem(1)
+    rest = F.get(F.split(url, "://", 2), F.lit(1))
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 

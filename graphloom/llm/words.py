@@ -24,6 +24,11 @@ def with_bytes(df: DataFrame, text_col: str, *others: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("_b"))
 
 
+def only(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns under new names, so that no other column's name can clash."""
+    return df.select(*[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "_b", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most_bytes`` of ``column`` (one row at least)."""
     for batch in batches:
