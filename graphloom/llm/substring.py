@@ -35,7 +35,7 @@ from .windows import Ranges, runs, word_hashes
 from .words import Numbering, flat_words, slices
 
 #: Words that a shard's index holds before the next anchor opens another.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 
