@@ -54,17 +54,16 @@ def windows(texts: list[np.ndarray], n_lanes: int, width: int, end: int):
     if not len(lengths):
         return
     plan = lanes(lengths, n_lanes)
-    rows = [np.concatenate([texts[t] for t in ts]) for ts in plan]
-    which = [np.repeat(np.array(ts), lengths[ts]) for ts in plan]
-    for at in range(0, len(rows[0]), width):
-        live = sum(len(r) > at for r in rows)
-        steps = min(width, len(rows[0]) - at)
-        units, text = np.full((live, steps), end, np.int64), np.full((live, steps), -1, np.int64)
-        for i in range(live):
-            part = rows[i][at : at + steps]
-            units[i, : len(part)] = part
-            text[i, : len(part)] = which[i][at : at + steps]
-        yield units.T, text.T
+    order = np.array([t for ts in plan for t in ts])
+    flat, which = np.concatenate([texts[t] for t in order]), np.repeat(order, lengths[order])
+    size = np.array([int(lengths[ts].sum()) for ts in plan])
+    begin = np.cumsum(size) - size
+    for at in range(0, int(size[0]), width):
+        live = int((size > at).sum())
+        place = at + np.arange(min(width, int(size[0]) - at))[:, None]
+        real = place < size[:live]
+        index = np.where(real, place + begin[:live], 0)
+        yield np.where(real, flat[index], end), np.where(real, which[index], -1)
 
 
 def _forward(w: Weights, units: np.ndarray, h: np.ndarray, end: int, tape: list | None) -> tuple[np.ndarray, np.ndarray]:
@@ -85,44 +84,70 @@ def _forward(w: Weights, units: np.ndarray, h: np.ndarray, end: int, tape: list
     return states, h
 
 
-def _outputs(w: Weights, states: np.ndarray, units: np.ndarray, first: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, Weights]:
-    """Natural log-likelihood of each unit given its state; with ``learn`` also the gradients."""
-    n = len(units)
-    cls = np.searchsorted(first, units, side="right") - 1
-    logit = states @ w["c"].T + w["cb"]
-    logit -= logit.max(axis=1, keepdims=True)
-    p = np.exp(logit)
-    total = p.sum(axis=1, keepdims=True)
-    at = np.arange(n)
-    got = logit[at, cls] - np.log(total[:, 0])
-    back = np.zeros_like(states) if learn else states
-    grads: Weights = {}
+def _order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of ``numbers``; 16 bits at most are sorted by radix."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
+def _exp(logit: np.ndarray, most: float) -> np.ndarray:
+    """``logit`` exponentiated in place and its row sums; ``most`` bounds the absolute values.
+
+    Rows are only lowered by their largest value where the bound does not rule out an overflow.
+    """
+    if most > 60:
+        logit -= logit.max(axis=1, keepdims=True)
+    np.exp(logit, out=logit)
+    return logit @ np.ones(logit.shape[1], np.float32)
+
+
+def _most(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Bound of each unit's absolute logit: a state's values lie between -1 and 1."""
+    return np.abs(weights).sum(axis=1) + np.abs(bias)
+
+
+def _softmax(logit: np.ndarray, own: np.ndarray, most: float, learn: bool) -> np.ndarray | None:
+    """Log-probability of ``own`` in each row; with ``learn`` leaves the errors in ``logit`` instead."""
+    at = np.arange(len(own))
     if learn:
-        p /= total
-        p[at, cls] -= 1
-        grads = {"c": p.T @ states, "cb": p.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-        back = p @ w["c"]
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(first) + 1))
+        logit *= (1 / _exp(logit, most))[:, None]
+        logit[at, own] -= 1
+        return None
+    if most > 60:
+        logit -= logit.max(axis=1, keepdims=True)
+        most = 0
+    got = logit[at, own]
+    return got - np.log(_exp(logit, most))
+
+
+def _outputs(w: Weights, states: np.ndarray, units: np.ndarray, first: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, Weights]:
+    """Natural log-likelihood of each unit given its state or, with ``learn``, the errors of the states and the gradients."""
     last = np.r_[first[1:], len(w["wb"])]
+    class_of = np.repeat(np.arange(len(first)), last - first)
+    cls = class_of[units]
+    logit = states @ w["c"].T
+    logit += w["cb"]
+    got = _softmax(logit, cls, float(_most(w["c"], w["cb"]).max()), learn)
+    back, grads = states, {}
+    if learn:
+        grads = {"c": logit.T @ states, "cb": logit.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
+        back = logit @ w["c"]
+    order = _order(cls, len(first))
+    edges = np.r_[0, np.cumsum(np.bincount(cls, minlength=len(first)))]
+    most = np.maximum.reduceat(_most(w["w"], w["wb"]), first)
     for k in range(len(first)):
         who = order[edges[k] : edges[k + 1]]
         a, b = int(first[k]), int(last[k])
         if not len(who) or b - a == 1:
             continue
         s = states[who]
-        logit = s @ w["w"][a:b].T + w["wb"][a:b]
-        logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(axis=1, keepdims=True)
-        own = units[who] - a
-        at = np.arange(len(who))
-        got[who] += logit[at, own] - np.log(total[:, 0])
+        logit = s @ w["w"][a:b].T
+        logit += w["wb"][a:b]
+        more = _softmax(logit, units[who] - a, float(most[k]), learn)
         if learn:
-            p /= total
-            p[at, own] -= 1
-            grads["w"][a:b], grads["wb"][a:b] = p.T @ s, p.sum(axis=0)
-            back[who] += p @ w["w"][a:b]
+            grads["w"][a:b], grads["wb"][a:b] = logit.T @ s, logit.sum(axis=0)
+            back[who] += logit @ w["w"][a:b]
+        else:
+            got[who] += more
     return got, back, grads
 
 
@@ -164,7 +189,7 @@ def train(w: Weights, first: np.ndarray, texts: list[np.ndarray], end: int, memo
             da = np.concatenate([dz, dr, dn * r], axis=1)
             grad_h += states[t].T @ da
             dh = dh * z + da @ w["h"].T + errors[t]
-        order = np.argsort(units.ravel(), kind="stable")
+        order = _order(units.ravel(), len(w["wb"]))
         sorted_units = units.ravel()[order]
         begin = np.flatnonzero(np.r_[True, sorted_units[1:] != sorted_units[:-1]])
         touched, grad_x = sorted_units[begin], np.add.reduceat(given.reshape(-1, 3 * size)[order], begin, axis=0)

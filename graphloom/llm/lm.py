@@ -67,11 +67,14 @@ class _Codes(dict):
         self.rare.append(word)
         return code
 
-    def trim(self, most: int = 400_000) -> None:
-        if len(self.rare) > most:
+    def trim(self, most: int = 400_000) -> bool:
+        """Whether other words were forgotten, as there were too many."""
+        full = len(self.rare) > most
+        if full:
             for w in self.rare:
                 del self[w]
             self.rare = []
+        return full
 
 
 @dataclass
@@ -155,21 +158,29 @@ class _Reader:
 
     def __init__(self, v: Vocabulary):
         self.v, self.codes = v, _Codes(v.words)
-        self.fixed_groups = np.array([_shared(w, v.settings) for w in v.words], np.int64)
+        self.groups = np.array([_shared(w, v.settings) for w in v.words], np.int64)
+        self.hashes = np.zeros(0, np.int64)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts end to end, the end token after each, and their lengths."""
-        self.codes.trim()
+        if self.codes.trim():
+            self.groups, self.hashes = self.groups[: self.codes.fixed], self.hashes[:0]
         parts = [[*t.lower().split(), END] for t in texts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         get = self.codes.__getitem__
         return np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(lengths.sum())), lengths
 
     def units(self, codes: np.ndarray) -> np.ndarray:
-        v, rare = self.v, self.codes.rare
-        shared = np.fromiter((_shared(w, v.settings) for w in rare), np.int64, len(rare))
-        self.groups = np.r_[self.fixed_groups, shared]
-        return np.r_[v.unit, v.shared_unit[shared]][codes]
+        v = self.v
+        new = self.codes.rare[len(self.groups) - self.codes.fixed :]
+        self.groups = np.r_[self.groups, np.fromiter((_shared(w, v.settings) for w in new), np.int64, len(new))]
+        return np.r_[v.unit, v.shared_unit[self.groups[self.codes.fixed :]]][codes]
+
+    def rare_hashes(self, codes: np.ndarray) -> np.ndarray:
+        """Spark's ``xxhash64`` of words beyond the dictionary, by their codes."""
+        new = self.codes.rare[len(self.hashes) :]
+        self.hashes = np.r_[self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in new), np.uint64, len(new)).view(np.int64)]
+        return self.hashes[codes - self.codes.fixed]
 
 
 def _dump(w: gru.Weights) -> bytes:
@@ -196,7 +207,10 @@ def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
         return [u[i : i + s.part] for u in np.split(units, np.cumsum(lengths)[:-1]) for i in range(0, len(u), s.part)]
 
     w = gru.start(v.unit_counts, v.first, s.hidden)
-    some = with_bytes(only(docs, _i=id_col, _t=text_col).withColumn("_o", F.xxhash64("_i", "_t")), "_t", "_o").orderBy("_o").limit(s.start_texts).collect()
+    ordered = only(docs, _i=id_col, _t=text_col).withColumn("_o", F.xxhash64("_i", "_t"))
+    # the texts of the smallest hashes: first the hashes alone, so that tasks send no texts that are not taken
+    lowest = [r["_o"] for r in ordered.select("_o").orderBy("_o").limit(s.start_texts).collect()]
+    some = with_bytes(ordered.where(F.col("_o") <= lowest[-1]).groupBy("_o").agg(F.first("_t").alias("_t")), "_t", "_o").orderBy("_o").collect() if lowest else []
     memory = None
     if some:
         reader = _Reader(v)
@@ -258,8 +272,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             model += total(np.where(mixed, own - share[group], 0.0))
             base = total(own) - lengths * whole
             seen = total(in_dict & (v.counts[short] > 0)).astype(np.int64)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in reader.codes.rare), np.uint64, len(reader.codes.rare)).view(np.int64)
-            rare = hashes[codes[~in_dict] - fixed]
+            rare = reader.rare_hashes(codes[~in_dict])
             edges = np.r_[0, np.cumsum(total(~in_dict).astype(np.int64))].astype(np.int32)
             n = len(lengths)
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), b.column("_id"), b.column("_held"), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare))], names=["_row", "_id", "_held", "n_tokens", "_seen", "_base", "_model", "_rare"])
