@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import kept
 from .windows import Ranges, runs, word_hashes
-from .words import Numbering, flat_words, slices
+from .words import Numbering, flat_words, release, slices
 
 #: Words that a shard's index holds before the next anchor opens another.
 SHARD_WORDS = 1 << 19
@@ -185,6 +185,8 @@ def _search(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             words += r[3] + size
     if rows:
         yield shard(rows)
+    rows = []
+    release()
 
 
 # ------------------------------------------------------------ documents

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker remembers before it starts afresh.
-MEMORY = 400_000
+MEMORY = 100_000
 # An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -8,6 +8,7 @@ only to be split.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,6 +43,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "_b", most_bytes: in
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back, as Python workers live on and would hold the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
 
 
 class Numbering(dict):
