@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import contract, kept
+from .confirm import classes, shingle_sets
 from .words import only, slices, with_bytes
 
 SEED = 42
@@ -49,16 +50,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(``id_col``, ``_fp`` long: the fingerprint's bits) of every row; null text counts as empty."""
+    """(``_id``, ``_h``, ``_fp``) of every row: its id, its text's MD5 and the fingerprint's bits; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["_id", "_fp"])
+            fp = np.fromiter((fingerprint(t, shingle) for t in b.column("_b").to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["_id", "_h", "_fp"])
 
-    source = with_bytes(only(docs, _id=id_col, _t=text_col), "_t", "_id")
+    source = with_bytes(only(docs, _id=id_col, _t=text_col), "_t", "_id").select("_id", F.md5("_b").alias("_h"), "_b")
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, _fp long")
+    return source.mapInArrow(run, f"_id {kind}, _h string, _fp long")
 
 
 # ------------------------------------------------------------ the index
@@ -211,8 +212,8 @@ def links(distinct_fps: DataFrame, max_diff: int = 2) -> DataFrame:
     return dealt.mapInArrow(lambda it: _stars(it, max_diff), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2) -> DataFrame:
-    """(``id_col``, ``fingerprint`` 16 hex digits, ``component_id``, ``n_links``) of every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None) -> DataFrame:
+    """(``id_col``, ``fingerprint`` 16 hex digits, ``component_id``) of every row.
 
     Rows link if their fingerprints differ in at most ``max_diff`` bits;
     ``component_id`` is the smallest id reachable.  Equal fingerprints link, so
@@ -220,23 +221,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint 0 and link as any other.  Null ids never are the smallest; a
     component of null ids only has a null ``component_id``.  An empty table
     gives an empty result; other columns are not read.
+
+    With ``confirm`` = (words, percent) components are divided by an exact check:
+    two of their texts link if the Jaccard similarity of their shingles of so many words
+    is at least ``percent`` / 100.  Equal texts always link.
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle))
-    per_fp = fps.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    roots = contract(links(per_fp.select("_fp"), max_diff))
-    placed = kept(per_fp.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")))
-    least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = placed.join(least, "_root").select("_fp", "component_id")
-    return fps.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2) -> DataFrame:
+    texts = kept(fps.groupBy("_h").agg(F.min("_fp").alias("_fp"), F.min("_id").alias("_rep")))
+    roots = contract(links(texts.select("_fp").distinct(), max_diff))
+    placed = kept(texts.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_h", "_rep", F.coalesce("root", "_fp").alias("_group")))
+    if confirm:
+        words, percent = confirm
+        several = placed.groupBy("_group").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_group")
+        sets = kept(shingle_sets(docs, kept(placed.join(several, "_group", "left_semi")), id_col, text_col, words))
+        placed = placed.join(classes(sets, percent), "_h", "left").select("_h", "_rep", F.coalesce("_class", "_h").alias("_group"))
+    least = placed.groupBy("_group").agg(F.min("_rep").alias("component_id"))
+    named = placed.join(least, "_group").select("_h", "component_id")
+    return fps.join(named, "_h").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None) -> DataFrame:
     """The rows of ``docs`` but for near copies of a row with a smaller id; all columns stay.
 
-    Of rows repeated with the same id one stays.  Of rows with null ids
-    one stays, if a component has no other.
+    Parameters are those of ``near_duplicates``.  Of rows repeated with the same id one
+    stays.  Of rows with null ids one stays, if a component has no other.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_diff)
+    groups = near_duplicates(docs, id_col, text_col, shingle, max_diff, confirm)
     keep = kept(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"))
     rows = packed.join(keep, F.col("_own").eqNullSafe(F.col("_id")))

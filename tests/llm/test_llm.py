@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, gru, html, lm, packing, quality, queries, simhash, substring, tiff, urls, warc
+from graphloom.llm import bpe, confirm, gru, html, lm, packing, quality, queries, simhash, substring, tiff, urls, warc
 
 R = random.Random(7)
 VOCAB = ["".join(R.choice("abcdeéß") for _ in range(R.randrange(1, 7))) for _ in range(60)]
@@ -78,6 +78,64 @@ def test_near_duplicates(docs, empty):
     assert one.columns == docs.columns and {r["doc_id"] for r in one.select("doc_id").collect()} == {x for _, _, x in want} and one.count() == len({x for _, _, x in want})
 
 
+def _shingles(t, size):
+    w = (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    return {b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) > size else {b" ".join(w)}
+
+
+def _components(n, near):
+    comp = list(range(n))
+    find = lambda i: i if comp[i] == i else find(comp[i])
+    for i, j in itertools.combinations(range(n), 2):
+        if near(i, j):
+            comp[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+def _edited(rng, n, words=120, most=6):
+    base = [[rng.choice(VOCAB) for _ in range(words)] for _ in range(4)]
+    out = []
+    for i in range(n):
+        w = list(base[i % 4])
+        for _ in range(rng.randrange(most)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_of_one_large_group(spark, seed):
+    """All texts in one candidate group: several classes, chains and many rounds of pivots."""
+    texts = sorted({*_edited(random.Random(seed), 60), *(t for t in TEXTS if t)})
+    sets = [_shingles(t, 5) for t in texts]
+    want = _components(len(texts), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    rows = [(seed, f"{i:04d}", len(s), confirm.shingle_set(t.encode(), 5).tolist()) for i, (t, s) in enumerate(zip(texts, sets))]
+    got = dict(confirm.classes(spark.createDataFrame(rows + rows[:3], "_group long, _h string, _n long, _s array<long>")).collect())
+    first = {}
+    for i in range(len(texts)):
+        assert first.setdefault(got[f"{i:04d}"], want[i]) == want[i]
+    assert len(got) == len(texts) and len(first) == len(set(want)) > 1
+    assert all(confirm.shingle_set(t.encode(), 5).size == len(s) for t, s in zip(texts, sets))
+
+
+def test_confirmed_near_duplicates(spark, docs, empty):
+    texts = TEXTS + _edited(random.Random(3), 40, 60, 4)
+    texts += [t.replace("a", "A") for t in texts[-3:]] + ["one two", "One two"]
+    rows = [(None if i == 9 else i, t, i) for i, t in enumerate(texts)] + [(12, texts[12], 0)]
+    fps = [simhash.fingerprint((t or "").encode(), 2) for _, t, _ in rows]
+    near = _components(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 6)
+    sets = [_shingles(t, 5) for _, t, _ in rows]
+    comp = _components(len(rows), lambda i, j: near[i] == near[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    assert len(set(comp)) > len(set(near))
+    least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp)}
+    table = spark.createDataFrame(rows, "doc_id long, text string, _h long")
+    got = simhash.near_duplicates(table, shingle=2, max_diff=6, confirm=(5, 80))
+    assert Counter((r["doc_id"], r["component_id"]) for r in got.collect()) == Counter((d, least[c]) for (d, _, _), c in zip(rows, comp))
+    one = simhash.keep_one(table, shingle=2, max_diff=6, confirm=(5, 80))
+    assert one.columns == table.columns and Counter(r["doc_id"] for r in one.collect()) == Counter(set(least.values()))
+    assert simhash.keep_one(empty, shingle=2, max_diff=6, confirm=(5, 80)).count() == 0
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 4])
 def test_gray_index_finds_what_brute_force_finds(k):
     rng = np.random.default_rng(k)
