@@ -28,12 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Fingerprints of five-word shingles at 64 bits lie 4 to 14 bits apart at a
-    similarity of 0.8; those of word pairs lie closer, so the stage takes these.
-    Eight bits hold 9 in 10 of the pairs of that similarity (sf0.1, 20 words and
-    more); unrelated texts start at nine.
+    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
+    Fingerprints of such shingles lie up to 14 bits apart at that similarity; those of
+    word pairs lie closer, so the candidates come from these (up to 10 bits: 47 of 48
+    pairs at sf0.1), and an exact check of five-word shingles decides.
     """
-    return keep_one(docs, shingle=2, max_diff=8)
+    return keep_one(docs, shingle=2, max_diff=10, confirm=(5, 80))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
