@@ -1,12 +1,15 @@
 """Exact check of candidate groups by the Jaccard similarity of word shingles.
 
 A candidate group is divided into the connected components of its texts under
-"similarity at or above the limit", without comparing all pairs.  Each round
-takes a few pivot texts per group and compares them with the texts of other
-classes; classes that touch are joined.  A link that is still missing joins two
-classes, so one end of it lies outside the group's largest class: once every text
-outside has been a pivot the group is finished.  Groups of true copies take a
-round or two, however large they are, and no link is lost in others.
+"similarity at or above the limit", without comparing all pairs.  A pivot text is
+compared with the others of its group; classes that touch are joined.  A link that is
+still missing joins two classes, so one end of it lies outside the group's largest
+class: once every text outside has been a pivot the group is finished.  Groups
+of true copies take a pivot or two, however large they are, and no link is lost in others.
+
+A group of bounded size is divided within a task, where an index from shingles to
+texts compares a pivot with all others at once.  Larger groups are spread
+over tasks, with a few pivots a round.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .words import only, slices, with_bytes
 
 #: Rows up to which the list of candidate texts is broadcast (some 60 bytes a row).
 BROADCAST_ROWS = 100_000
+#: Shingles of all texts of a group up to which one task divides it (8 bytes each).
+GROUP_SHINGLES = 4 << 20
 #: Most pivots of a group in one round; further ones take further rounds.
 PIVOTS = 64
 
@@ -55,11 +60,76 @@ def shingle_sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
     return found.select("_group", "_h", "_b").mapInArrow(run, "_group long, _h string, _n long, _s array<long>")
 
 
-def classes(sets: DataFrame, percent: int = 80) -> DataFrame:
+def divide(sets: list[np.ndarray], percent: int = 80) -> np.ndarray:
+    """For each set of a group the first one of its class."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(size) - size
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    run = np.cumsum(np.r_[False, flat[order][1:] != flat[order][:-1]])
+    number = np.empty(len(flat), np.int64)
+    number[order] = run
+    owner, ends = owner[order], np.cumsum(np.bincount(run))
+    count = np.diff(np.r_[0, ends])
+    label, done = np.arange(n), np.zeros(n, bool)
+    step = max(1, (1 << 20) // n)
+    while True:
+        free = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+        if not len(free):
+            return label
+        pivot = free[0]
+        done[pivot] = True
+        mine = number[starts[pivot] : starts[pivot] + size[pivot]]
+        shared = np.zeros(n, np.int64)
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            many = count[part]
+            upto = np.cumsum(many)
+            shared += np.bincount(owner[np.arange(upto[-1]) + np.repeat(ends[part] - upto, many)], minlength=n)
+        touched = np.unique(label[shared * (100 + percent) >= (size + size[pivot]) * percent])
+        label[np.isin(label, touched)] = touched[0]
+
+
+def _within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Divides the groups of a task, which come one after the other."""
+
+    def finished() -> pa.RecordBatch:
+        names = list(held)
+        label = divide(list(held.values()), percent)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([names[i] for i in label], pa.string())], names=["_h", "_class"])
+
+    now, held = None, {}
+    for b in batches:
+        values, ends = np.asarray(b.column(2).values), np.asarray(b.column(2).offsets)
+        for i, (group, name) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            if group != now and held:
+                yield finished()
+                held = {}
+            now = group
+            held[name] = values[ends[i] : ends[i + 1]].copy()
+    if held:
+        yield finished()
+
+
+def classes(sets: DataFrame, percent: int = 80, most_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(``_h``, ``_class``) of (``_group``, ``_h``, ``_n``, ``_s``): components of similarity ``percent`` / 100 and more.
 
     ``_h`` names a text and occurs in one group only; repeated rows do no harm.
+    Groups of more than ``most_shingles`` are spread over tasks.
     """
+    size = kept(sets.groupBy("_group").agg(F.sum("_n").alias("_sum")))
+    large = size.where(F.col("_sum") > most_shingles).select("_group")
+    if large.isEmpty():
+        small, rest = sets, None
+    else:
+        small, rest = sets.join(large, "_group", "left_anti"), sets.join(large, "_group", "left_semi")
+    dealt = small.select("_group", "_h", "_s").repartition("_group").sortWithinPartitions("_group")
+    found = dealt.mapInArrow(lambda it: _within(it, percent), "_h string, _class string")
+    return found if rest is None else found.unionByName(spread_classes(kept(rest), percent))
+
+
+def spread_classes(sets: DataFrame, percent: int = 80) -> DataFrame:
+    """As ``classes``, in rounds over tasks."""
     state = kept(sets.select("_group", "_h").distinct().select("_group", "_h", F.col("_h").alias("_class"), F.lit(False).alias("_done")))
     most = 1
     while True:

@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words, percent = confirm
         several = placed.groupBy("_group").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_group")
         sets = kept(shingle_sets(docs, kept(placed.join(several, "_group", "left_semi")), id_col, text_col, words))
-        placed = placed.join(classes(sets, percent), "_h", "left").select("_h", "_rep", F.coalesce("_class", "_h").alias("_group"))
+        placed = kept(placed.join(classes(sets, percent), "_h", "left").select("_h", "_rep", F.coalesce("_class", "_h").alias("_group")))
     least = placed.groupBy("_group").agg(F.min("_rep").alias("component_id"))
     named = placed.join(least, "_group").select("_h", "component_id")
     return fps.join(named, "_h").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
