@@ -30,10 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
     Fingerprints of such shingles lie up to 14 bits apart at that similarity; those of
-    word pairs lie closer, so the candidates come from these (up to 10 bits: 47 of 48
-    pairs at sf0.1), and an exact check of five-word shingles decides.
+    word pairs lie closer, so most candidates come from these (up to 10 bits), and an
+    exact check of five-word shingles decides.  Pairs further apart, such as texts with one
+    passage more, are found by a lossless join on the shingles themselves.
     """
-    return keep_one(docs, shingle=2, max_diff=10, confirm=(5, 80))
+    return keep_one(docs, shingle=2, max_diff=10, confirm=(5, 80), lossless=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

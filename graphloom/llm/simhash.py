@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .components import contract, kept
 from .confirm import classes, shingle_sets
-from .words import only, slices, with_bytes
+from .lossless import similar_texts
+from .words import only, release, slices, with_bytes
 
 SEED = 42
 FANOUT = 8
@@ -189,6 +190,8 @@ def _stars(batches: Iterator[pa.RecordBatch], max_diff: int) -> Iterator[pa.Reco
     pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
     for at in range(0, len(pairs), 10_000):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 10_000, 0]), pa.array(pairs[at : at + 10_000, 1])], names=["u", "v"])
+    del got, key, code, bucket, size, more, index, label, out, a, b, pairs
+    release()
 
 
 def _keys(fp, max_diff: int):
@@ -212,7 +215,28 @@ def links(distinct_fps: DataFrame, max_diff: int = 2) -> DataFrame:
     return dealt.mapInArrow(lambda it: _stars(it, max_diff), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_diff: int, confirm: tuple[int, int] | None, lossless: bool) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (``_h``, ``_rep``, ``_group``): smallest id and component of each different text."""
+    fps = kept(fingerprints(docs, id_col, text_col, shingle))
+    texts = kept(fps.groupBy("_h").agg(F.min("_fp").alias("_fp"), F.min("_id").alias("_rep")))
+    roots = contract(links(texts.select("_fp").distinct(), max_diff))
+    placed = kept(texts.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_h", "_rep", F.coalesce("root", "_fp").alias("_group")))
+    if confirm:
+        words, percent = confirm
+        candidates = placed
+        several = placed.groupBy("_group").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_group")
+        sets = kept(shingle_sets(docs, kept(placed.join(several, "_group", "left_semi")), id_col, text_col, words))
+        placed = kept(placed.join(classes(sets, percent), "_h", "left").select("_h", "_rep", F.coalesce("_class", "_h").alias("_group")))
+        if lossless:
+            more = kept(similar_texts(docs, candidates, id_col, text_col, words, percent))
+            name = placed.select("_h", "_group")
+            edges = more.join(name.toDF("u", "_u"), "u").join(name.toDF("v", "_v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+            roots = contract(edges).withColumnRenamed("node", "_group")
+            placed = kept(placed.join(roots, "_group", "left").select("_h", "_rep", F.coalesce("root", "_group").alias("_group")))
+    return fps, placed
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None, lossless: bool = False) -> DataFrame:
     """(``id_col``, ``fingerprint`` 16 hex digits, ``component_id``) of every row.
 
     Rows link if their fingerprints differ in at most ``max_diff`` bits;
@@ -224,29 +248,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With ``confirm`` = (words, percent) components are divided by an exact check:
     two of their texts link if the Jaccard similarity of their shingles of so many words
-    is at least ``percent`` / 100.  Equal texts always link.
+    is at least ``percent`` / 100.  Equal texts always link.  With ``lossless`` too, all other pairs
+    of that similarity link as well, however far apart their fingerprints are.
     """
-    fps = kept(fingerprints(docs, id_col, text_col, shingle))
-    texts = kept(fps.groupBy("_h").agg(F.min("_fp").alias("_fp"), F.min("_id").alias("_rep")))
-    roots = contract(links(texts.select("_fp").distinct(), max_diff))
-    placed = kept(texts.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_h", "_rep", F.coalesce("root", "_fp").alias("_group")))
-    if confirm:
-        words, percent = confirm
-        several = placed.groupBy("_group").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_group")
-        sets = kept(shingle_sets(docs, kept(placed.join(several, "_group", "left_semi")), id_col, text_col, words))
-        placed = kept(placed.join(classes(sets, percent), "_h", "left").select("_h", "_rep", F.coalesce("_class", "_h").alias("_group")))
+    fps, placed = _placed(docs, id_col, text_col, shingle, max_diff, confirm, lossless)
     least = placed.groupBy("_group").agg(F.min("_rep").alias("component_id"))
     named = placed.join(least, "_group").select("_h", "component_id")
     return fps.join(named, "_h").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None, lossless: bool = False) -> DataFrame:
     """The rows of ``docs`` but for near copies of a row with a smaller id; all columns stay.
 
     Parameters are those of ``near_duplicates``.  Of rows repeated with the same id one
     stays.  Of rows with null ids one stays, if a component has no other.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_diff, confirm)
+    groups = near_duplicates(docs, id_col, text_col, shingle, max_diff, confirm, lossless)
     keep = kept(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"))
     rows = packed.join(keep, F.col("_own").eqNullSafe(F.col("_id")))

@@ -137,6 +137,29 @@ def test_confirmed_near_duplicates(spark, docs, empty):
     assert simhash.keep_one(empty, shingle=2, max_diff=6, confirm=(5, 80)).count() == 0
 
 
+def test_near_duplicates_beyond_the_fingerprints(spark):
+    """Block additions, removals and word edits: all pairs at 0.8 and more link, as by brute force."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(5000)}"
+    line = [word() for _ in range(12)]
+    texts = ["", " ", "one", "One", *(" ".join(line + [word() for _ in range(n)]) for n in (3, 3, 40, 41, 42, 43, 44, 45, 46))]
+    for i in range(60):
+        base = [word() for _ in range(r.randrange(20, 300))] + line * (i % 2)
+        more = int(len(base) * r.uniform(0.1, 0.24))
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(more)]), " ".join(base[int(more * 0.8) :])]
+    rows = [(None if i == 9 else i, t) for i, t in enumerate(texts)]
+    sets = [_shingles(t, 5) for t in texts]
+    alike = lambda i, j: texts[i] == texts[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    comp = _components(len(rows), alike)
+    fps = [simhash.fingerprint(t.encode(), 2) for t in texts]
+    near = _components(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 10)
+    assert any(alike(i, j) and near[i] != near[j] for i, j in itertools.combinations(range(len(rows)), 2))
+    least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp)}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(table, shingle=2, max_diff=10, confirm=(5, 80), lossless=True)
+    assert Counter((x["doc_id"], x["component_id"]) for x in got.collect()) == Counter((d, least[c]) for (d, _), c in zip(rows, comp))
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 4])
 def test_gray_index_finds_what_brute_force_finds(k):
     rng = np.random.default_rng(k)
