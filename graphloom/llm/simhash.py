@@ -260,13 +260,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_diff: int = 2, confirm: tuple[int, int] | None = None, lossless: bool = False) -> DataFrame:
     """The rows of ``docs`` but for near copies of a row with a smaller id; all columns stay.
 
-    Parameters are those of ``near_duplicates``.  Of rows repeated with the same id one
-    stays.  Of rows with null ids one stays, if a component has no other.
+    Parameters are those of ``near_duplicates``.  One row of each component stays, that of the
+    smallest id, or of the smallest MD5 where texts share it (or have null ids only); of rows
+    repeated with the same id and text one.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_diff, confirm, lossless)
-    keep = kept(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"))
-    rows = packed.join(keep, F.col("_own").eqNullSafe(F.col("_id")))
+    fps, placed = _placed(docs, id_col, text_col, shingle, max_diff, confirm, lossless)
+    first = F.min(F.struct(F.col("_rep").isNull().alias("_none"), "_rep", "_h")).alias("_first")
+    least = placed.groupBy("_group").agg(first).select("_first._h", "_first._rep")
+    copies = fps.groupBy("_h", "_id").agg(F.count("*").alias("_n")).withColumnRenamed("_h", "_own")
+    keep = kept(least.join(copies, (F.col("_h") == F.col("_own")) & F.col("_rep").eqNullSafe(F.col("_id"))).select("_h", "_rep", "_n"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
+    packed = with_bytes(source, "_t", "_row", "_id").select("_row", "_id", F.md5("_b").alias("_own"))
+    rows = packed.join(keep, (F.col("_own") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_rep")))
     once = rows.where("_n = 1").select("_row")
-    again = rows.where("_n > 1").groupBy("_own").agg(F.first("_row").alias("_row")).select("_row")
+    again = rows.where("_n > 1").groupBy("_h").agg(F.first("_row").alias("_row")).select("_row")
     return once.unionByName(again).select("_row.*")

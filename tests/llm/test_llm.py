@@ -137,6 +137,17 @@ def test_confirmed_near_duplicates(spark, docs, empty):
     assert simhash.keep_one(empty, shingle=2, max_diff=6, confirm=(5, 80)).count() == 0
 
 
+@pytest.mark.parametrize("confirm", [None, (5, 80)])
+def test_keep_one_keeps_a_row_of_each_component(spark, confirm):
+    """Null ids and one id with several texts are told apart by the text."""
+    r = random.Random(5)
+    a, b, c, d, e, f = (" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(6))
+    rows = [(None, a, 0), (None, a, 1), (None, b, 2), (None, c, 3), (1, c, 4), (2, d, 5), (2, e, 6), (2, e, 7), (3, e, 8), (4, f, 9), (4, f.upper(), 10), (None, None, 11), (None, "", 12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _h long").repartition(3)
+    got = [(x["doc_id"], (x["text"] or "").lower()) for x in simhash.keep_one(table, shingle=2, max_diff=2, confirm=confirm).collect()]
+    assert Counter(got) == Counter([(None, a), (None, b), (1, c), (2, d), (2, e), (4, f), (None, "")])
+
+
 def test_near_duplicates_beyond_the_fingerprints(spark):
     """Block additions, removals and word edits: all pairs at 0.8 and more link, as by brute force."""
     r = random.Random(11)
