@@ -210,6 +210,18 @@ def test_quality(docs, empty):
     assert good.columns == docs.columns and good.count() == sum(r["kept"] for r in got)
 
 
+def test_quality_limits_bind_below_the_base_rule():
+    """Planted in different words: a passage twice, two words in a row over and over, and short repeats that do no harm."""
+    word = [f"w{i}" for i in range(200)]
+    planted = [word + word[10:35], word[:56] + ["so", "on"] * 8, word + word[:9] + word[20:29] + word[40:49], word]
+    texts = [" ".join(w).encode() for w in planted]
+    got = dict(zip((c.split()[0] for c in quality.COLUMNS.split(", ")), (x.tolist() for x in quality.judge(texts))))
+    assert got["base_failed"] == [False] * 4 and got["kept"] == [False, False, True, True]
+    assert got["covered_words"] == [50, 0, 0, 0] and got["longest_repeat"] == [25, 14, 9, 0]
+    assert quality.judge(texts, quality.Limits(max_longest_percent=100))[6].tolist() == [False, True, True, True]
+    assert quality.judge(texts, quality.Limits(max_covered=1.0))[6].tolist() == [True, False, True, True]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_longest_repeats(seed):
     r = random.Random(seed)
