@@ -11,6 +11,7 @@ content have a threshold of one character and hide those outside it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,6 +33,20 @@ MARKED = {"article", "main"}
 MARKS = {"articlebody", "main"}
 WORDS = re.compile(r"[A-Za-z]+")
 
+#: HTML's implied end tags: a start tag ends the outermost of the open elements named first, as far out as the nearest of those named second.
+SCOPE = {"applet", "button", "caption", "marquee", "object", "table", "td", "template", "th"}
+BLOCKS = {"address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "listing", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+PARTS = {"tbody", "thead", "tfoot"}
+ROWS = {"caption", "colgroup", "tr"}
+IMPLIED = {name: [({"p"}, SCOPE)] for name in BLOCKS}
+IMPLIED["li"] = [({"li"}, (BLOCKS | SCOPE) - {"address", "div", "p", "li"}), *IMPLIED["li"]]
+IMPLIED |= {name: [({"dt", "dd"}, (BLOCKS | SCOPE) - {"address", "div", "p", "dt", "dd"}), *IMPLIED[name]] for name in ("dt", "dd")}
+IMPLIED |= {name: [({"td", "th"} | ROWS - {"tr"}, {"table"})] for name in ("td", "th")}
+IMPLIED |= {"tr": [({"td", "th"} | ROWS, {"table"})]} | {name: [({"td", "th"} | ROWS | PARTS, {"table"})] for name in (*PARTS, "caption", "colgroup")}
+IMPLIED |= {"option": [({"option"}, {"select", "datalist"})], "optgroup": [({"option", "optgroup"}, {"select"})]}
+TABLE = PARTS | ROWS | {"table", "td", "th"}
+IN_HEAD = RAW | {"base", "basefont", "bgsound", "link", "meta", "head"}
+
 WINDOW = 3
 SURGE = 86
 
@@ -40,8 +55,10 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
     """Text of each block and whether it lies in marked main content; ``strip``: empty where it is beside it."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    skip: list[str] = []  # the skipped element and those of the same name inside it
-    inside: list[str] = []  # open marked elements
+    open_: list[str] = []  # open elements, outermost first
+    count: Counter[str] = Counter()  # of their names
+    skip = -1  # where in them the skipped element is
+    inside: list[int] = []  # where the marked ones are
     at = 0
 
     def flush() -> None:
@@ -50,61 +67,108 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
             out.append((text, bool(inside)))
         parts.clear()
 
+    def found(names: set[str], stop: set[str]) -> int:
+        """The outermost open element of ``names`` within the innermost of ``stop``, or -1."""
+        if not any(count[x] for x in names):
+            return -1
+        best = -1
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i] in names:
+                best = i
+            if open_[i] in stop:
+                break
+        return best
+
+    def end(to: int) -> None:
+        """Ends the open elements from ``to`` on."""
+        nonlocal skip
+        if inside and inside[-1] >= to:
+            flush()
+        if 0 <= to <= skip:
+            skip = -1
+            while inside and inside[-1] >= to:
+                inside.pop()
+            out.append(("", bool(inside)))
+        while inside and inside[-1] >= to:
+            inside.pop()
+        for x in open_[to:]:
+            count[x] -= 1
+        del open_[to:]
+
+    def last_open(name: str) -> int:
+        """The innermost open element that an end tag may end, or -1."""
+        if not count[name]:
+            return -1
+        stop = set() if name in ("html", "body") else {"table"} if name in TABLE else BLOCKS | SCOPE if name in INLINE else SCOPE
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i] == name:
+                return i
+            if open_[i] in stop or name == "li" and open_[i] in ("ol", "ul"):
+                return -1
+        return -1
+
+    def in_head() -> bool:
+        return skip >= 0 and open_[skip] == "head"
+
     n = len(page)
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            if not skip:
+            if skip < 0 or in_head() and page[at:].strip():
                 parts.append(page[at:])
             break
-        if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            text = page[at : m.start()]
+            if in_head() and text.strip():
+                end(skip)
+            if skip < 0:
+                parts.append(text)
         at = m.end()
         close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
             continue
         name = name.lower()
         if name in RAW and not close:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            raw, at = page[at : end.start() if end else n], end.end() if end else n
+            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            raw, at = page[at : stop.start() if stop else n], stop.end() if stop else n
             if name in ("noscript", "textarea", "title"):
                 if not strip:
                     parts.append(raw)
             if name == "title":
                 flush()
             continue
-        if skip:
-            if name == skip[0]:
-                if close:
-                    skip.pop()
-                elif name not in VOID and not attributes.endswith("/"):
-                    skip.append(name)
-                if not skip:
-                    out.append(("", bool(inside)))
-            elif close and (name in ("body", "html") or name in MARKED and inside and name == inside[-1]):
-                skip.clear()  # the element was never closed
-                if inside and name in MARKED:
-                    inside.pop()
+        if skip < 0:
+            if name not in INLINE:
+                flush()
+            elif name in ("br", "img"):
+                parts.append(" ")
+        if name in ("html", "body") and close and skip >= 0:
+            end(skip)  # the element was never closed
+        if close:
+            last = last_open(name)
+            if last >= 0:
+                end(last)
+            continue
+        if in_head() and name not in IN_HEAD:
+            end(skip)
+        for names, stop_at in IMPLIED.get(name, ()):
+            first = found(names, stop_at)
+            if first >= 0:
+                end(first)
+        if name in VOID or attributes.endswith("/"):
+            continue
+        open_.append(name)
+        count[name] += 1
+        if skip >= 0:
             continue
-        if name not in INLINE:
+        marks = _marks(attributes) if attributes else set()
+        marked = name in MARKED or bool(marks & MARKS)
+        if strip and name not in ("html", "body") and (name in NEVER or (marks & BESIDE and not (marked and not marks & {"comment", "comments", "reply", "replies"}))):
             flush()
-        elif name in ("br", "img"):
-            parts.append(" ")
-        marks = _marks(attributes) if attributes and not close else set()
-        if not close and name not in VOID and not attributes.endswith("/"):
-            marked = name in MARKED or bool(marks & MARKS)
-            if strip and name not in ("html", "body") and (name in NEVER and not (name == "header" and inside and False) or (marks & BESIDE and not (marked and not marks & {"comment", "comments", "reply", "replies"}))):
-                flush()
-                skip.append(name)
-                continue
-            if marked:
-                flush()
-                inside.append(name)
-            elif inside and name == inside[-1]:
-                inside.append(name)
-        elif close and inside and name == inside[-1]:
+            skip = len(open_) - 1
+        elif marked:
             flush()
-            inside.pop()
+            inside.append(len(open_) - 1)
     flush()
     return out
 
@@ -149,8 +213,8 @@ def plain_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(``id_col``, ``url_col``, text, n_chars) of every row; null html gives an empty text.
 
-    Broken markup never fails: elements that are not closed end with the page or
-    the marked content around them.  Repeated rows and null ids pass through.
+    Broken markup never fails: elements whose end tags are left out end where HTML says so, others
+    that are not closed end with the page or the element around them.  Repeated rows and null ids pass through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

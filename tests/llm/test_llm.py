@@ -273,6 +273,21 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p class=notice>ad<p>One<p>two</article>", "One\n\ntwo"),
+    ("<article><ul><li>a<li class=ad>buy<ul><li>this<li>that</ul><li>b</ul><p>c</article>", "a\n\nb\n\nc"),
+    ("<main><table><tr><td class=ad>buy<td>a<tr class=ad><td>buy<tr><td>b</table><p>c</main>", "a\n\nb\n\nc"),
+    ("<main><table><tr class=ad><td>buy<table><tr><td>this</table>that<tbody><tr><td>a</table></main>", "a"),
+    ("<main><dl><dt>a<dd class=ad>buy<p>this<dt>b<dd>c</dl></main>", "a\n\nb\n\nc"),
+    ("<main><div><p class=ad>buy <b>this</div>a</main>", "a"), ("<main><p class=ad>buy<h2>a</h2>b</main>", "a\n\nb"),
+    ("<main><section><div class=ad>buy</section><p>a</main>", "a"), ("<main><div class=ad>buy</section></span>this<div>that</div></div>a</main>", "a"),
+    ("<html><head><meta charset=x><title>t</title><body><p>a", "a"), ("<head><title>t</title><p>a<p>b", "a\n\nb"), ("<head><title>t</title>a", "a"),
+    ("<body id=main class=ad><p>a</body>b", "a"),
+])
+def test_main_text_with_implied_end_tags(page, want):
+    assert html.main_text(page) == want
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html.extract(pages).collect()), key=str) == sorted([(1, "u", "é", 1), (None, None, "", 0)], key=str)
