@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,10 @@ from ..schema import DEFAULT_EDGE_TYPE, DEFAULT_NODE_TYPE
 from .materialize import materialize
 
 
+#: Ways to leave characters out of a label up to which all are tried.
+VARIANTS = 2_000
+
+
 def clean_nodes(nodes: DataFrame) -> DataFrame:
     """Trimmed labels and types with defaults, and the keys ``type_key`` and ``norm``."""
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
@@ -43,30 +48,63 @@ def segments(n: int, threshold: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def deletions(n: int, m: int, threshold: int) -> tuple[int, int] | None:
+    """Characters to leave out of labels of ``n`` <= ``m`` characters so that partners become equal; None: too many ways."""
+    edits = (n + m) * (100 - threshold) // 100
+    less = (edits - (m - n)) // 2
+    more = less + m - n
+    return (less, more) if max(math.comb(n, less), math.comb(m, more)) <= VARIANTS else None
+
+
+def _variants(s: str, leave: int) -> set[str]:
+    """``s`` without any ``leave`` of its characters."""
+    return {"".join(x) for x in combinations(s, len(s) - leave)}
+
+
+def _keys(s: str, threshold: int, longer: bool) -> set[str]:
+    """Block keys of a label as the shorter or the longer of a pair."""
+    m, found, by_segments = len(s), set(), set()
+    made: dict[int, set[str]] = {}
+    if not longer:
+        pairs = [(m, x) for x in range(m, partner_lengths(m, threshold)[0] + 1)] if m else []
+    else:
+        pairs = [(x, m) for x in range(max(1, math.ceil(m * threshold / (200 - threshold))), m + 1)]
+    for pair in pairs:
+        leave = deletions(*pair, threshold)
+        if leave is None:
+            by_segments.add(pair[0])
+            continue
+        k = leave[longer]
+        if k not in made:
+            made[k] = _variants(s, k)
+        found.update(f"{pair[0]}-{pair[1]}:{v}" for v in made[k])
+    for n in by_segments:
+        for j, (a, k) in enumerate(segments(n, threshold)):
+            shift = partner_lengths(n, threshold)[1] if longer else 0
+            found.update(f"{n}:{j}:{s[p : p + k]}" for p in range(max(0, a - shift), min(m - k, a + shift) + 1))
+    return found
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, probe: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        row, key = [], []
-        for i, s in enumerate(b.column(1).to_pylist()):
-            m = len(s)
-            if not probe:
-                found = {f"{m}:{j}:{s[a : a + k]}" for j, (a, k) in enumerate(segments(m, threshold))} if m else set()
-            else:
-                found = set()
-                for n in range(max(1, math.ceil(m * threshold / (200 - threshold))), m + 1):
-                    shift = partner_lengths(n, threshold)[1]
-                    for j, (a, k) in enumerate(segments(n, threshold)):
-                        found.update(f"{n}:{j}:{s[p : p + k]}" for p in range(max(0, a - shift), min(m - k, a + shift) + 1))
-            row += [i] * len(found)
-            key += found
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(key, pa.string())], names=["scope", "norm", "ord", "block"])
+        labels = b.column(1).to_pylist()
+        for at in range(0, len(labels), 1000):
+            part, row, key = b.slice(at, 1000), [], []
+            for i, s in enumerate(labels[at : at + 1000]):
+                found = _keys(s, threshold, probe)
+                row += [i] * len(found)
+                key += found
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(key, pa.string())], names=["scope", "norm", "ord", "block"])
 
 
 def similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
     """(scope, norm, ord, other, other_ord) with ord < other_ord and a ratio of at least ``threshold``.
 
-    Blocks are lossless: few edits leave one of a label's segments whole, at most
-    that many characters away, so an equi-join on segments finds every pair.
+    Blocks are lossless.  Short partners become equal if a few characters are left out of
+    each, so an equi-join on what is left finds these pairs and no others.  Of long labels,
+    few edits leave one segment whole, at most that many characters away, so an equi-join on
+    segments finds every pair.
     """
     kind = ", ".join(f"{c} {labels.schema[c].dataType.simpleString()}" for c in ("scope", "norm", "ord"))
     base = labels.select("scope", "norm", "ord")

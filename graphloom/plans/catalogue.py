@@ -236,13 +236,12 @@ def two_level_merge(spark, d):
 
 
 def _fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
-    words = docs(spark, d).select("doc_ord", F.posexplode(F.split("text", r"\s+")).alias("pos", "label"))
-    return words.where(F.length("label") >= 12)
+    return docs(spark, d).select("doc_ord", F.posexplode(F.split("text", r"\s+")).alias("pos", "label"))
 
 
 @query()
 def fuzzy_merge(spark, d):
-    """Entities among the long words of all documents at a threshold of 90."""
+    """Entities among all words of all documents at a threshold of 90."""
     w = _fuzzy_labels(spark, d)
     nodes = w.select(F.col("doc_ord").alias("graph_ord"), F.col("pos").alias("node_ord"), "label", F.lit("Word").alias("type"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit("").alias("description"))
     return resolve.merge_nodes(resolve.entities(nodes, 90)).select("rep", "label")

@@ -56,6 +56,28 @@ def test_fuzzy_merge_is_the_sequential_one(spark, seed):
     assert {x["norm"]: x["rep"] for x in resolve.entities(n, 85).collect()} == expect
 
 
+def test_fuzzy_merge_takes_words_of_all_lengths(spark, tmp_path):
+    """The query on a small table is the sequential merge over all words; short words have partners too."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcde") for _ in range(n)) for n in (*range(1, 24), 32, 45, 5, 5, 6, 9, 10, 11)]
+    for w in words[:]:
+        at = r.randrange(len(w))
+        words += [w[:at] + r.choice("xy") + w[at:], w[:at] + r.choice("xy") + w[at + 1 :]]
+    r.shuffle(words)
+    texts = [" ".join(words[i : i + 20]) for i in range(0, len(words), 20)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    heads = []
+    rep = {}
+    for w in words:
+        k = normalize_text(w)
+        if k not in rep:
+            rep[k] = next((h for h in heads if indel_ratio(h, k) >= 90), k)
+            if rep[k] == k:
+                heads.append(k)
+    got = catalogue.queries()["fuzzy_merge"](spark, str(tmp_path)).collect()
+    assert sorted(x["rep"] for x in got) == sorted(heads) and any(len(k) < 12 and rep[k] != k for k in rep)
+
+
 def test_two_levels(spark):
     n, e = frames(spark, [(g, i, f"{g}{i}", w, "T", {}, "") for g, ws in enumerate([["Alpha", "Beta"], ["Alpha"], ["Beta"]]) for i, w in enumerate(ws)], [(0, 0, "00", "01", "R", "", {}, "")])
     nodes, edges = resolve.merge_two_levels(n.withColumn("doc_ord", F.col("graph_ord")), e.withColumn("doc_ord", F.col("graph_ord")), 101)
