@@ -1,8 +1,10 @@
 """Lossless join of texts by the Jaccard similarity of word shingles, by prefix filter.
 
 Two sets of similarity t or more share one of the first n - ceil(t * n) + 1 elements at
-least, if both are sorted by one order.  Any order will do; here elements that are frequent in a
-sample of texts come last, so that common lines seldom are among the first ones.  Pairs that
+least, if both are sorted by one order.  Any order will do.  Here elements that many texts would
+have among their first ones come last: they are counted over all texts, under the order of the hashes alone, and
+those above a fixed number go to all tasks, the commonest first if they are more than a bound.  So common lines seldom
+are among the first elements, and the number of texts that share one does not grow with the corpus.  Pairs that
 lie in one candidate group already are left out: the exact check of the group has
 decided them.  Of the others, those stay whose sizes and number of shared first elements
 allow the similarity, and these are compared in full.
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,10 @@ from .components import kept
 from .confirm import shingle_set, shingle_sets
 from .words import only, release, slices, with_bytes
 
-#: Texts of the sample, and the sampled texts from which on a shingle counts as frequent.
-SAMPLE, FREQUENT = 20_000, 8
+#: Texts that have a shingle among their first ones by hash from which on it counts as frequent, and the most frequent shingles sent to tasks (16 bytes each).
+FREQUENT, MOST = 4, 1 << 20
+
+NONE = np.zeros(0, np.int64)
 
 
 def prefix(items: np.ndarray, percent: int, often: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -34,10 +39,11 @@ def prefix(items: np.ndarray, percent: int, often: np.ndarray, times: np.ndarray
     return items[:first]
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, often: np.ndarray, times: np.ndarray, every: int = 1) -> DataFrame:
-    """(``_id``, ``_h``, ``_n``, ``_p``): id, MD5, number of shingles and the first of them; ``every``: of one text in so many."""
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: Broadcast | None = None) -> DataFrame:
+    """(``_id``, ``_h``, ``_n``, ``_p``): id, MD5, number of shingles and the first of them; ``frequent``: shingles (sorted) and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = frequent.value if frequent else (NONE, NONE)
         for b in slices(batches):
             sets = [shingle_set(t, size) for t in b.column(2).to_pylist()]
             firsts = [prefix(s, percent, often, times) for s in sets]
@@ -46,8 +52,6 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), lists], names=["_id", "_h", "_n", "_p"])
 
     rows = with_bytes(only(docs, _id=id_col, _t=text_col), "_t", "_id").select("_id", F.md5("_b").alias("_h"), "_b")
-    if every > 1:
-        rows = rows.where(F.pmod(F.xxhash64("_h"), F.lit(every)) == 0)
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _h string, _n long, _p array<long>")
 
 
@@ -83,13 +87,11 @@ def similar_texts(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str
 
     ``placed``: (``_h``, ``_rep``, ``_group`` long), a row per different text; ``_rep`` is the id of a row that has it.
     """
-    none = np.zeros(0, np.int64)
-    every = max(1, placed.count() // SAMPLE)
-    sample = _prefixes(docs, id_col, text_col, size, 0, none, none, every).dropDuplicates(["_h"])
-    counts = sample.select(F.explode("_p").alias("_s")).groupBy("_s").agg(F.count("*").alias("_c")).where(F.col("_c") >= FREQUENT).toArrow()
+    by_hash = _prefixes(docs, id_col, text_col, size, percent).select(F.explode("_p").alias("_s"))
+    counts = kept(by_hash.groupBy("_s").agg(F.count("*").alias("_c")).where(F.col("_c") >= FREQUENT)).orderBy(F.desc("_c"), "_s").limit(MOST).toArrow()
     often, times = (counts.column(c).to_numpy().astype(np.int64) for c in ("_s", "_c"))
     order = np.argsort(often)
-    firsts = _prefixes(docs, id_col, text_col, size, percent, often[order], times[order])
+    firsts = _prefixes(docs, id_col, text_col, size, percent, docs.sparkSession.sparkContext.broadcast((often[order], times[order])))
     listed = placed.select(F.col("_h").alias("_want"), "_rep", "_group")
     # no sort of the lists: the hash table holds the short rows
     mine = firsts.join(listed.hint("shuffle_hash"), (F.col("_h") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_rep")))
