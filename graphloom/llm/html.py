@@ -2,10 +2,11 @@
 
 Markup is stripped to one line per block of the page.  Elements that never hold
 the main text (menus, headers, footers, sidebars, forms, scripts, ...) leave empty lines.
-The distribution is the sum of text lengths over sliding windows of lines: the
-main text begins where it surges over a threshold and ends where it dives to
-nothing, and all lines between are kept.  Lines of an element marked as main
-content have a threshold of one character and hide those outside it.
+The distribution is the sum of text lengths over sliding windows of lines; text of
+links does not count.  It dives where a whole window holds nothing, as in a menu or behind a
+header.  Between two dives lies a stretch; it is main text, from where it rises to where it dives, if it
+surges over a threshold on the way.  In an element marked as main content, which hides what is
+outside it, a surge is one character: there only the dives decide.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,14 +49,26 @@ IMPLIED |= {"option": [({"option"}, {"select", "datalist"})], "optgroup": [({"op
 TABLE = PARTS | ROWS | {"table", "td", "th"}
 IN_HEAD = RAW | {"base", "basefont", "bgsound", "link", "meta", "head"}
 
+#: Elements that part regions of a page: they leave a whole window of empty lines.
+REGIONS = {"nav", "header", "footer", "aside", "menu"}
+
 WINDOW = 3
 SURGE = 86
 
 
-def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
-    """Text of each block and whether it lies in marked main content; ``strip``: empty where it is beside it."""
-    out: list[tuple[str, bool]] = []
+class Line(NamedTuple):
+    """A block's text, whether it lies in marked main content, and its characters outside links."""
+
+    text: str
+    marked: bool
+    weight: int
+
+
+def lines(page: str, strip: bool = True) -> list[Line]:
+    """The blocks of a page; ``strip``: empty lines for what is beside the main text."""
+    out: list[Line] = []
     parts: list[str] = []
+    linked: list[bool] = []  # which of them are text of links
     open_: list[str] = []  # open elements, outermost first
     count: Counter[str] = Counter()  # of their names
     skip = -1  # where in them the skipped element is
@@ -64,8 +78,14 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append((text, bool(inside)))
+            own = " ".join(unescape("".join(t for t, link in zip(parts, linked) if not link)).split()) if any(linked) else text
+            out.append(Line(text, bool(inside), len(own)))
         parts.clear()
+        linked.clear()
+
+    def take(text: str) -> None:
+        parts.append(text)
+        linked.append(count["a"] > 0)
 
     def found(names: set[str], stop: set[str]) -> int:
         """The outermost open element of ``names`` within the innermost of ``stop``, or -1."""
@@ -85,10 +105,11 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
         if inside and inside[-1] >= to:
             flush()
         if 0 <= to <= skip:
+            empty = WINDOW if open_[skip] in REGIONS else 1
             skip = -1
             while inside and inside[-1] >= to:
                 inside.pop()
-            out.append(("", bool(inside)))
+            out.extend([Line("", bool(inside), 0)] * empty)
         while inside and inside[-1] >= to:
             inside.pop()
         for x in open_[to:]:
@@ -115,14 +136,14 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
         m = TOKEN.search(page, at)
         if m is None:
             if skip < 0 or in_head() and page[at:].strip():
-                parts.append(page[at:])
+                take(page[at:])
             break
         if m.start() > at:
             text = page[at : m.start()]
             if in_head() and text.strip():
                 end(skip)
             if skip < 0:
-                parts.append(text)
+                take(text)
         at = m.end()
         close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
@@ -133,7 +154,7 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
             raw, at = page[at : stop.start() if stop else n], stop.end() if stop else n
             if name in ("noscript", "textarea", "title"):
                 if not strip:
-                    parts.append(raw)
+                    take(raw)
             if name == "title":
                 flush()
             continue
@@ -141,7 +162,7 @@ def lines(page: str, strip: bool = True) -> list[tuple[str, bool]]:
             if name not in INLINE:
                 flush()
             elif name in ("br", "img"):
-                parts.append(" ")
+                take(" ")
         if name in ("html", "body") and close and skip >= 0:
             end(skip)  # the element was never closed
         if close:
@@ -177,26 +198,46 @@ def _marks(attributes: str) -> set[str]:
     return {w.lower() for m in ATTRIBUTE.finditer(attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")}
 
 
-def blocks(page: str, window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The blocks between surge and dive points, in page order."""
+def stretches(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """(rise, dive) of each stretch of lines between dives whose distribution reaches ``surge``."""
+    n = len(weights)
+    total = [0]
+    for w in weights:
+        total.append(total[-1] + w)
+    # the last lines share the last whole window, so that text does not end on the way
+    at = (min(i, max(0, n - window)) for i in range(n))
+    sums = [total[min(i + window, n)] - total[i] for i in at]
+    out, rise, peak = [], None, 0
+    for i, height in enumerate([*sums, 0]):
+        if height and rise is None:
+            rise, peak = i, height
+        elif height:
+            peak = max(peak, height)
+        elif rise is not None:
+            if peak >= surge:
+                out.append((rise, i))
+            rise = None
+    return out
+
+
+def blocks(page: str, window: int = WINDOW, surge: int = SURGE, marks: bool = True) -> list[str]:
+    """The blocks between surge and dive points, in page order; ``marks``: those of main content are heeded."""
     got = lines(page)
-    if any(text and marked for text, marked in got):
-        got, surge = [(text if marked else "", marked) for text, marked in got], 1
-    sizes = [len(text) for text, _ in got]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    if sums and max(sums) < surge:
-        surge = max(1, max(sums))  # a short page has its main text at the peak
+    if marks and any(x.text and x.marked for x in got):
+        got, surge = [x if x.marked else Line("", False, 0) for x in got], 1
+    weights = [x.weight for x in got]
+    # a short page has its main text at the peak, one of links only has all of them
+    found = stretches(weights, window, surge)
+    if not found and any(weights):
+        highest = max(sum(weights[i : i + window]) for i in range(len(weights)))
+        found = stretches(weights, window, min(surge, highest)) or [(0, len(got))]
+    elif not found:
+        found = [(0, len(got))]
     out: list[str] = []
-    i = 0
-    while i < len(sums):
-        if sums[i] >= surge and sizes[i]:
-            # surge: everything up to the dive
-            while i < len(sums) and sums[i]:
-                if sizes[i]:
-                    out.append(got[i][0])
-                i += 1
-        else:
-            i += 1
+    for a, b in found:
+        while a and not weights[a] and not weights[a - 1] and got[a - 1].text:
+            a += 1  # links that go on from those before the rise are a menu's end
+        out += [x.text for x in got[a:b] if x.text]
     return out
 
 
@@ -207,7 +248,7 @@ def main_text(page: str | None) -> str:
 
 def plain_text(page: str | None) -> str:
     """All visible text of a page, a block a line."""
-    return "\n".join(t for t, _ in lines(page, strip=False) if t) if page else ""
+    return "\n".join(x.text for x in lines(page, strip=False) if x.text) if page else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

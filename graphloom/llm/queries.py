@@ -50,7 +50,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
-    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES).withColumn("worse", F.round("worse", 6))
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +84,34 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), size=50)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+# ------------------------------------------------------------ what SQL can say of the others
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def warc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = op3_warc(spark, sf_dir)
+    pair = made.groupBy("page_id").agg(F.countDistinct("refers_to").alias("_n"))
+    return made.join(pair, "page_id").select("page_id", "warc_type", "target_uri", "content_type", (F.col("refers_to").startswith("<urn:uuid:") & (F.col("_n") == 1)).alias("refers_to_response"))
+
+
+def tiff_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
+
+
+def queries() -> Queries:
     return {f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_html, op5_urls, op6_lm, op7_bpe, op8_packing, op9_tiff, op10_substring)}
 
 
+def parts() -> Queries:
+    """Those columns of queries without SQL that SQL can express."""
+    return {f.__name__: f for f in (lm_base, warc_links, tiff_payloads)}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {"op2_quality": oracles.quality(), "op5_urls": oracles.urls(RULES), "op10_substring": oracles.substring(50), "lm_base": oracles.lm_base(), "warc_links": oracles.warc_links(), "tiff_payloads": oracles.tiff_payloads()}
