@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .words import slices
 
-#: Pieces that a worker remembers; on reaching this it starts afresh.
-MEMORY = 600_000
+#: Pieces that a worker remembers, and bytes of these and their ids; on reaching either it starts afresh.
+MEMORY, MEMORY_BYTES = 600_000, 64 << 20
 NEVER = np.int64(1) << 40
 #: Pieces of more bytes are merged one by one.
 LONG = 48
@@ -112,6 +112,7 @@ class Codec:
         self.trie_keys, self.trie_nodes, self.trie_token = keys[order], values[order], np.array(tokens, np.int64)
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _raw(self, token: str) -> bytes:
         return bytes(self.byte_of[c] for c in token)
@@ -267,13 +268,15 @@ class Codec:
         raw = {p: flat[a:b] for p, a, b in zip(pieces, [0, *ends], ends)}
         raw |= {pieces[i]: m for i, m in made.items()}
         for p, c in zip(parts, cut):
-            self.memo[p] = raw[c[0]] if len(c) == 1 else b"".join([raw[x] for x in c])
+            self.memo[p] = got = raw[c[0]] if len(c) == 1 else b"".join([raw[x] for x in c])
+            self.held += len(p) + len(got)
 
     # ------------------------------------------------------------ texts
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMORY:
+        if len(self.memo) > MEMORY or self.held > MEMORY_BYTES:
             self.memo.clear()
+            self.held = 0
         marks = [self.special[c].to_bytes(4, "little") if c in self.special else None for c in self.special]
         mark = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         any_mark = [c for c in self.special] if marks else []

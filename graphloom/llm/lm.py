@@ -60,20 +60,21 @@ class _Codes(dict):
 
     def __init__(self, words: list[bytes]):
         super().__init__(zip(words, range(len(words))))
-        self.fixed, self.rare = len(words), []
+        self.fixed, self.rare, self.bytes = len(words), [], 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = code = self.fixed + len(self.rare)
         self.rare.append(word)
+        self.bytes += len(word)
         return code
 
-    def trim(self, most: int = 400_000) -> bool:
-        """Whether other words were forgotten, as there were too many."""
-        full = len(self.rare) > most
+    def trim(self, most: int = 400_000, most_bytes: int = 32 << 20) -> bool:
+        """Whether other words were forgotten, as there were too many, or of too many bytes."""
+        full = len(self.rare) > most or self.bytes > most_bytes
         if full:
             for w in self.rare:
                 del self[w]
-            self.rare = []
+            self.rare, self.bytes = [], 0
         return full
 
 
@@ -109,12 +110,15 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen.clear()
 
         seen: Counter = Counter()
+        read = 0  # bytes of text, of which no more can be in new words
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 seen.update(t.lower().split())
+                read += len(t)
             seen[END] += b.num_rows
-            if len(seen) > 600_000:
+            if len(seen) > 600_000 or read > 128 << 20:
                 yield from out()
+                read = 0
         yield from out()
 
     return with_bytes(docs, text_col).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))

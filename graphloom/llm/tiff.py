@@ -46,9 +46,10 @@ class Page:
 
 
 # ------------------------------------------------------------ compression
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """The unpacked bytes, up to the run that reaches ``most``."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -85,11 +86,13 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def un_lzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes from the high bit down, a code longer one entry early."""
+def un_lzw(data: bytes, most: int | None = None) -> bytes:
+    """TIFF's LZW: codes from the high bit down, a code longer one entry early; up to the code that reaches ``most``."""
     bits = have = at = 0
     width, table, last, out = 9, [bytes([i]) for i in range(256)] + [b"", b""], b"", bytearray()
     while True:
+        if most is not None and len(out) >= most:
+            return bytes(out)
         while have < width:
             if at >= len(data):
                 return bytes(out)
@@ -109,7 +112,7 @@ def un_lzw(data: bytes) -> bytes:
                 raise TiffError("LZW: a string code comes first")
             entry = table[code]
         else:
-            if code > len(table):
+            if code > len(table) or len(table) > 4096:
                 raise TiffError("LZW: a code before its entry")
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
@@ -173,9 +176,9 @@ def decompress(data: bytes, how: int, size: int) -> bytes:
     if how == NONE:
         out = data
     elif how == LZW:
-        out = un_lzw(data)
+        out = un_lzw(data, size)
     elif how == PACKBITS:
-        out = unpack_bits(data)
+        out = unpack_bits(data, size)
     elif how in (DEFLATE, DEFLATE_OLD):
         try:
             out = zlib.decompressobj().decompress(data, size) if size else b""
@@ -227,18 +230,25 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 
 
 # ------------------------------------------------------------ reading
+#: Bytes of samples that a page may have; larger ones are errors, as a few bytes can claim any size.
+MOST_SAMPLES = 1 << 28
+
+
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
     """The image directories in order of their chain: (byte order, tag -> values)."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise TiffError("no TIFF header")
-    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
+    at, seen, entries = struct.unpack(order + "I", data[4:8])[0], set(), 0
     try:
         while at:
             if at in seen:
                 raise TiffError("the chain of directories loops")
             seen.add(at)
             (n,), tags = struct.unpack_from(order + "H", data, at), {}
+            entries += n
+            if 12 * entries > len(data):
+                raise TiffError("directories overlap")
             for i in range(n):
                 tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
                 if kind in TYPE_CODES:
@@ -255,24 +265,34 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
 
 
 def read(data: bytes) -> Iterator[Page]:
-    """The pages of a file; ``data`` holds the samples row by row, interleaved."""
+    """The pages of a file; ``data`` holds the samples row by row, interleaved.
+
+    Whatever a file claims, no more memory is taken than MOST_SAMPLES and the blocks allow; every fault is a ``TiffError``.
+    """
     for number, (_, tags) in enumerate(directories(data)):
-        one = lambda tag, default=None: tags.get(tag, [default])[0]
+        one = lambda tag, default=None: (tags.get(tag) or [default])[0]
         wide, high, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         how, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
         if wide is None or high is None:
             raise TiffError("no width or height")
-        if any(b != 8 for b in tags.get(BITS, [1])):
+        if min(wide, high, samples) < 1:
+            raise TiffError(f"a page of {wide} x {high} x {samples} samples")
+        if wide * high * samples > MOST_SAMPLES:
+            raise TiffError(f"a page of {wide * high * samples} samples")
+        if any(b != 8 for b in tags.get(BITS) or [1]):
             raise TiffError("only 8-bit samples are supported")
         if predictor not in (1, 2):
             raise TiffError(f"predictor {predictor}")
         tiled = TILE_OFFSETS in tags
-        bh, bw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, high), high), wide)
+        bh, bw = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS_PER_STRIP, high), high), wide)
         offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, []), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, [])
         planes, deep = (samples, 1) if planar == 2 else (1, samples)
-        spots = [(p, y, x) for p in range(planes) for y in range(0, high, bh or 1) for x in range(0, wide, bw or 1)]
-        if len(offsets) != len(spots) or len(counts) != len(spots):
-            raise TiffError(f"{len(offsets)} blocks where {len(spots)} are due")
+        if bh < 1 or bw < 1 or bh * bw * deep > MOST_SAMPLES:
+            raise TiffError(f"blocks of {bw} x {bh}")
+        due = planes * -(-high // bh) * -(-wide // bw)
+        if len(offsets) != due or len(counts) != due:
+            raise TiffError(f"{len(offsets)} blocks where {due} are due")
+        spots = ((p, y, x) for p in range(planes) for y in range(0, high, bh) for x in range(0, wide, bw))
         image = np.zeros((high, wide, samples), np.uint8)
         for (p, y, x), at, n in zip(spots, offsets, counts):
             rows = bh if tiled else min(bh, high - y)
@@ -286,8 +306,8 @@ def read(data: bytes) -> Iterator[Page]:
 def explode(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """One row per page: ``id_col``, page, width, height, samples, compression, predictor, mean, pixels, error.
 
-    A null or unreadable file gives one row with an ``error`` and null fields; pages
-    before the fault are kept.  Repeated rows and null ids pass through.
+    A null or unreadable file, or one with a page above MOST_SAMPLES, gives one row with an ``error`` and null fields; pages
+    before the fault are kept.  Repeated rows and null ids pass through; an empty table has no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,21 +335,25 @@ def explode(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
 #: Rows of samples on a page that ``store`` writes: longer payloads take more pages.
 PAGE_ROWS = 512
 UNIT = 192
+#: Ways to store, by turns of the text's CRC-32: compression, predictor, tile.
+WAYS = [(how, predictor, tile) for how, predictor in ((DEFLATE, 2), (LZW, 1), (PACKBITS, 1)) for tile in (None, (16, 64))]
 
 
 def store(text: bytes) -> bytes:
-    """A text as TIFF pages 192 samples wide, filled up with spaces to whole rows (one at least)."""
+    """A text as TIFF pages 192 samples wide, filled up with spaces to whole rows (one at least); equal texts are stored alike."""
     payload = text + b" " * (-len(text) % UNIT if text else UNIT)
     image = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    return write([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)])
+    how, predictor, tile = WAYS[zlib.crc32(text) % len(WAYS)]
+    return write([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], how, predictor, tile=tile)
 
 
 def features(pages: list[Page]) -> str:
-    """Pages, rows, mean sample, distinct samples and the three commonest samples."""
+    """Pages, compression and predictor, rows, mean sample, distinct samples and the three commonest samples."""
     data = np.frombuffer(b"".join(p.data for p in pages), np.uint8)
     count = np.bincount(data, minlength=256)
     top = np.argsort(-count, kind="stable")[:3]
-    return f"pages={len(pages)};rows={sum(p.height for p in pages)};mean={data.sum(dtype=np.int64) * 1000 // len(data)};distinct={int((count > 0).sum())};top={','.join(map(str, top))}"
+    kind = f"{pages[0].compression}/{pages[0].predictor}"
+    return f"pages={len(pages)};stored={kind};rows={sum(p.height for p in pages)};mean={data.sum(dtype=np.int64) * 1000 // len(data)};distinct={int((count > 0).sum())};top={','.join(map(str, top))}"
 
 
 def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,8 @@
 """WARC 1.1 records, and a builder that derives metadata and plain text from responses.
 
 Each response gives two linked records: a metadata record (warc-fields: HTTP
-status, content type, charset, title, links, text length) and a conversion record
-(the plain text).  Both refer to the response by its id and carry its target URI,
+status, content type, charset, title, links, text length, and all WARC and HTTP headers of the source)
+and a conversion record (the plain text).  Both refer to the response by its id and carry its target URI,
 date and digests; record ids are derived from their content, so a task that runs
 again writes the same bytes.
 """
@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html import plain_text
@@ -82,14 +82,21 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
         at = end + 4 + int(size)
 
 
-def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, lower-cased headers and body of an HTTP response; without a status line all is body."""
+def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """Status, headers in order and body of an HTTP response; without a status line all is body."""
     if not block.startswith(b"HTTP/"):
-        return None, {}, block
+        return None, [], block
     head, _, body = block.partition(END)
     first, *rest = head.decode("latin-1").split("\r\n")
     status = first.split(" ")[1] if " " in first else ""
-    return int(status) if status.isdigit() else None, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}, body
+    pairs: list[tuple[str, str]] = []
+    for line in rest:
+        if line[:1] in (" ", "\t") and pairs:
+            pairs[-1] = (pairs[-1][0], pairs[-1][1] + " " + line.strip())
+        else:
+            k, _, v = line.partition(":")
+            pairs.append((k.strip(), v.strip()))
+    return int(status) if status.isdigit() else None, pairs, body
 
 
 def response(url: str | None, html: str | None, date: str, *key: object) -> tuple[dict[str, str], bytes]:
@@ -104,7 +111,8 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     h = {k.lower(): v for k, v in headers.items()}
     if h.get("warc-type") != "response":
         return []
-    status, http, body = split_http(block)
+    status, sent, body = split_http(block)
+    http = {k.lower(): v for k, v in reversed(sent)}
     named = CHARSET.search(http.get("content-type", "")) or CHARSET.search(body[:1024].decode("latin-1"))
     charset = named[1].lower() if named else "utf-8"
     try:
@@ -115,7 +123,9 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     text = plain_text(page).encode()
     title = TITLE.search(page)
     fields = {"http-status": str(status or ""), "http-content-type": http.get("content-type", ""), "charset": charset, "title": FIELD.sub(" ", title[1]).strip() if title else "", "source-block-digest": h.get("warc-block-digest") or digest(block), "source-payload-digest": h.get("warc-payload-digest") or digest(body), "source-length": str(len(block)), "text-length": str(len(text)), "links": str(sum(1 for _ in LINK.finditer(page)))}
-    about = b"".join(f"{k}: {v}\r\n".encode() for k, v in fields.items())
+    # all headers of the source, one line each in their order
+    kept = [*(("source-warc-header", f"{k}: {v}") for k, v in headers.items()), *(("source-http-header", f"{k}: {v}") for k, v in sent)]
+    about = b"".join(f"{k}: {FIELD.sub(' ', v)}\r\n".encode() for k, v in [*fields.items(), *kept])
     link = {"WARC-Target-URI": url, "WARC-Date": date, "WARC-Refers-To": source, "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": date}
     if "warc-warcinfo-id" in h:
         link["WARC-Warcinfo-ID"] = h["warc-warcinfo-id"]
@@ -127,6 +137,12 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
 
 
 NAMES = ["warc_type", "record_id", "refers_to", "target_uri", "content_type", "source_digest", "block_digest", "content_length", "record"]
+KINDS = [pa.string()] * 7 + [pa.int64(), pa.binary()]
+
+
+def _row(h: dict[str, str], data: bytes, source_digest: str) -> tuple:
+    """The columns ``NAMES`` of a derived record."""
+    return h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["Content-Type"], source_digest, h["WARC-Block-Digest"], len(data), record(h, data)
 
 
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -143,9 +159,8 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 headers, block = response(url, html.decode("utf-8", "replace"), date, key)
                 for h, data in derive(headers, block):
                     row.append(i)
-                    out.append((h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["Content-Type"], headers["WARC-Payload-Digest"], h["WARC-Block-Digest"], len(data), record(h, data)))
-            kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[id_col, *NAMES])
+                    out.append(_row(h, data, headers["WARC-Payload-Digest"]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out), KINDS))], names=[id_col, *NAMES])
 
     source = pages.select(f"`{id_col}`", F.col(f"`{url_col}`").alias("_u"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("_b"))
     kind = source.schema[id_col].dataType.simpleString()
@@ -153,9 +168,10 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def records(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """One row per record of WARC files: ``id_col``, number, headers map, block, error.
+    """One row per record of WARC files in cells: ``id_col``, number, headers map, block, error.
 
-    A null or empty file has no rows.  A broken record comes with an ``error`` and ends its file.
+    A null or empty file has no rows.  A broken record comes with an ``error`` and ends its file.  Repeated rows
+    are read one by one.  Archives of any size are read by ``read_archives``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,3 +182,60 @@ def records(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
 
     source = files.select(f"`{id_col}`", F.coalesce(F.col(f"`{data_col}`").cast("binary"), F.lit(b"")).alias("_b"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, number int, headers map<string,string>, block binary, error string")
+
+
+def _whole(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict[str, str], bytes, str | None]]:
+    """Records of pieces in order; a piece that goes on with a block that holds the separator is joined to it."""
+    file, held, due = None, b"", 0
+    for name, piece in pieces:
+        if held and name == file and len(held) < due:
+            held += SEPARATOR + piece
+        else:
+            if held:
+                yield file, *next(parse(held))
+            held = piece if piece.startswith(b"WARC/") else SEPARATOR[len(END) :] + piece
+            file, due = name, 0
+        if not due:
+            head = held.find(END)
+            size = SIZE.search(held, 0, head + 2) if head >= 0 else None
+            due = head + len(END) + int(size[1]) if size else 0
+    if held:
+        yield file, *next(parse(held))
+
+
+SEPARATOR = END + b"WARC/1."
+SIZE = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
+
+
+def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, headers map, block, error) of all records of WARC 1.x files, plain or compressed.
+
+    Files are read by Spark's text source with the end of a record as line separator: large plain files are
+    split over tasks, compressed ones are streamed, and a task holds a record at a time.  A record that is cut off or has no
+    header comes with an ``error``; of a block that holds the separator itself a part that lies in another task's split does too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((f, t) for b in batches for part in slices([b]) for f, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t.strip())
+        for file, headers, block, error in _whole(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary()), pa.array([error], pa.string())], names=["file", "headers", "block", "error"])
+
+    pieces = spark.read.option("lineSep", SEPARATOR.decode()).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("_b"))
+    return pieces.mapInArrow(run, "file string, headers map<string,string>, block binary, error string")
+
+
+def derive_all(archive: DataFrame) -> DataFrame:
+    """(file, ``NAMES``): the derived records of the responses among ``archive``, rows of ``read_archives``; other records and faults give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            row, out = [], []
+            for i, (headers, block) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                source = dict(headers or [])
+                for h, data in derive(source, block):
+                    row.append(i)
+                    out.append(_row(h, data, source.get("WARC-Payload-Digest") or digest(split_http(block)[2])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(NAMES), KINDS))], names=["file", *NAMES])
+
+    whole = archive.where("error IS NULL").select("file", "headers", F.col("block").alias("_b"))
+    return whole.mapInArrow(run, "file string, warc_type string, record_id string, refers_to string, target_uri string, content_type string, source_digest string, block_digest string, content_length long, record binary")

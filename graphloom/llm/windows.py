@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Word hashes that a worker remembers before it starts afresh.
-MEMORY = 100_000
+#: Word hashes that a worker remembers before it starts afresh, and bytes of the longest words remembered.
+MEMORY, LONGEST = 100_000, 64
 # An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -23,7 +23,9 @@ _powers: dict[int, np.ndarray] = {}
 
 class _Hashes(dict):
     def __missing__(self, word):
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
 
