@@ -1,9 +1,9 @@
 """Lossless join of texts by the Jaccard similarity of word shingles, by prefix filter.
 
 Two sets of similarity t or more share one of the first n - ceil(t * n) + 1 elements at
-least, if both are sorted by one order.  Any order will do.  Here elements that many texts would
-have among their first ones come last: they are counted over all texts, under the order of the hashes alone, and
-those above a fixed number go to all tasks, the commonest first if they are more than a bound.  So common lines seldom
+least, if both are sorted by one order.  Any order will do.  Here elements of many texts come last: every
+text gives a fifth of its elements, drawn by its own hash, to a count over all texts, and
+those counted often enough go to all tasks, the commonest first if they are more than a bound.  So common lines seldom
 are among the first elements, and the number of texts that share one does not grow with the corpus.  Pairs that
 lie in one candidate group already are left out: the exact check of the group has
 decided them.  Of the others, those stay whose sizes and number of shared first elements
@@ -12,23 +12,20 @@ allow the similarity, and these are compared in full.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import kept
 from .confirm import shingle_set, shingle_sets
+from .windows import mix
 from .words import only, release, slices, with_bytes
 
-#: Texts that have a shingle among their first ones by hash from which on it counts as frequent, and the most frequent shingles sent to tasks (16 bytes each).
-FREQUENT, MOST = 4, 1 << 20
-
-NONE = np.zeros(0, np.int64)
-
+#: Of a text's shingles one in so many is counted; counts from which on a shingle is frequent; most frequent shingles sent to tasks (16 bytes each).
+DRAWN, FREQUENT, MOST = 5, 4, 1 << 20
 
 def prefix(items: np.ndarray, percent: int, often: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The first elements of a sorted set; ``often`` (sorted) are the frequent ones, ``times`` how frequent."""
@@ -39,16 +36,21 @@ def prefix(items: np.ndarray, percent: int, often: np.ndarray, times: np.ndarray
     return items[:first]
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: Broadcast | None = None) -> DataFrame:
-    """(``_id``, ``_h``, ``_n``, ``_p``): id, MD5, number of shingles and the first of them; ``frequent``: shingles (sorted) and how often they occur."""
+def drawn(items: np.ndarray, name: str) -> np.ndarray:
+    """One in DRAWN of a text's elements, which ones depends on the text."""
+    return items[mix(items.view(np.uint64) ^ np.uint64(int(name[:16], 16))) % np.uint64(DRAWN) == 0]
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, pick: Callable[[], Callable]) -> DataFrame:
+    """(``_id``, ``_h``, ``_n``, ``_p``): id, MD5, number of shingles, and those that ``pick()(shingles, MD5)`` chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = frequent.value if frequent else (NONE, NONE)
+        choose = pick()
         for b in slices(batches):
             sets = [shingle_set(t, size) for t in b.column(2).to_pylist()]
-            firsts = [prefix(s, percent, often, times) for s in sets]
-            ends = np.cumsum([0, *map(len, firsts)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
+            some = [choose(s, h) for s, h in zip(sets, b.column(1).to_pylist())]
+            ends = np.cumsum([0, *map(len, some)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(some)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), lists], names=["_id", "_h", "_n", "_p"])
 
     rows = with_bytes(only(docs, _id=id_col, _t=text_col), "_t", "_id").select("_id", F.md5("_b").alias("_h"), "_b")
@@ -87,11 +89,12 @@ def similar_texts(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str
 
     ``placed``: (``_h``, ``_rep``, ``_group`` long), a row per different text; ``_rep`` is the id of a row that has it.
     """
-    by_hash = _prefixes(docs, id_col, text_col, size, percent).select(F.explode("_p").alias("_s"))
-    counts = kept(by_hash.groupBy("_s").agg(F.count("*").alias("_c")).where(F.col("_c") >= FREQUENT)).orderBy(F.desc("_c"), "_s").limit(MOST).toArrow()
+    some = _sets(docs, id_col, text_col, size, lambda: drawn).select(F.explode("_p").alias("_s"))
+    counts = kept(some.groupBy("_s").agg(F.count("*").alias("_c")).where(F.col("_c") >= FREQUENT)).orderBy(F.desc("_c"), "_s").limit(MOST).toArrow()
     often, times = (counts.column(c).to_numpy().astype(np.int64) for c in ("_s", "_c"))
     order = np.argsort(often)
-    firsts = _prefixes(docs, id_col, text_col, size, percent, docs.sparkSession.sparkContext.broadcast((often[order], times[order])))
+    sent = docs.sparkSession.sparkContext.broadcast((often[order], times[order]))
+    firsts = _sets(docs, id_col, text_col, size, lambda: lambda items, _: prefix(items, percent, *sent.value))
     listed = placed.select(F.col("_h").alias("_want"), "_rep", "_group")
     # no sort of the lists: the hash table holds the short rows
     mine = firsts.join(listed.hint("shuffle_hash"), (F.col("_h") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_rep")))
