@@ -3,7 +3,7 @@
 from importlib import import_module
 
 __version__ = "0.1.0"
-_WHERE = {"Config": "config", "process_files": "pipeline", "merge_files": "pipeline", "export_all": "sinks.export", "viewer": "sinks.export"}
+_WHERE = {"Config": "config", "get_config": "config", "set_config": "config", "process_file": "pipeline", "process_files": "pipeline", "merge_files": "pipeline", "export_all": "sinks.export", "viewer": "sinks.export"}
 __all__ = list(_WHERE)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 FENCE = re.compile(r"^\s*```[\w-]*\s*\n?|\n?\s*```\s*$")
 BARE = re.compile(r"[^\s,:\[\]{}\"']+")
+HEX = re.compile(r"[0-9a-fA-F]{4}")
+PART = re.compile(r"\"(?:[^\"\\]|\\.)*\"|[{}]", re.S)
 WORDS = {"true": True, "false": False, "null": None, "none": None, "nan": None, "undefined": None}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
@@ -54,7 +56,7 @@ class _Reader:
             if c == "\\" and self.at < len(self.text):
                 c = self.text[self.at]
                 self.at += 1
-                if c == "u" and re.match(r"[0-9a-fA-F]{4}", self.text[self.at :]):
+                if c == "u" and HEX.match(self.text, self.at):
                     c = chr(int(self.text[self.at : self.at + 4], 16))
                     self.at += 4
                 else:
@@ -125,39 +127,53 @@ class _Reader:
             out.append(self.value(depth + 1))
 
 
+def objects(text: str) -> list[tuple[int, int]]:
+    """(from, to) of the complete brace pairs of a text, found in one pass that heeds strings and one that does not.
+
+    In the first a quotation mark without a second one is no string.
+    """
+    found, open_ = [], []
+    at = text.find("{")
+    while at >= 0:
+        # strings are heeded only inside of braces
+        m = PART.search(text, at) if open_ else None
+        at = m.start() if m else text.find("{", at) if not open_ else -1
+        if at < 0:
+            break
+        end = at + 1
+        if text[at] == "{":
+            open_.append(at)
+        elif text[at] == "}":
+            found.append((open_.pop(), end))
+        else:
+            end = m.end()
+        at = end
+    open_ = []
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            found.append((open_.pop(), m.end()))
+    return sorted(set(found))
+
+
 def salvage(text: str) -> dict | None:
     """Nodes and edges from whatever complete objects stand in the text; ids stay."""
-    nodes, edges, at = [], [], 0
-    while (at := text.find("{", at)) >= 0:
-        depth, end, quote = 0, at, None
-        while end < len(text):
-            c = text[end]
-            if quote:
-                if c == "\\":
-                    end += 1
-                elif c == quote:
-                    quote = None
-            elif c == '"':
-                quote = c
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    break
-            end += 1
+    nodes, edges, done = [], [], 0
+    for at, end in objects(text):
+        if at < done:
+            continue  # within an object that was taken
         try:
-            got = _Reader(text[at : end + 1]).value() if depth == 0 and end < len(text) else None
+            got = _Reader(text[at:end]).value()
         except ValueError:
-            got = None
+            continue
         if isinstance(got, dict) and "source" in got and "target" in got:
             edges.append(got)
         elif isinstance(got, dict) and "label" in got and "nodes" not in got:
             nodes.append(got)
         else:
-            at += 1
             continue
-        at = end + 1
+        done = end
     return {"nodes": nodes, "edges": edges} if nodes or edges else None
 
 
@@ -167,7 +183,7 @@ def parse(raw: str | None) -> tuple[object, str]:
         return None, "failed"
     try:
         return json.loads(raw), "ok"
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
     text = FENCE.sub("", raw)
     start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
@@ -183,7 +199,15 @@ def parse(raw: str | None) -> tuple[object, str]:
     return (got, "salvaged") if got else (None, "failed")
 
 
+def as_text(value: object, status: str) -> tuple[str | None, str]:
+    """A parsed value as JSON; what is nested too deeply to be written has failed."""
+    try:
+        return (None if status == "failed" else json.dumps(value, ensure_ascii=False)), status
+    except RecursionError:
+        return None, "failed"
+
+
 @F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("status", T.StringType())]))
 def repair_json(raw: pd.Series) -> pd.DataFrame:
-    got = [parse(x) for x in raw]
-    return pd.DataFrame({"json": [None if s == "failed" else json.dumps(v, ensure_ascii=False) for v, s in got], "status": [s for _, s in got]})
+    got = [as_text(*parse(x)) for x in raw]
+    return pd.DataFrame({"json": [v for v, _ in got], "status": [s for _, s in got]})

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,8 +54,11 @@ def normalize_label(label: Column) -> Column:
     text = F.lower(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)^\s+|\s+$", ""))
     folded = F.regexp_replace(F.translate(text, one, base), r"[^\x00-\x7F]", "")
     folded = F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\w\s]", ""), r"\s+", " "))
-    odd = text.rlike(f"[{re.escape(several)}\\x{{2FFF}}-\\x{{10FFFF}}]") | ((folded == "") & (text != ""))
-    return F.when(odd, _normalize_udf(F.when(odd, label))).otherwise(folded)
+    # what is left of the text without the characters that fold to one letter is plain or odd
+    odd = F.length(F.translate(text, several, "")) < F.length(text)
+    beyond = text.rlike("[\\x{2FFF}-\\x{10FFFF}]")
+    ascii_ = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(~ascii_ & (odd | beyond | ((folded == "") & (text != ""))), _normalize_udf(F.when(~ascii_ & (odd | beyond | ((folded == "") & (text != ""))), label))).otherwise(folded)
 
 
 def indel_ratio(a: str, b: str) -> int:
@@ -73,9 +77,47 @@ def indel_ratio(a: str, b: str) -> int:
     return 200 * (len(a) - row.bit_count()) // total
 
 
+#: Characters of the shorter label up to which pairs are compared together, in one machine word each.
+WORD_BITS = 64
+
+
+def _code_points(labels: list[str], width: int, fill: int) -> np.ndarray:
+    out = np.full((len(labels), width), fill, np.uint32)
+    flat = np.frombuffer("".join(labels).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, labels), np.int64, len(labels))
+    out[np.arange(width) < size[:, None]] = flat
+    return out
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``indel_ratio`` of many pairs: the same bit-parallel rows, for all pairs of like length at once."""
+    out = np.empty(len(a), np.int32)
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    short, long_ = (np.fromiter((len(p[i]) for p in pairs), np.int64, len(pairs)) for i in (0, 1))
+    for i in np.flatnonzero(short > WORD_BITS).tolist():
+        out[i] = indel_ratio(*pairs[i])
+    todo = np.flatnonzero(short <= WORD_BITS)
+    todo = todo[np.argsort(long_[todo], kind="stable")]
+    for at in range(0, len(todo), 4096):
+        who = todo[at : at + 4096]
+        n, m = short[who], long_[who]
+        # neither filling occurs in a text, and they differ
+        x = _code_points([pairs[i][0] for i in who.tolist()], int(n.max()), 0xFFFFFFFF)
+        y = _code_points([pairs[i][1] for i in who.tolist()], int(m.max()), 0xFFFFFFFE)
+        bit = np.left_shift(np.uint64(1), np.arange(x.shape[1], dtype=np.uint64))
+        full = np.where(n == WORD_BITS, ~np.uint64(0), np.left_shift(np.uint64(1), np.minimum(n, WORD_BITS - 1).astype(np.uint64)) - np.uint64(1))
+        row = full.copy()
+        for j in range(y.shape[1]):
+            hit = row & np.where(x == y[:, j : j + 1], bit, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            row = (row + hit | row - hit) & full
+        common, total = n - np.bitwise_count(row).astype(np.int64), n + m
+        out[who] = np.where(total > 0, 200 * common // np.maximum(total, 1), 100)
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(indel_ratios(a.tolist(), b.tolist()))
 
 
 def relation_type(name: Column) -> Column:

@@ -84,6 +84,19 @@ def type_colors(nodes: DataFrame) -> DataFrame:
     return first.select("type", rank.alias("rank")).withColumn("color", F.element_at(F.array(*map(F.lit, PALETTE)), F.col("rank") % len(PALETTE) + 1))
 
 
+def legend(nodes: DataFrame) -> DataFrame:
+    """(type, color), by type."""
+    return type_colors(nodes).select("type", "color").orderBy("type")
+
+
+def circle(nodes: DataFrame, radius: float = 300.0) -> DataFrame:
+    """(id, x, y): nodes on a circle in their order, the viewer's first layout."""
+    n = nodes.agg(F.count("*").alias("_n"))
+    # one row
+    angle = 2 * F.pi() * (F.col("ord") - 1) / F.col("_n")
+    return nodes.select("id", "ord").join(F.broadcast(n)).select("id", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+
+
 def viewer_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(type_colors(nodes), "type").select("ord", "id", "label", "type", "color", F.col("description").alias("desc"), F.col("properties").alias("props"))
 
@@ -95,4 +108,5 @@ def viewer_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bounds(points: DataFrame) -> DataFrame:
+    """One row: the box around (x, y)."""
     return points.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))

@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.jsonrepair import parse
 from ..functions.text import relation_type
@@ -36,6 +37,17 @@ def with_labels(nodes: DataFrame, edges: DataFrame, missing: str | None = None)
     return out
 
 
+def like(properties: Column, have: T.MapType, want: T.MapType) -> Column:
+    """Properties with values of the type that ``want`` has; JSON values of any type stay what they are in a variant."""
+    return properties if have.valueType == want.valueType else F.transform_values(properties, lambda _, v: v.cast(want.valueType))
+
+
+def overlaid(old: Column, new: Column) -> Column:
+    """``old`` properties with those of ``new`` in their place, key by key; values are replaced whole, also by nulls."""
+    stays = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    return F.when(F.size(F.coalesce(F.map_keys(new), F.array())) > 0, F.coalesce(F.map_concat(stays, new), new)).otherwise(old)
+
+
 def apply_enrichment(batches: DataFrame, replies: DataFrame) -> DataFrame:
     """Edges (graph_ord, batch, pos, ...) with the replies (graph_ord, batch, items: ENRICHED) to their batch.
 
@@ -47,9 +59,8 @@ def apply_enrichment(batches: DataFrame, replies: DataFrame) -> DataFrame:
     item = item.groupBy("graph_ord", "batch", "pos").agg(F.max_by("_i", "_p").alias("_i"))
     kind, label = relation_type(F.col("_i.type")), F.trim("_i.label")
     joined = batches.withColumn("pos", F.col("pos").cast("long")).join(item, ["graph_ord", "batch", "pos"], "left")
-    has = F.size(F.coalesce(F.map_keys("_i.properties"), F.array())) > 0
-    fresh = F.map_concat(F.map_filter("properties", lambda k, v: ~F.array_contains(F.map_keys("_i.properties"), k)), F.col("_i.properties"))
-    return joined.withColumns({"type": F.when((kind != "") & ~kind.isin(*GENERIC_TYPES), kind).otherwise(F.col("type")), "label": F.when(label != "", label).otherwise(F.col("label")), "properties": F.when(has, F.coalesce(fresh, "_i.properties")).otherwise(F.col("properties"))}).drop("_i")
+    merged = overlaid(F.col("properties"), like(F.col("_i.properties"), joined.schema["_i"].dataType["properties"].dataType, joined.schema["properties"].dataType))
+    return joined.withColumns({"type": F.when((kind != "") & ~kind.isin(*GENERIC_TYPES), kind).otherwise(F.col("type")), "label": F.when(label != "", label).otherwise(F.col("label")), "properties": merged}).drop("_i")
 
 
 def drop_invalid(batches: DataFrame, replies: DataFrame) -> DataFrame:
@@ -76,13 +87,21 @@ ENRICH = "Give each relation a precise upper-case verb as type and a label of at
 VERIFY = "For each relation say whether its evidence supports it. Answer with a JSON array of {idx, valid, reason}; idx is the item's pos."
 
 
-def enrich(nodes: DataFrame, edges: DataFrame, provider, size: int = 30) -> DataFrame:
+def enrich(nodes: DataFrame, edges: DataFrame, provider, size: int = 30, metrics=None) -> DataFrame:
     """Edges with vague ones enriched, pruned again since new types can make equal triples."""
-    vague = batched(with_labels(nodes, edges.where(needs_enrichment())), size)
-    better = apply_enrichment(vague, ask(vague, provider, ENRICH, ENRICHED)).select(edges.columns)
-    return prune(nodes, edges.where(~F.coalesce(needs_enrichment(), F.lit(False))).unionByName(better))
+    vague = batched(with_labels(nodes, edges.where(needs_enrichment())), size).withColumn("_old", F.struct("type", "label"))
+    better = apply_enrichment(vague, ask(vague, provider, ENRICH, ENRICHED))
+    if metrics:
+        better = metrics.enriched(better, ~F.col("_old").eqNullSafe(F.struct("type", "label")))
+    return prune(nodes, edges.where(~F.coalesce(needs_enrichment(), F.lit(False))).unionByName(better.select(edges.columns)))
 
 
-def verify(nodes: DataFrame, edges: DataFrame, provider, size: int = 20) -> DataFrame:
+def verify(nodes: DataFrame, edges: DataFrame, provider, size: int = 20, metrics=None) -> DataFrame:
+    """Edges without those that the provider calls invalid; no verdict keeps an edge."""
     all_ = batched(with_labels(nodes, edges, "?"), size)
-    return drop_invalid(all_, ask(all_, provider, VERIFY, VERDICTS)).select(edges.columns)
+    replies = ask(all_, provider, VERIFY, VERDICTS)
+    if not metrics:
+        return drop_invalid(all_, replies).select(edges.columns)
+    bad = drop_invalid(all_, replies).select("graph_ord", "edge_ord", F.lit(True).alias("_ok"))
+    told = metrics.verified(all_.join(bad, ["graph_ord", "edge_ord"], "left"), F.col("_ok").isNull())
+    return told.where("_ok").select(edges.columns)

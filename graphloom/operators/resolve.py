@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_ratio, normalize_label
 from ..schema import DEFAULT_EDGE_TYPE, DEFAULT_NODE_TYPE
+from .components import components
 from .materialize import materialize
+from .numbering import numbered
 
 
 #: Ways to leave characters out of a label up to which all are tried.
@@ -116,27 +118,75 @@ def similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
     return pairs.where(fuzzy_ratio("norm", "other") >= threshold)
 
 
-def representatives(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(scope, norm, rep): the entity of each label; rounds decide a label once all its earlier neighbours are decided."""
+#: Labels of a component up to which one task decides it.
+COMPONENT = 50_000
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(scope, norm, rep) of the later labels of whole components: (root, scope, label, earlier neighbour) in order of first sight."""
+    rep: dict[tuple[str, str], str] = {}
+    root, now, found = None, None, None
+    out: list[tuple] = []
+    for b in batches:
+        for component, scope, label, earlier in zip(*(c.to_pylist() for c in b.columns)):
+            if (component, scope, label) != now:
+                if now:
+                    rep[now[1:]] = found or now[2]
+                    out.append((*now[1:], found or now[2]))
+                if component != root:
+                    root, rep = component, {}
+                now, found = (component, scope, label), None
+            # the earliest neighbour that is an entity of its own
+            if found is None and rep.get((scope, earlier), earlier) == earlier:
+                found = earlier
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["scope", "norm", "rep"])
+            out.clear()
+    if now:
+        out.append((*now[1:], found or now[2]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["scope", "norm", "rep"])
+
+
+def representatives(labels: DataFrame, pairs: DataFrame, most: int = COMPONENT) -> DataFrame:
+    """(scope, norm, rep): the entity of each label.
+
+    Labels of a component of the similarity graph are decided within one task, in order of first sight.  Components of more than ``most``
+    labels are decided in rounds over all tasks (``_rounds``).
+    """
+    # labels are known by hashes here: two that collide are in one component, which does no harm
+    pairs = materialize(pairs.withColumns({"_u": F.xxhash64("scope", "norm"), "_v": F.xxhash64("scope", "other")}))
+    roots = components(pairs.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    placed = pairs.join(roots.withColumnRenamed("node", "_u"), "_u")
+    large = materialize(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
+    some = not large.isEmpty()
+    small = placed.join(large, "root", "left_anti") if some else placed
+    dealt = small.repartition("root").sortWithinPartitions("root", "scope", "other_ord", "other", "ord").select("root", "scope", "other", "norm")
+    found = dealt.mapInArrow(_decide, "scope string, norm string, rep string")
+    if some:
+        found = found.unionByName(_rounds(placed.join(large, "root", "left_semi").select("scope", "norm", "ord", "other", "other_ord")))
+    return labels.select("scope", "norm").join(found, ["scope", "norm"], "left").select("scope", "norm", F.coalesce("rep", "norm").alias("rep"))
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """(scope, norm, rep) of the later labels of ``pairs``, in rounds that each decide a label once all its earlier neighbours are decided."""
     pairs = materialize(pairs)
-    touched = pairs.select("scope", F.col("other").alias("norm")).distinct()
-    entity = materialize(labels.select("scope", "norm").join(touched, ["scope", "norm"], "left_anti"))
-    gone = None
-    open_ = materialize(pairs)
-    while open_.count():
-        # labels with an earlier entity next to them are no entities
-        lost = open_.join(entity, ["scope", "norm"], "left_semi").select("scope", F.col("other").alias("norm")).distinct()
-        lost = materialize(lost)
-        gone = lost if gone is None else materialize(gone.unionByName(lost).distinct())
-        key = [F.col("scope"), F.col("other").alias("norm")]
-        left = open_.join(lost.withColumnRenamed("norm", "other"), ["scope", "other"], "left_anti").join(gone, ["scope", "norm"], "left_anti")
-        left = materialize(left)
-        waiting = open_.select(*key).distinct().join(lost, ["scope", "norm"], "left_anti")
-        fresh = waiting.join(left.select(*key).distinct(), ["scope", "norm"], "left_anti")
-        entity = materialize(entity.unionByName(fresh))
-        open_ = left
+    later = pairs.select("scope", F.col("other").alias("norm")).distinct()
+    fresh = materialize(pairs.select("scope", "norm").distinct().join(later, ["scope", "norm"], "left_anti"))
+    entity, open_ = fresh, pairs
+    while not open_.isEmpty():
+        # labels next to an entity of the last round are none themselves
+        lost = materialize(open_.join(fresh, ["scope", "norm"], "left_semi").select("scope", F.col("other").alias("norm")).distinct())
+        ends = lost.withColumnRenamed("norm", "other")
+        # what is left waits for neighbours that are not decided yet; those of ``lost`` hold nobody back
+        left = materialize(open_.join(ends, ["scope", "other"], "left_anti").join(lost, ["scope", "norm"], "left_anti").join(fresh, ["scope", "norm"], "left_anti"))
+        waiting = open_.select("scope", F.col("other").alias("norm")).distinct().join(lost, ["scope", "norm"], "left_anti")
+        fresh = materialize(waiting.join(left.select("scope", F.col("other").alias("norm")).distinct(), ["scope", "norm"], "left_anti"))
+        entity, open_ = entity.unionByName(fresh), left
+    entity = materialize(entity)
     best = pairs.join(entity, ["scope", "norm"], "left_semi").groupBy("scope", "other").agg(F.min_by("norm", "ord").alias("rep")).withColumnRenamed("other", "norm")
-    return labels.select("scope", "norm").join(best, ["scope", "norm"], "left").join(entity.withColumn("_own", F.lit(True)), ["scope", "norm"], "left").select("scope", "norm", F.when(F.col("_own"), F.col("norm")).otherwise(F.coalesce(F.col("rep"), F.col("norm"))).alias("rep"))
+    own = entity.withColumn("_own", F.lit(True))
+    return later.join(best, ["scope", "norm"], "left").join(own, ["scope", "norm"], "left").select("scope", "norm", F.when(F.col("_own"), F.col("norm")).otherwise(F.coalesce("rep", "norm")).alias("rep"))
 
 
 def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = None) -> DataFrame:
@@ -156,32 +206,18 @@ def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = No
 
 
 def merge_nodes(resolved: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per entity: first label, type and description, properties with the last value of each key, and ``first``."""
-    keys = [*(keys or []), "type_key", "rep"]
-    at = F.struct("graph_ord", "node_ord")
-    heads = resolved.groupBy(*keys).agg(F.min(at).alias("first"), F.min_by(F.struct("label", "type"), at).alias("_head"), F.min_by("description", F.when(F.col("description") != "", at)).alias("description"))
-    flat = resolved.select(*keys, at.alias("_at"), F.explode("properties").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.max_by("_v", "_at").alias("_v"))
-    props = flat.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("properties"))
-    kind = resolved.schema["properties"].dataType.simpleString()
-    return heads.join(props, keys, "left").select(*keys, "first", F.col("_head.label").alias("label"), F.col("_head.type").alias("type"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("properties", F.expr(f"cast(map() as {kind})")).alias("properties"))
-
-
-def numbered(merged: DataFrame, order: list[str]) -> DataFrame:
-    """``ord`` from 1 in the given order.
+    """One row per entity: first label, type and description, properties with the last value of each key, and ``first``.
 
-    Ranges of the order are counted and offset, so no task sees more than its range.
+    ``resolved`` is read once: its rows are counted per entity and property key before entities are put together.
     """
-    spark = merged.sparkSession
-    ranged = materialize(merged.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order).withColumn("_mi", F.monotonically_increasing_id()))
-    part = F.shiftright("_mi", 33)
-    # one number per partition
-    counts = {r[0]: r[1] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part) if before else F.lit(0)
-    return ranged.withColumn("ord", (offset + F.col("_mi").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_mi")
+    keys = [*(keys or []), "type_key", "rep"]
+    at = F.struct("graph_ord", "node_ord")
+    # a node without properties has one row with a null key
+    flat = resolved.select(*keys, at.alias("_at"), F.struct("label", "type").alias("_head"), "description", F.explode_outer("properties").alias("_k", "_v"))
+    told = F.when(F.col("description") != "", F.struct("_at", "description"))
+    some = flat.groupBy(*keys, "_k").agg(F.min("_at").alias("_first"), F.min_by("_head", "_at").alias("_head"), F.min(told).alias("_told"), F.max_by("_v", "_at").alias("_v"))
+    whole = some.groupBy(*keys).agg(F.min("_first").alias("first"), F.min_by("_head", "_first").alias("_head"), F.min("_told").alias("_told"), F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))).alias("_props"))
+    return whole.select(*keys, "first", F.col("_head.label").alias("label"), F.col("_head.type").alias("type"), F.coalesce("_told.description", F.lit("")).alias("description"), F.map_from_entries("_props").alias("properties"))
 
 
 def merge(nodes: DataFrame, edges: DataFrame, threshold: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +228,8 @@ def merge(nodes: DataFrame, edges: DataFrame, threshold: int = 90) -> tuple[Data
     Ids are n1, n2, ... in order of first sight; of nodes with the same id in a
     graph the last counts; edges without both ends are left out.
     """
-    resolved = entities(nodes, threshold)
+    # read twice, for the entities and for the ids
+    resolved = materialize(entities(nodes, threshold))
     merged = numbered(merge_nodes(resolved), ["first"]).withColumn("id", F.concat(F.lit("n"), F.col("ord")))
     ids = resolved.where("orig_id IS NOT NULL").groupBy("graph_ord", "orig_id").agg(F.max_by(F.struct("type_key", "rep"), "node_ord").alias("_e")).select("graph_ord", "orig_id", "_e.*").join(merged.select("type_key", "rep", "id"), ["type_key", "rep"]).select("graph_ord", "orig_id", "id")
     return merged.select("ord", "id", "label", "type", "properties", "description"), remap(edges, ids)
@@ -215,9 +252,9 @@ def prune(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def merge_two_levels(nodes: DataFrame, edges: DataFrame, threshold: int = 90, doc_col: str = "doc_ord") -> tuple[DataFrame, DataFrame]:
-    """Within each document first, then across documents; both levels prune."""
-    scoped = entities(nodes, threshold, [doc_col])
+def merge_two_levels(nodes: DataFrame, edges: DataFrame, threshold: int = 90, doc_col: str = "doc_ord", metrics=None) -> tuple[DataFrame, DataFrame]:
+    """Within each document first, then across documents; both levels prune.  ``metrics`` counts the edges of the second."""
+    scoped = materialize(entities(nodes, threshold, [doc_col]))
     inner = merge_nodes(scoped, [doc_col])
     order = Window.partitionBy(doc_col).orderBy("first")
     inner = materialize(inner.withColumn("node_ord", F.row_number().over(order)).withColumn("orig_id", F.concat(F.lit("n"), F.col("node_ord"))))
@@ -230,4 +267,6 @@ def merge_two_levels(nodes: DataFrame, edges: DataFrame, threshold: int = 90, do
     local = local.withColumn("edge_ord", F.row_number().over(Window.partitionBy(doc_col).orderBy("graph_ord", "edge_ord"))).withColumn("graph_ord", F.col(doc_col))
     outer = inner.select(F.col(doc_col).alias("graph_ord"), "node_ord", "orig_id", "label", "type", "properties", "description")
     merged, joined = merge(outer, local, threshold)
-    return merged, prune(merged, joined)
+    if not metrics:
+        return merged, prune(merged, joined)
+    return merged, metrics.after_pruning(prune(merged, metrics.before_pruning(joined)))

@@ -5,34 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config
-from .functions.chunking import chunks
+from .config import Config, get_config
+from .functions.chunking import chunks_by
 from .operators.materialize import materialize
+from .operators.metrics import RunMetrics
 from .operators.refine import enrich, verify
 from .operators.resolve import merge, merge_two_levels, prune
+from .progress import answered
 from .sources.files import not_blank, read_files, read_graphs, texts
 from .sources.providers import Chat, graph_rows, responses
 
 
-def process_files(spark: SparkSession, paths: list[str], provider=None, config: Config = Config(), enriched: bool = True, verified: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Merged (nodes, edges) of documents, resolved within each and then across them."""
-    provider = provider or Chat(config)
+def process_files(spark: SparkSession, paths: list[str], provider=None, config: Config | None = None, enriched: bool = True, verified: bool = False, resume: bool = True, metrics: RunMetrics | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged (nodes, edges) of documents, resolved within each and then across them.
+
+    Without a provider the configured endpoint is asked, of the configured model or else its first.  With ``config.answers_dir`` answers
+    stay there, and with ``resume`` those of earlier runs are used.  ``metrics`` counts what the run does.
+    """
+    config = config or get_config()
+    provider = provider or Chat(config).resolved()
     docs = not_blank(texts(read_files(spark, paths)))
-    cut = chunks(docs, config.chunk_size, config.chunk_overlap)
+    cut = chunks_by(docs, config)
+    if config.answers_dir:
+        named = cut.join(docs.select("doc_ord", "name"), "doc_ord")
+        answers = answered(named, provider, config.answers_dir, config.answers_hash(), resume, config.workers)
+    else:
+        answers = responses(cut, provider, workers=config.workers)
     # answers are kept, so a lost task never asks again for those that came
-    answers = materialize(responses(cut, provider, workers=config.workers))
+    answers = materialize(answers)
+    if metrics:
+        answers = metrics.answers(answers)
     nodes, edges = graph_rows(answers.where("json IS NOT NULL").withColumn("graph_ord", F.col("chunk_idx").cast("long")))
-    nodes, edges = merge_two_levels(nodes, edges, config.fuzzy_threshold)
+    nodes, edges = merge_two_levels(nodes, edges, config.fuzzy_threshold, metrics=metrics)
     if enriched:
-        edges = enrich(nodes, edges, provider, config.enrich_batch)
+        edges = enrich(nodes, edges, provider, config.enrich_batch, metrics=metrics)
     if verified:
-        edges = verify(nodes, edges, provider, config.verify_batch)
+        edges = verify(nodes, edges, provider, config.verify_batch, metrics=metrics)
     return nodes, edges
 
 
-def merge_files(spark: SparkSession, paths: list[str], threshold: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+def process_file(spark: SparkSession, path: str, provider=None, config: Config | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """``process_files`` of one."""
+    return process_files(spark, [path], provider, config, **how)
+
+
+def merge_files(spark: SparkSession, paths: list[str], threshold: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, bad paths) of graph files; files without a graph are reported and left out."""
     graphs, bad = read_graphs(spark, paths)
     nodes, edges = graph_rows(graphs.withColumn("graph_ord", F.col("doc_ord")))
-    nodes, edges = merge(nodes, edges, threshold)
+    nodes, edges = merge(nodes, edges, get_config().fuzzy_threshold if threshold is None else threshold)
     return nodes, prune(nodes, edges), bad

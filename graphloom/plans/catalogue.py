@@ -1,23 +1,26 @@
 """All queries by name, and the same in SQL.
 
-Graph queries run on a graph made from the star schema: customers, suppliers,
+Graph queries run on a graph made from the star schema: customers, suppliers, parts,
 nations and regions are nodes, in eight partial graphs that each repeat the
 nations and regions, with duplicate, looping and dangling edges among them.
+Parts share few names and have no edges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, jsonrepair, text
 from ..operators import graph as G
-from ..operators import refine, resolve
+from ..operators import metrics, refine, resolve
+from ..operators.numbering import numbered
 from ..schema import GENERIC_TYPES
 from ..sinks import export
-from ..sources import providers
+from ..sources import files, providers
 
 GRAPHS = 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +59,8 @@ def star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(node(nation, 100, "n_nationkey", "n", "n_name", "Nation", prop("graph", "graph_ord"), seen))
     nodes = nodes.unionByName(node(supplier, 1000, "s_suppkey", "s", "s_name", "Supplier", prop("nation", "s_nationkey"), F.lit("")))
     nodes = nodes.unionByName(node(customer, 10_000_000, "c_custkey", "c", "c_name", "Customer", prop("segment", "c_mktsegment"), F.lit("")))
+    part = table(spark, d, "part").withColumn("graph_ord", F.col("p_partkey") % GRAPHS)
+    nodes = nodes.unionByName(node(part, 1_000_000_000, "p_partkey", "p", "p_name", "Part", prop("brand", "p_brand"), F.lit("")))
 
     def edge(df, base, k, s, t, kind, label, evidence):
         return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("edge_ord"), s.alias("source"), t.alias("target"), F.lit(kind).alias("type"), F.lit(label).alias("label"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit(evidence).alias("evidence"))
@@ -76,9 +81,10 @@ def merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def ordered(edges: DataFrame) -> DataFrame:
     """Edges with ``ord`` from 0."""
-    return resolve.numbered(edges, ["graph_ord", "edge_ord"]).withColumn("ord", F.col("ord") - 1)
+    return numbered(edges, ["graph_ord", "edge_ord"]).withColumn("ord", F.col("ord") - 1)
 
 
+_PROPS = "'{\"' || k || '\":\"' || v || '\"}'"
 _G = f"(SELECT unnest(range({GRAPHS})) AS g)"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(%s))), '[^\x00-\x7F]', '', 'g'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
 STAR = f"""
@@ -86,7 +92,8 @@ raw_nodes AS (
  SELECT g AS graph_ord, CAST(r_regionkey AS BIGINT) AS node_ord, 'r' || r_regionkey AS orig_id, r_name AS label, 'Region' AS type, 'graph' AS k, CAST(g AS VARCHAR) AS v, CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END AS description FROM region, {_G}
  UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, n_name, 'Nation', 'graph', CAST(g AS VARCHAR), CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END FROM nation, {_G}
  UNION ALL SELECT s_suppkey % {GRAPHS}, 1000 + s_suppkey, 's' || s_suppkey, s_name, 'Supplier', 'nation', CAST(s_nationkey AS VARCHAR), '' FROM supplier
- UNION ALL SELECT c_custkey % {GRAPHS}, 10000000 + c_custkey, 'c' || c_custkey, c_name, 'Customer', 'segment', c_mktsegment, '' FROM customer),
+ UNION ALL SELECT c_custkey % {GRAPHS}, 10000000 + c_custkey, 'c' || c_custkey, c_name, 'Customer', 'segment', c_mktsegment, '' FROM customer
+ UNION ALL SELECT p_partkey % {GRAPHS}, 1000000000 + p_partkey, 'p' || p_partkey, p_name, 'Part', 'brand', p_brand, '' FROM part),
 raw_edges AS (
  SELECT g AS graph_ord, CAST(n_nationkey AS BIGINT) AS edge_ord, 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'IN_REGION' AS type, 'lies in' AS label, 'first' AS evidence FROM nation, {_G}
  UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'IN_REGION', 'lies in', 'again' FROM nation, {_G}
@@ -157,40 +164,84 @@ def chunk_fixed_window(spark, d):
 
 @query("SELECT doc_id AS doc_ord FROM documents WHERE regexp_matches(text, '\\S')")
 def nonblank_docs(spark, d):
-    from ..sources.files import not_blank
+    return files.not_blank(docs(spark, d)).select("doc_ord")
+
 
-    return not_blank(docs(spark, d)).select("doc_ord")
+_FALLBACK = r"trim(regexp_replace(regexp_replace(replace(lower(trim(label)), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT label, {_NORM % 'label'} AS norm FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS label FROM documents) WHERE regexp_matches(label, '[A-Za-z0-9]')")
+@query(f"SELECT label, CASE WHEN norm = '' THEN {_FALLBACK} ELSE norm END AS norm FROM (SELECT label, {_NORM % 'label'} AS norm FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS label FROM documents))")
 def label_normalize(spark, d):
     words = docs(spark, d).select(F.explode(F.split("text", " ")).alias("label")).distinct()
-    return words.select("label", text.normalize_label(F.col("label")).alias("norm")).where(F.col("label").rlike("[A-Za-z0-9]"))
+    return words.select("label", text.normalize_label(F.col("label")).alias("norm"))
+
 
+# ------------------------------------------------------------ files
+def as_files(table: DataFrame, number: str, name: Column, content: Column) -> DataFrame:
+    """Rows as the files that ``read_files`` would give."""
+    return table.select(F.col(number).cast("long").alias("doc_ord"), name.alias("path"), text.suffix(name).alias("ext"), content.cast("binary").alias("content"))
 
-@query("SELECT event_type, k, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
+
+@query("SELECT event_id, event_type AS label, k, json_extract_string(props, '$.' || k) AS v FROM (SELECT event_id, event_type, props, unnest(json_keys(props)) AS k FROM events WHERE event_id % 97 <> 0)")
 def json_graph_ingest(spark, d):
-    parsed = table(spark, d, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k"))
-    return parsed.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+    """Each event a graph file of one node; some are cut off and no graphs."""
+    whole = F.concat(F.lit('{"nodes": [{"id": '), F.col("event_id").cast("string"), F.lit(', "label": "'), F.col("event_type"), F.lit('", "properties": '), F.col("props"), F.lit('}], "edges": []}'))
+    body = F.when(F.col("event_id") % 97 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    graphs, _ = files.graphs_of(as_files(table(spark, d, "events"), "event_id", F.concat(F.col("event_id").cast("string"), F.lit(".json")), body))
+    nodes, _ = providers.graph_rows(graphs)
+    return nodes.select(F.col("doc_ord").alias("event_id"), "label", F.explode("properties").alias("k", "v")).select("event_id", "label", "k", F.col("v").cast("string").alias("v"))
 
 
-@query("SELECT '[CSV — ' || (SELECT count(*) FROM nation) || ' righe, 3 colonne]' AS line, -1 AS pos UNION ALL SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |', n_nationkey FROM nation")
+@query("SELECT event_id || '.json' AS path FROM events WHERE event_id % 97 = 0")
+def json_graph_bad(spark, d):
+    e = table(spark, d, "events")
+    body = F.when(F.col("event_id") % 97 == 0, F.when(F.col("event_id") % 2 == 0, F.lit("[1]").cast("binary")).otherwise(F.unhex(F.lit("7BFF")))).otherwise(F.col("props").cast("binary"))
+    return files.graphs_of(as_files(e, "event_id", F.concat(F.col("event_id").cast("string"), F.lit(".json")), body))[1]
+
+
+@query("SELECT 'nation.csv' AS name, '[CSV — ' || count(*) || ' righe, 3 colonne]' || chr(10) || '| n_nationkey | n_name | n_regionkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ', \"' || n_nationkey || '\" | ' || n_regionkey || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation")
 def csv_pipe_render(spark, d):
     n = table(spark, d, "nation")
-    head = n.agg(F.concat(F.lit("[CSV — "), F.count("*").cast("string"), F.lit(" righe, 3 colonne]")).alias("line")).withColumn("pos", F.lit(-1))
-    return head.unionByName(n.select(text.pipe_row(*[F.col(c) for c in n.columns]).alias("line"), F.col("n_nationkey").alias("pos")))
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit(', ""'), F.col("n_nationkey").cast("string"), F.lit('""",'), F.col("n_regionkey").cast("string"))
+    # the table has 25 rows
+    body = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("body")).select(F.lit(0).alias("n"), F.concat(F.lit(",".join(n.columns) + "\n"), "body").alias("body"))
+    return files.texts(as_files(body, "n", F.lit("data/nation.csv"), F.col("body"))).select("name", "text")
+
+
+_LINES = "SELECT event_id // 1000 AS file, event_type, event_id, props FROM events WHERE event_id % 10 <> 0"
 
 
-@query("SELECT event_id, props FROM events WHERE json_valid(props) ORDER BY event_id LIMIT 100")
+@query(f"SELECT file || '-' || event_type || '.jsonl' AS name, pos, k FROM (SELECT file, event_type, CAST(row_number() OVER (PARTITION BY file, event_type ORDER BY event_id) - 1 AS INTEGER) AS pos, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM ({_LINES})) WHERE pos < 100")
 def jsonl_first100(spark, d):
-    e = table(spark, d, "events")
-    return e.where(F.try_parse_json("props").isNotNull()).orderBy("event_id").limit(100).select("event_id", "props")
+    """Files of at most 1000 lines, every tenth of which is broken, and a blank one after each."""
+    e = table(spark, d, "events").withColumn("file", F.floor(F.col("event_id") / 1000))
+    line = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("props"))
+    made = e.groupBy("file", "event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("body"))
+    name = F.concat(F.col("file").cast("string"), F.lit("-"), "event_type", F.lit(".jsonl"))
+    return files.texts(as_files(made, "file", name, F.col("body"))).select("name", F.posexplode(F.from_json("text", "array<struct<k:int>>")).alias("pos", "r")).select("name", "pos", "r.k")
+
 
+_EXT = r"regexp_extract(lower(url), '[^/.][^/]*?(\.[^./]*)$', 1)"
 
-@query("SELECT page_id, length(html) AS chars, CASE WHEN lower(url) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(url), '\\.html?$') THEN 'text' ELSE 'other' END AS kind FROM pages")
+
+@query(f"SELECT page_id, length(html) AS chars, {_EXT} AS ext, CASE WHEN {_EXT} IN ('.htm', '.html') THEN 'text' WHEN {_EXT} = '.pdf' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages")
 def ext_dispatch(spark, d):
     ext = text.suffix(F.col("url"))
-    return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("chars"), F.when(ext == ".pdf", "pdf").when(ext.isin(".htm", ".html"), "text").otherwise("other").alias("kind"))
+    return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("chars"), ext.alias("ext"), files.kind(ext).alias("kind"))
+
+
+@query("SELECT page_id AS doc_ord, page_id || '.html' AS name, html AS text, CAST(NULL AS VARCHAR) AS error FROM pages")
+def html_raw_text(spark, d):
+    return files.texts(as_files(table(spark, d, "pages"), "page_id", F.concat(F.col("page_id").cast("string"), F.lit(".HTML")), F.col("html"))).withColumn("name", F.replace("name", F.lit(".HTML"), F.lit(".html")))
+
+
+_WORD_LISTS = "SELECT doc_id AS doc_ord, string_split(text, ' ') AS w FROM documents WHERE text <> ''"
+
+
+@query(f"WITH w AS ({_WORD_LISTS}), k AS (SELECT doc_ord, w, unnest(range(0, CAST(ceil(len(w) / 150.0) AS BIGINT))) AS i FROM w), c AS (SELECT doc_ord, i, trim(array_to_string(w[i * 150 + 1 : i * 150 + 200], ' '), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM k) SELECT doc_ord, CAST(row_number() OVER (PARTITION BY doc_ord ORDER BY i) - 1 AS INTEGER) AS chunk_idx, text FROM c WHERE text <> ''")
+def chunk_tokens(spark, d):
+    """Token windows with a tokenizer whose tokens are the parts between spaces."""
+    return chunking.chunks(docs(spark, d), 200, 50, tokenizer=lambda: (lambda t: t.split(" "), " ".join))
 
 
 _CASES = [("fence", '```json\n{"a": 1}\n```', '{"a": 1}', "repaired"), ("comma", '{"a": [1, 2,],}', '{"a": [1, 2]}', "repaired"), ("literal", '{"a": None, "b": True}', '{"a": null, "b": true}', "repaired"), ("string", '{"a": "None, // not",}', '{"a": "None, // not"}', "repaired"), ("cut", '{"nodes": [{"id": "n1", "label": "A"}', '{"nodes": [{"id": "n1", "label": "A"}]}', "repaired"), ("text", "I cannot help", None, "failed"), ("bare", "{a: 'x y', /* c */ b: 2} // end", '{"a": "x y", "b": 2}', "repaired")]
@@ -202,6 +253,42 @@ def json_repair(spark, d):
     return rows.select("name", jsonrepair.repair_json("raw").alias("r")).select("name", "r.json", "r.status")
 
 
+@query("SELECT event_id, props AS json, CASE WHEN event_id % 6 = 0 THEN 'ok' ELSE 'repaired' END AS status FROM events")
+def json_repair_events(spark, d):
+    """Every event's properties, five of six written as models write them."""
+    p, k = F.col("props"), F.col("event_id") % 6
+    body = F.expr("substring(props, 2, length(props) - 2)")
+    raw = F.when(k == 0, p).when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(k == 2, F.concat(F.lit("{"), body, F.lit(",}"))).when(k == 3, F.replace(p, F.lit('"'), F.lit("'"))).when(k == 4, F.concat(F.lit("{"), body)).otherwise(F.concat(F.lit("Sure: "), F.replace(p, F.lit('"'), F.lit("")), F.lit(" // done")))
+    return table(spark, d, "events").select("event_id", jsonrepair.repair_json(raw).alias("r")).select("event_id", "r.json", "r.status")
+
+
+@query("SELECT event_id, 'salvaged' AS status, 'n' || event_id AS node, event_type AS label, 'n' || event_id AS source, 'm' AS target FROM events")
+def json_salvage(spark, d):
+    """Graphs broken in the middle, of which one node and one edge are whole; ids stay."""
+    at = F.col("event_id").cast("string")
+    raw = F.concat(F.lit('{"nodes": [{"id": "n'), at, F.lit('", "label": "'), F.col("event_type"), F.lit('"} oops : {"id": "x", "lab, "edges": [{"source": "n'), at, F.lit('", "target": "m"}'))
+    got = table(spark, d, "events").select("event_id", jsonrepair.repair_json(raw).alias("r"))
+    g = got.select("event_id", "r.status", F.from_json("r.json", "nodes array<struct<id:string,label:string>>, edges array<struct<source:string,target:string>>").alias("g"))
+    return g.select("event_id", "status", F.col("g.nodes")[0]["id"].alias("node"), F.col("g.nodes")[0]["label"].alias("label"), F.col("g.edges")[0]["source"].alias("source"), F.col("g.edges")[0]["target"].alias("target"))
+
+
+_STATUS = [("length(text) % 5 = 0", "no_answer", "down"), ("length(text) % 5 = 1", "failed", "the answer holds no JSON"), ("length(text) % 5 = 2", "not_an_object", "the answer is of type list"), ("length(text) % 5 = 3", "repaired", None), ("true", "ok", None)]
+
+
+class _Sometimes:
+    """A provider that answers by the length of the text."""
+
+    error = "down"
+
+    def __call__(self, chunk: str) -> str:
+        return ["", "no", "[1]", "{nodes: []}", '{"nodes": []}'][len(chunk) % 5]
+
+
+@query(_CHUNKS.format(s=1000, o=100) + "SELECT doc_ord, chunk_idx, CASE " + " ".join(f"WHEN {c} THEN '{s}'" for c, s, _ in _STATUS) + " END AS status, CASE " + " ".join(f"WHEN {c} THEN " + (f"'{e}'" if e else "NULL") for c, _, e in _STATUS) + " END AS error FROM c")
+def answer_status(spark, d):
+    return providers.responses(chunking.chunks(docs(spark, d), 1000, 100), _Sometimes(), prompt="").select("doc_ord", "chunk_idx", "status", "error")
+
+
 # ------------------------------------------------------------ merging
 @query(on_star("SELECT ord, id, label, type FROM nodes"))
 def merge_exact_nodes(spark, d):
@@ -224,15 +311,66 @@ def edge_remap(spark, d):
     return resolve.merge(*star(spark, d), 101)[1].select("graph_ord", "edge_ord", "source", "target", "type")
 
 
+@query(on_star("SELECT id, k AS key, v AS value FROM nodes UNION ALL SELECT id, 'seen', CAST(ord AS VARCHAR) FROM nodes WHERE ord % 2 = 0"))
+def map_overlay(spark, d):
+    """Properties of every node overlaid with others, values of several types, some replaced."""
+    n = merged(spark, d)[0]
+    old = F.transform_values(F.map_concat("properties", F.create_map(F.lit("seen"), F.lit("never"))), lambda _, v: v.cast("variant"))
+    new = F.when(F.col("ord") % 2 == 0, F.create_map(F.lit("seen"), F.col("ord").cast("variant")))
+    return n.select("id", F.explode(refine.overlaid(old, new)).alias("key", "value")).select("id", "key", F.col("value").cast("string").alias("value")).where("NOT (key = 'seen' AND value = 'never')")
+
+
 @query(on_star("SELECT graph_ord, edge_ord, source, target, type, label, evidence FROM edges"))
 def prune_edges(spark, d):
     return merged(spark, d)[1].drop("properties")
 
 
-@query(on_star("SELECT type, count(*) AS n FROM edges GROUP BY type"))
+_FIRSTS = "firsts AS (SELECT *, row_number() OVER (PARTITION BY graph_ord, source, target, type ORDER BY edge_ord) AS k FROM mapped WHERE source <> target), locals AS (SELECT *, row_number() OVER (PARTITION BY graph_ord ORDER BY edge_ord) AS place FROM firsts WHERE k = 1), outer_ AS (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY graph_ord, place) AS kk FROM locals)"
+
+
+@query(f"WITH {STAR}, {_FIRSTS} SELECT id AS a, label AS b, type, k || '=' || v AS about FROM nodes UNION ALL SELECT source, target, type, graph_ord || ':' || place || ':' || evidence FROM outer_ WHERE kk = 1")
 def two_level_merge(spark, d):
     nodes, edges = (df.withColumn("doc_ord", F.col("graph_ord")) for df in star(spark, d))
-    return G.edge_type_counts(resolve.merge_two_levels(nodes, edges, 101)[1])
+    nodes, edges = resolve.merge_two_levels(nodes, edges, 101)
+    about = F.array_join(F.transform(export.entries(), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    rows = nodes.select(F.col("id").alias("a"), F.col("label").alias("b"), "type", about.alias("about"))
+    return rows.unionByName(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "type", F.concat_ws(":", F.col("graph_ord").cast("string"), F.col("edge_ord").cast("string"), "evidence").alias("about")))
+
+
+# the longest common subsequence row by row: a cell is the cell above, or one more than a cell before a match
+_LCS = f"""names AS (SELECT {_NORM % 'p_name'} AS s, min(p_partkey) AS ord FROM part GROUP BY ALL),
+cells(a, b, i, row) AS (SELECT x.s, y.s, 0, list_transform(range(length(y.s) + 1), lambda j: 0) FROM names x JOIN names y ON x.ord < y.ord
+ UNION ALL SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(row[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: substr(b, k, 1) = substr(a, i + 1, 1)), lambda k: row[k] + 1)), 0)) END) FROM cells WHERE i < length(a)),
+ratios AS (SELECT a, b, CAST(200 * row[length(b) + 1] // (length(a) + length(b)) AS INTEGER) AS ratio FROM cells WHERE i = length(a))"""
+
+
+def _part_names(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select(text.normalize_label(F.col("p_name")).alias("norm"), "p_partkey")
+    return names.groupBy("norm").agg(F.min("p_partkey").alias("ord")).withColumn("scope", F.lit("Part"))
+
+
+@query(f"WITH RECURSIVE {_LCS} SELECT a, b, ratio FROM ratios")
+def fuzzy_ratios(spark, d):
+    """Of every two different names of parts; there are some sixty names."""
+    n = F.broadcast(_part_names(spark, d))
+    pairs = n.select(F.col("norm").alias("a"), F.col("ord").alias("i")).join(n.select(F.col("norm").alias("b"), F.col("ord").alias("j")), F.col("i") < F.col("j"))
+    return pairs.select("a", "b", text.fuzzy_ratio("a", "b").alias("ratio"))
+
+
+@query(f"WITH RECURSIVE {_LCS} SELECT a, b FROM ratios WHERE ratio >= 70")
+def fuzzy_pairs(spark, d):
+    return resolve.similar_pairs(_part_names(spark, d), 70).select(F.col("norm").alias("a"), F.col("other").alias("b"))
+
+
+@query(f"""WITH RECURSIVE {_LCS}, placed AS (SELECT s, row_number() OVER (ORDER BY ord) AS n FROM names), near AS (SELECT y.n AS n, list(x.n) AS earlier FROM ratios JOIN placed x ON x.s = a JOIN placed y ON y.s = b WHERE ratio >= 70 GROUP BY y.n),
+greedy(n, heads, rep) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT)
+ UNION ALL SELECT n, CASE WHEN hit IS NULL THEN list_append(heads, n) ELSE heads END, coalesce(hit, n) FROM (SELECT p.n, heads, list_min(list_intersect(coalesce(earlier, CAST([] AS BIGINT[])), heads)) AS hit FROM greedy g JOIN placed p ON p.n = g.n + 1 LEFT JOIN near ON near.n = p.n))
+SELECT p.s AS label, r.s AS rep FROM greedy g JOIN placed p ON p.n = g.n JOIN placed r ON r.n = g.rep""")
+def fuzzy_merge_parts(spark, d):
+    """Names of parts and the name that stands for each, one after the other."""
+    p = table(spark, d, "part")
+    nodes = p.select(F.lit(0).cast("long").alias("graph_ord"), F.col("p_partkey").alias("node_ord"), F.col("p_name").alias("label"), F.lit("Part").alias("type"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit("").alias("description"))
+    return resolve.entities(nodes, 70).select(F.col("norm").alias("label"), "rep").distinct()
 
 
 def _fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -248,9 +386,12 @@ def fuzzy_merge(spark, d):
 
 
 # ------------------------------------------------------------ questions
-@query(on_star("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS isolated"))
+_COUNTS = "(SELECT '{{' || string_agg('\"' || type || '\":' || n, ',' ORDER BY type) || '}}' FROM (SELECT type, count(*) AS n FROM {0} GROUP BY type)) AS {1}"
+
+
+@query(on_star("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS isolated, " + _COUNTS.format("nodes", "node_types") + ", " + _COUNTS.format("edges", "edge_types")))
 def graph_stats(spark, d):
-    return G.stats(*merged(spark, d)).select("nodes", "edges", "isolated")
+    return G.stats(*merged(spark, d)).withColumns({c: F.to_json(c) for c in ("node_types", "edge_types")})
 
 
 @query(on_star("SELECT type, count(*) AS n FROM nodes GROUP BY type"))
@@ -297,9 +438,33 @@ def k_hop_2(spark, d):
     return _hops(spark, d, 2)
 
 
-@query(on_star("SELECT id, label FROM nodes WHERE contains(lower(label), 'an')"))
+@query(on_star("SELECT id, label FROM nodes WHERE contains(lower(label), 'as') OR contains(lower(label), '#00000001')"))
 def node_search(spark, d):
-    return G.search(merged(spark, d)[0], " AN ").select("id", "label")
+    n = merged(spark, d)[0]
+    return G.search(n, " AS ").unionByName(G.search(n, "#00000001")).select("id", "label").distinct()
+
+
+@query(on_star("SELECT id, label FROM nodes WHERE id NOT IN ('n1', 'n3', 'n40')"))
+def hide_nodes(spark, d):
+    return G.without(merged(spark, d)[0], ["n1", "n3", "n40", "none"]).select("id", "label")
+
+
+@query(on_star("SELECT e.graph_ord, e.edge_ord, coalesce(s.label, e.source) AS source_label, coalesce(t.label, e.target) AS target_label FROM edges e LEFT JOIN nodes s ON s.id = e.source AND s.type <> 'Supplier' LEFT JOIN nodes t ON t.id = e.target AND t.type <> 'Region'"))
+def edge_labels(spark, d):
+    """Ends by their labels; suppliers and regions are taken for unknown and show their ids."""
+    n, e = merged(spark, d)
+    some = refine.with_labels(n.where("type NOT IN ('Region')"), e.select("graph_ord", "edge_ord", "source", "target")).select("graph_ord", "edge_ord", "target_label")
+    return refine.with_labels(n.where("type <> 'Supplier'"), e).select("graph_ord", "edge_ord", "source_label").join(some, ["graph_ord", "edge_ord"])
+
+
+@query("SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM (SELECT s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier)")
+def bounding_box(spark, d):
+    return G.bounds(table(spark, d, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y")))
+
+
+@query(on_star("SELECT id, round(300 * cos(2 * pi() * (ord - 1) / (SELECT count(*) FROM nodes)), 6) + 0 AS x, round(300 * sin(2 * pi() * (ord - 1) / (SELECT count(*) FROM nodes)), 6) + 0 AS y FROM nodes"))
+def first_layout(spark, d):
+    return G.circle(merged(spark, d)[0]).select("id", (F.round("x", 6) + 0).alias("x"), (F.round("y", 6) + 0).alias("y"))
 
 
 @query(on_star("SELECT id, type FROM nodes WHERE type IN ('Region', 'Nation')"))
@@ -315,14 +480,19 @@ def type_colors(spark, d):
     return G.type_colors(merged(spark, d)[0])
 
 
-@query(f"WITH {STAR}, {_COLORS} SELECT ord, id, label, type, color, description AS \"desc\" FROM nodes JOIN palette USING (type)")
+@query(f"WITH {STAR}, {_COLORS} SELECT row_number() OVER (ORDER BY type) AS place, type, color FROM palette")
+def type_legend(spark, d):
+    return G.legend(merged(spark, d)[0]).select(F.row_number().over(Window.orderBy("type")).cast("long").alias("place"), "type", "color")
+
+
+@query(f"WITH {STAR}, {_COLORS} SELECT ord, id, label, type, color, description AS \"desc\", {_PROPS} AS props FROM nodes JOIN palette USING (type)")
 def viewer_nodes(spark, d):
-    return G.viewer_nodes(merged(spark, d)[0]).drop("props")
+    return G.viewer_nodes(merged(spark, d)[0]).withColumn("props", F.to_json("props"))
 
 
-@query(on_star("SELECT source, target, type, label, evidence FROM edges"))
+@query(on_star("SELECT source, target, type, label, evidence, '{}' AS props FROM edges"))
 def viewer_edges(spark, d):
-    return G.viewer_edges(*merged(spark, d)).drop("props")
+    return G.viewer_edges(*merged(spark, d)).withColumn("props", F.to_json("props"))
 
 
 # ------------------------------------------------------------ refinement
@@ -352,6 +522,25 @@ def enrich_apply(spark, d):
     return refine.apply_enrichment(b, replies).select("graph_ord", "edge_ord", "type", "label")
 
 
+@query(f"WITH {_BATCH} SELECT graph_ord, edge_ord, CASE WHEN pos < 7 THEN 'PLACE_' || pos ELSE type END AS type FROM batches")
+def enrich_positional(spark, d):
+    """Replies without numbers count by their place in the batch; some are beyond its end."""
+    b = _batches(spark, d)
+    item = lambda i: F.struct(F.lit(None).cast("int").alias("_idx"), F.lit(f"place {i}").alias("type"), F.lit("").alias("label"), F.lit(None).cast("map<string,variant>").alias("properties"))
+    replies = b.select("graph_ord", "batch").distinct().withColumn("items", F.array(*[item(i) for i in range(7)]))
+    return refine.apply_enrichment(b, replies).select("graph_ord", "edge_ord", "type")
+
+
+@query(f"WITH {_BATCH} SELECT (SELECT count(*) FROM mapped) - (SELECT count(*) FROM edges) AS removed, (SELECT count(*) FROM batches WHERE pos % 3 = 0) AS enriched, (SELECT count(*) FROM batches WHERE pos % 4 = 0) AS invalid")
+def run_metrics(spark, d):
+    keys = ["graph_ord", "edge_ord"]
+    nodes, joined = resolve.merge(*star(spark, d), threshold=101)
+    pruned = resolve.prune(nodes, joined)
+    b = refine.batched(pruned.where(refine.needs_enrichment()), 30)
+    changed = b.withColumn("type", F.when(F.col("pos") % 3 == 0, "SELLS_FROM").otherwise(F.col("type")))
+    return metrics.run_metrics(joined, pruned, changed, changed.where("pos % 4 <> 0"), keys)
+
+
 @query(f"WITH {_BATCH} SELECT graph_ord, edge_ord FROM batches WHERE pos % 4 <> 0")
 def verify_filter(spark, d):
     b = _batches(spark, d)
@@ -371,13 +560,18 @@ def _x(c: str) -> str:
     return f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-_PROPS = "'{\"' || k || '\":\"' || v || '\"}'"
+_GRAPHML = [(0, 0, '<?xml version="1.0" encoding="UTF-8"?>'), (0, 1, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), *((0, 2 + i, f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="string"/>') for i, (f, k) in enumerate([("node", "label"), ("node", "type"), ("node", "description"), ("node", "properties"), ("edge", "etype"), ("edge", "elabel"), ("edge", "evidence"), ("edge", "eprops")])), (0, 10, '<graph id="G" edgedefault="directed">'), (3, 0, "</graph>"), (3, 1, "</graphml>")]
+
+
+@query(on_star(f"SELECT 1 AS part, ord, '{{\"id\":\"' || id || '\",\"label\":\"' || label || '\",\"type\":\"' || type || '\",\"properties\":' || {_PROPS} || ',\"description\":\"' || description || '\"}}' AS line FROM nodes"))
+def export_json_nodes(spark, d):
+    return merged(spark, d)[0].select(F.lit(1).alias("part"), "ord", F.to_json(F.struct("id", "label", "type", "properties", "description")).alias("line"))
 
 
-@query(on_star(f"""SELECT 1 AS part, ord, '<node id="' || id || '"><data key="label">' || {_x('label')} || '</data><data key="type">' || type || '</data><data key="description">' || {_x('description')} || '</data><data key="properties">' || {_x(_PROPS)} || '</data></node>' AS line FROM nodes UNION ALL SELECT 2, ord, '<edge id="e' || ord || '" source="' || source || '" target="' || target || '"><data key="etype">' || type || '</data><data key="elabel">' || {_x('label')} || '</data><data key="evidence">' || {_x('evidence')} || '</data><data key="eprops">{{}}</data></edge>' FROM oedges"""))
+@query(on_star(f"""SELECT 1 AS part, ord, '<node id="' || id || '"><data key="label">' || {_x('label')} || '</data><data key="type">' || type || '</data><data key="description">' || {_x('description')} || '</data><data key="properties">' || {_x(_PROPS)} || '</data></node>' AS line FROM nodes UNION ALL SELECT 2, ord, '<edge id="e' || ord || '" source="' || source || '" target="' || target || '"><data key="etype">' || type || '</data><data key="elabel">' || {_x('label')} || '</data><data key="evidence">' || {_x('evidence')} || '</data><data key="eprops">{{}}</data></edge>' FROM oedges UNION ALL SELECT * FROM (VALUES {', '.join(f"({p}, {o}, '{x}')" for p, o, x in _GRAPHML)}) AS h(part, ord, line)"""))
 def export_graphml_lines(spark, d):
     nodes, edges = merged(spark, d)
-    return export.graphml_lines(nodes, ordered(edges)).where("part IN (1, 2)")
+    return export.graphml_lines(nodes, ordered(edges))
 
 
 @query(on_star(f'SELECT id AS ":ID", label AS "label:string", type AS ":LABEL", description AS "description:string", {_PROPS} AS "properties:string" FROM nodes'))
@@ -390,24 +584,26 @@ def export_neo4j_rels(spark, d):
     return export.csv_edges(merged(spark, d)[1])
 
 
-@query(on_star("""SELECT 1 AS part, ord, 'd2g:' || id || ' rdf:type d2g:' || type || ' ; rdfs:label "' || label || '" ; d2g:' || k || ' "' || v || '" .' AS line FROM nodes UNION ALL SELECT 2, ord, 'd2g:' || source || ' d2g:' || type || ' d2g:' || target || ' .' || CASE WHEN evidence <> '' THEN ' # ' || evidence ELSE '' END FROM oedges"""))
+@query(on_star("""SELECT 1 AS part, ord, 'd2g:' || id || ' rdf:type d2g:' || type || ' ; rdfs:label "' || label || '" ; d2g:' || k || ' "' || v || '" .' AS line FROM nodes UNION ALL SELECT 2, ord, 'd2g:' || source || ' d2g:' || type || ' d2g:' || target || ' .' || CASE WHEN evidence <> '' THEN ' # ' || evidence ELSE '' END FROM oedges UNION ALL SELECT * FROM (VALUES (0, 0, '@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .'), (0, 1, '@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .'), (0, 2, '@prefix d2g: <http://example.org/graph#> .')) AS h(part, ord, line)"""))
 def export_turtle_lines(spark, d):
     nodes, edges = merged(spark, d)
-    return export.turtle_lines(nodes, ordered(edges)).where("part IN (1, 2)")
+    return export.turtle_lines(nodes, ordered(edges))
 
 
-def _cypher(verb: str, shown: str) -> str:
+def _cypher(verb: str, evidence: str, head: str = "") -> str:
+    """``evidence``: an edge's part for it, null for none."""
     q = lambda c: f"replace({c}, '''', '\\''')"
-    return on_star(f"""SELECT 1 AS part, ord, '{verb} (:`' || type || '` {{id: ''' || id || ''', name: ''' || label || '''' || CASE WHEN description <> '' THEN ', description: ''' || description || '''' ELSE '' END || ', `' || k || '`: ''' || v || '''}});' AS line FROM nodes UNION ALL SELECT 2, ord, 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) {verb} (a)-[:`' || type || '`' || CASE WHEN {shown} THEN ' {{evidence: ''' || {q('evidence')} || '''}}' ELSE '' END || ']->(b);' FROM oedges""")
+    about = f"array_to_string(list_filter([{evidence.format(q('evidence'))}, CASE WHEN label <> '' THEN 'label: ''' || label || '''' END], lambda x: x IS NOT NULL), ', ')"
+    return on_star(f"""SELECT 1 AS part, ord, '{verb} (:`' || type || '` {{id: ''' || id || ''', name: ''' || label || '''' || CASE WHEN description <> '' THEN ', description: ''' || description || '''' ELSE '' END || ', `' || k || '`: ''' || v || '''}});' AS line FROM nodes UNION ALL SELECT 2, ord, 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) {verb} (a)-[:`' || type || '`' || CASE WHEN about <> '' THEN ' {{' || about || '}}' ELSE '' END || ']->(b);' FROM (SELECT *, {about} AS about FROM oedges){head}""")
 
 
-@query(_cypher("MERGE", "evidence <> ''"))
+@query(_cypher("MERGE", "CASE WHEN evidence <> '' THEN 'evidence: ''' || {} || '''' END", " UNION ALL SELECT 0, 0, '// graph of 2024-01-02 03:04'"))
 def export_cypher_merge(spark, d):
     nodes, edges = merged(spark, d)
-    return export.cypher_lines(nodes, ordered(edges))
+    return export.cypher_lines(nodes, ordered(edges), at=datetime(2024, 1, 2, 3, 4))
 
 
-@query(_cypher("CREATE", "true"))
+@query(_cypher("CREATE", "'evidence: ''' || {} || ''''"))
 def export_cypher_create(spark, d):
     nodes, edges = merged(spark, d)
     return export.cypher_lines(nodes, ordered(edges), create=True)

@@ -7,13 +7,14 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.jsonrepair import parse
+from ..functions.jsonrepair import as_text, parse
 from ..schema import GRAPH
 
 PROMPT = """Read the text and answer with one JSON object {"nodes": [...], "edges": [...]}.
@@ -44,6 +45,12 @@ class Chat:
         with urllib.request.urlopen(request, timeout=self.config.timeout_s) as answer:
             return json.load(answer)
 
+    def resolved(self) -> Chat:
+        """The same with a model: the configured one, or else the endpoint's first.  Asked once, on the driver."""
+        if self.config.model:
+            return self
+        return Chat(replace(self.config, model=self.discover()), self.sleep, None if self.post == self._post else self.post)
+
     def discover(self) -> str:
         """The endpoint's first model, for a config without one."""
         models = self.post("/models", None).get("data") or []
@@ -52,7 +59,7 @@ class Chat:
         return models[0]["id"]
 
     def __call__(self, text: str) -> str:
-        c = self.config
+        c, self.error = self.config, ""
         for attempt in range(1, c.retries + 1):
             try:
                 got = self.post("/chat/completions", {"model": c.model, "messages": [{"role": "user", "content": text}], "max_tokens": c.max_tokens, "temperature": c.temperature})
@@ -76,28 +83,42 @@ def diagnose(status: int) -> str:
     return {401: "the key was refused", 403: "access was refused", 404: "no such model or path", 429: "too many requests"}.get(status, f"HTTP status {status}")
 
 
+#: Statuses of answers that need not be asked for again.
+GOOD = ("ok", "repaired", "salvaged")
+
+
 def responses(chunks: DataFrame, provider: Callable[[str], str], prompt: str = PROMPT, workers: int | None = None) -> DataFrame:
-    """(doc_ord, chunk_idx, raw, status, json): one request per chunk; ``workers`` bounds requests at a time.
+    """(doc_ord, chunk_idx, raw, status, error, json): one request per chunk; ``workers`` bounds requests at a time.
 
-    The status tells failed requests and answers from empty graphs, so they can be made again.
+    The status tells failed requests and answers from empty graphs, so they can be made again; ``error`` says what
+    went wrong, in the provider's words (its ``error``) where there was no answer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [provider(f"{prompt}\n\n{t}" if prompt else t) for t in b.column(2).to_pylist()]
-            got = [parse(r) for r in raw]
-            # an answer that is no object is an empty graph with a status of its own
-            status = ["no_answer" if not r else s if isinstance(v, dict) or s == "failed" else "not_an_object" for r, (v, s) in zip(raw, got)]
-            body = [json.dumps(v, ensure_ascii=False) if isinstance(v, dict) else None for v, _ in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.string()), pa.array(status, pa.string()), pa.array(body, pa.string())], names=["doc_ord", "chunk_idx", "raw", "status", "json"])
+            out = []
+            for text in b.column(2).to_pylist():
+                raw = provider(f"{prompt}\n\n{text}" if prompt else text)
+                value, status = parse(raw)
+                body, status = as_text(value, status)
+                # an answer that is no object is an empty graph with a status of its own
+                error = None
+                if not raw:
+                    status, error = "no_answer", getattr(provider, "error", "") or "empty answer"
+                elif status == "failed":
+                    error = "the answer holds no JSON"
+                elif not isinstance(value, dict):
+                    status, body, error = "not_an_object", None, f"the answer is of type {type(value).__name__}"
+                out.append((raw, status, error, body))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 4))], names=["doc_ord", "chunk_idx", "raw", "status", "error", "json"])
 
     source = chunks.select(F.col("doc_ord").cast("long"), F.col("chunk_idx").cast("int"), "text")
-    return (source.repartition(workers) if workers else source).mapInArrow(run, "doc_ord long, chunk_idx int, raw string, status string, json string")
+    return (source.repartition(workers) if workers else source).mapInArrow(run, "doc_ord long, chunk_idx int, raw string, status string, error string, json string")
 
 
 def todo(chunks: DataFrame, done: DataFrame, config_hash: str) -> DataFrame:
     """Chunks without a good answer under this configuration."""
-    good = done.where((F.col("config_hash") == config_hash) & F.col("status").isin("ok", "repaired", "salvaged"))
+    good = done.where((F.col("config_hash") == config_hash) & F.col("status").isin(*GOOD))
     return chunks.join(good, ["doc_ord", "chunk_idx"], "left_anti")
 
 

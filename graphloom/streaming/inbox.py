@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
-from ..functions.chunking import chunks
+from ..functions.chunking import chunks_by
 from ..sources.providers import responses
 
 
@@ -17,6 +17,6 @@ def follow(spark: SparkSession, inbox: str, out: str, checkpoint: str, provider:
     """Appends answers to Parquet under ``out``; each file counts once, also across restarts."""
     files = spark.readStream.format("text").option("wholetext", True).load(inbox)
     docs = files.select(F.xxhash64("_metadata.file_path").alias("doc_ord"), F.col("value").alias("text"))
-    answers = responses(chunks(docs, config.chunk_size, config.chunk_overlap), provider)
+    answers = responses(chunks_by(docs, config), provider)
     writer = answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
