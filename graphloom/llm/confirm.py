@@ -114,7 +114,8 @@ def _within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def classes(sets: DataFrame, percent: int = 80, most_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(``_h``, ``_class``) of (``_group``, ``_h``, ``_n``, ``_s``): components of similarity ``percent`` / 100 and more.
 
-    ``_h`` names a text and occurs in one group only; repeated rows do no harm.
+    ``_h`` names a text and occurs in one group only; repeated rows do no harm; no column may be null; an empty table gives an empty
+    result.
     Groups of more than ``most_shingles`` are spread over tasks.
     """
     size = kept(sets.groupBy("_group").agg(F.sum("_n").alias("_sum")))

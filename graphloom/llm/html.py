@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import texts_of
-from .words import slices
+from .words import refuse, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -263,6 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             text = [main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
+    refuse((id_col, url_col), ["text", "n_chars"])
     source = texts_of(pages, html_col, id_col, url_col)
     kinds = [source.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     return source.mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

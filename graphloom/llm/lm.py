@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .components import kept
-from .words import only, slices, with_bytes
+from .words import only, refuse, slices, with_bytes
 
 SEED = 42
 END = b""  # no word is empty
@@ -249,6 +249,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     token alone.  Repeated rows are scored one by one.  Without training rows every
     token is unknown and both scores are those of a uniform guess.
     """
+    refuse((id_col,), ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     is_train = F.coalesce(training, F.lit(False))
     known = kept(counts(docs.where(is_train), text_col))
     v = vocabulary(known, settings)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import codec, texts_of
 from .components import kept
-from .words import only, slices
+from .words import only, refuse, slices
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     token.  Pieces are full but for the document's last.  Repeated rows are
     packed as often as they come; ids may be null; other columns are not read.
     """
+    refuse((id_col,), ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     cut = kept(pieces(docs, path, id_col, text_col, size, end_id))
     counts = kept(cut.groupBy("_part", "length").agg(F.count("*").alias("_n")))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACES, Numbering, slices, with_bytes
+from .words import SPACES, Numbering, refuse, slices, with_bytes
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -228,12 +228,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=[id_col, *names])
 
     names = [c.split()[0] for c in COLUMNS.split(", ")]
+    refuse((id_col,), names)
     source = with_bytes(docs, text_col, id_col)
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, {COLUMNS}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` whose text passes; all columns stay as they are."""
+    """The rows of ``docs`` whose text passes; all columns stay as they are.
+
+    Null, empty and blank texts do not pass; repeated rows are judged one by one; an empty table stays one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import contract, kept
 from .confirm import classes, shingle_sets
 from .lossless import similar_texts
-from .words import only, release, slices, with_bytes
+from .words import only, refuse, release, slices, with_bytes
 
 SEED = 42
 FANOUT = 8
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is at least ``percent`` / 100.  Equal texts always link.  With ``lossless`` too, all other pairs
     of that similarity link as well, however far apart their fingerprints are.
     """
+    refuse((id_col,), ["fingerprint", "component_id"])
     fps, placed = _placed(docs, id_col, text_col, shingle, max_diff, confirm, lossless)
     least = placed.groupBy("_group").agg(F.min("_rep").alias("component_id"))
     named = placed.join(least, "_group").select("_h", "component_id")

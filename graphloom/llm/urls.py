@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import kept
+from .words import refuse
 
 #: Bounds of a prior's a + b, and what it is at a level whose counts show nothing of it.
 WEAKEST, STRONGEST, UNKNOWN = 2.0, 1e4, 100.0
@@ -142,6 +143,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Rules, id_col: str = "page
     """
     if not 0.5 < model.probability < 1 or model.ratio <= 0:
         raise ValueError("probability must lie above 1/2 and below 1, ratio above 0")
+    refuse((id_col,), ["host", "path", "rule", "verdict", "worse"])
     url = F.col(f"`{url_col}`")
     cut = pages.select(F.col(f"`{id_col}`").alias("page"), host(url).alias("host"), path(url).alias("path"))
     bad = ((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).cast("long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html import plain_text
-from .words import slices
+from .words import refuse, slices
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -162,6 +162,7 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     out.append(_row(h, data, headers["WARC-Payload-Digest"]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out), KINDS))], names=[id_col, *NAMES])
 
+    refuse((id_col,), NAMES)
     source = pages.select(f"`{id_col}`", F.col(f"`{url_col}`").alias("_u"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("_b"))
     kind = source.schema[id_col].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, warc_type string, record_id string, refers_to string, target_uri string, content_type string, source_digest string, block_digest string, content_length long, record binary")

@@ -30,6 +30,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
 
 
+def refuse(given: tuple[str, ...], outputs: list[str]) -> None:
+    """A ValueError if a column that is passed through has the name of an output, as a result has each name once."""
+    clash = [c for c in given if c in outputs]
+    if clash:
+        raise ValueError(f"columns named like outputs: {', '.join(clash)}")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "_b", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most_bytes`` of ``column`` (one row at least)."""
     for batch in batches:
