@@ -16,17 +16,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import refuse, slices
 
 #: Pieces that a worker remembers, and bytes of these and their ids; on reaching either it starts afresh.
 MEMORY, MEMORY_BYTES = 600_000, 64 << 20
@@ -40,7 +40,17 @@ CUT = re.compile(r" ?\S+|\s+(?!\S)|\s")
 CUT_EXACT = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 UNLIKE = re.compile("[\x1c-\x1f]")
 #: Up to here the Unicode versions of all libraries agree on letters and digits.
-SETTLED = re.compile("[^\x00-ɏ]")
+LAST = 0x24F
+SETTLED = re.compile(f"[^\x00-{chr(LAST)}]")
+
+
+def _class(kind: str) -> str:
+    """Characters up to LAST of a general category, for a pattern."""
+    return "".join(chr(n) for n in range(LAST + 1) if unicodedata.category(chr(n))[0] == kind)
+
+
+#: Pre-tokens of texts with no other characters.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_class('L')}]+| ?[{_class('N')}]+| ?[^\s{_class('L')}{_class('N')}]+|\s+(?!\S)|\s+")
 
 
 def byte_chars() -> dict[int, str]:
@@ -110,7 +120,6 @@ class Codec:
         keys, values = np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64)
         order = np.argsort(keys)
         self.trie_keys, self.trie_nodes, self.trie_token = keys[order], values[order], np.array(tokens, np.int64)
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.memo: dict[str, bytes] = {}
         self.held = 0
 
@@ -121,7 +130,7 @@ class Codec:
     def split(self, part: str) -> list[bytes]:
         """Pre-tokens of a part without inner white space."""
         if SETTLED.search(part) is None and UNLIKE.search(part) is None:
-            return [p.encode() for p in self.pieces.findall(part)]
+            return [p.encode() for p in PIECES.findall(part)]
         if self._native is None:
             from tokenizers import Tokenizer
 
@@ -235,66 +244,66 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
 
-    def learn(self, parts: Iterable[str]) -> None:
-        """Encodes new parts and remembers them."""
-        odd = [p for p in parts if p.isspace() or SETTLED.search(p) or UNLIKE.search(p)]
-        plain = list(set(parts).difference(odd)) if odd else list(parts)
-        cut: list[list[bytes]] = [[]]
-        for x in self.pieces.findall("\n".join(plain)):
-            if x == "\n":
-                cut.append([])
-            else:
-                cut[-1].append(x.encode())
-        parts = [*plain, *odd]
-        cut = [*(cut if plain else []), *map(self.split, odd)]
-        pieces = list(dict.fromkeys(x for c in cut for x in c))
-        ids, sizes = self.propose(pieces)
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encodes new pieces and remembers them."""
+        new = list(pieces)
+        made = self.encode_pieces(new)
+        self.memo.update(zip(new, made))
+        self.held += sum(map(len, new)) + sum(map(len, made))
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces: proposed, verified, and merged exactly where the check fails."""
+        raw = [x.encode("utf-8", "surrogateescape") for x in pieces]
+        ids, sizes = self.propose(raw)
+        owner = np.repeat(np.arange(len(raw)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         failed = np.unique(owner[inner[~self.compatible(ids[inner], ids[inner + 1])]])
-        made: dict[int, bytes] = {}
+        flat, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
         by_size: dict[int, list[int]] = {}
         for i in failed.tolist():
-            by_size.setdefault(len(pieces[i]), []).append(i)
+            by_size.setdefault(len(raw[i]), []).append(i)
         for size, which in by_size.items():
             if size > LONG:
                 for i in which:
-                    made[i] = np.array(self.merge(pieces[i]), "<u4").tobytes()
+                    out[i] = np.array(self.merge(raw[i]), "<u4").tobytes()
             for k in range(0, len(which) if size <= LONG else 0, 1 << 13):
-                for i, got in zip(which[k : k + (1 << 13)], self.merge_all([pieces[i] for i in which[k : k + (1 << 13)]])):
-                    made[i] = got
-        self.checked, self.failed = getattr(self, "checked", 0) + len(pieces), getattr(self, "failed", 0) + len(failed)
-        flat, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes * 4).tolist()
-        raw = {p: flat[a:b] for p, a, b in zip(pieces, [0, *ends], ends)}
-        raw |= {pieces[i]: m for i, m in made.items()}
-        for p, c in zip(parts, cut):
-            self.memo[p] = got = raw[c[0]] if len(c) == 1 else b"".join([raw[x] for x in c])
-            self.held += len(p) + len(got)
+                for i, got in zip(which[k : k + (1 << 13)], self.merge_all([raw[i] for i in which[k : k + (1 << 13)]])):
+                    out[i] = got
+        self.checked, self.failed = getattr(self, "checked", 0) + len(raw), getattr(self, "failed", 0) + len(failed)
+        return out
 
     # ------------------------------------------------------------ texts
+    def pieces_of(self, text: str) -> list[str]:
+        """Pre-tokens of a text; where libraries' Unicode versions differ, those of the parts between white space that have such characters."""
+        odd = UNLIKE.search(text)
+        if odd is None and SETTLED.search(text) is None:
+            return PIECES.findall(text)
+        out: list[str] = []
+        for part in (CUT_EXACT if odd else CUT).findall(text):
+            if SETTLED.search(part) or UNLIKE.search(part):
+                out += [x.decode("utf-8", "surrogateescape") for x in self.split(part)]
+            else:
+                out += PIECES.findall(part)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMORY or self.held > MEMORY_BYTES:
             self.memo.clear()
             self.held = 0
-        marks = [self.special[c].to_bytes(4, "little") if c in self.special else None for c in self.special]
-        mark = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        any_mark = [c for c in self.special] if marks else []
-        work = []
+        any_mark = list(self.special)
+        mark = re.compile("|".join(map(re.escape, sorted(any_mark, key=len, reverse=True)))) if any_mark else None
+        work: list[list] = []  # of each text: pieces, and ids of special tokens between
         for t in texts:
-            runs: list = [t]
-            if any(c in t for c in any_mark):
-                runs, at = [], 0
-                for m in mark.finditer(t):
-                    runs += [t[at : m.start()], self.special[m[0]]]
-                    at = m.end()
-                runs.append(t[at:])
-            work.append([(CUT_EXACT if UNLIKE.search(r) else CUT).findall(r) if isinstance(r, str) else r for r in runs])
-        new: set[str] = set()
-        for runs in work:
-            for r in runs:
-                if not isinstance(r, int):
-                    new.update(set(r).difference(self.memo))
+            runs: list = []
+            at = 0
+            for m in mark.finditer(t) if any(c in t for c in any_mark) else ():
+                runs += [self.pieces_of(t[at : m.start()]), self.special[m[0]]]
+                at = m.end()
+            runs.append(self.pieces_of(t[at:] if at else t))
+            work.append(runs)
+        new = set().union(*(r for runs in work for r in runs if not isinstance(r, int))).difference(self.memo)
         if new:
             self.learn(new)
         get = self.memo.__getitem__
@@ -350,7 +359,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``n_tokens`` and the SHA-256 of the ids and of the text decoded from them, in one pass."""
+    """Per row ``n_tokens`` and the SHA-256 of the ids and of the text decoded from them, in one pass.
+
+    Null texts count as empty and have no tokens; repeated rows and null ids pass through; an empty table gives an empty
+    result; other columns are not read.
+    """
+    refuse((id_col,), ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
