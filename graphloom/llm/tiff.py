@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import slices, with_bytes
+from .words import refuse, slices, with_bytes
 
 # Fixed values of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -28,6 +28,8 @@ NONE, LZW, DEFLATE, PACKBITS, DEFLATE_OLD = 1, 5, 8, 32773, 32946
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 LZW_CLEAR, LZW_END = 256, 257
+#: Codes that can follow a clear code before the table is full.
+LZW_MOST = 4096 - 256
 
 
 class TiffError(ValueError):
@@ -63,101 +65,104 @@ def unpack_bits(data: bytes, most: int | None = None) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, at, plain = bytearray(), 0, bytearray()
-
-    def flush() -> None:
-        for i in range(0, len(plain), 128):
-            part = plain[i : i + 128]
+    """Runs of three bytes and more as runs, what is between them as it is."""
+    x = np.frombuffer(data, np.uint8)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(x)])
+    out, done = bytearray(), 0
+
+    def plain(upto: int) -> None:
+        for i in range(done, upto, 128):
+            part = data[i : min(i + 128, upto)]
             out.append(len(part) - 1)
             out.extend(part)
-        plain.clear()
-
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run >= 3:
-            flush()
-            out += bytes([257 - run, data[at]])
-        else:
-            plain += data[at : at + run]
-        at += run
-    flush()
+
+    for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+        plain(at)
+        done = at + n
+        while n > 1:
+            k = min(n, 128)
+            out += bytes([257 - k, data[at]])
+            n -= k
+        if n:
+            out += bytes([0, data[at]])
+    plain(len(data))
     return bytes(out)
 
 
+def _widths(n: int, early: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code, when ``early`` entries are there before the first."""
+    size = np.arange(early, early + n)
+    return 9 + (size >= 512) + (size >= 1024) + (size >= 2048).astype(np.int64)
+
+
 def un_lzw(data: bytes, most: int | None = None) -> bytes:
     """TIFF's LZW: codes from the high bit down, a code longer one entry early; up to the code that reaches ``most``."""
-    bits = have = at = 0
-    width, table, last, out = 9, [bytes([i]) for i in range(256)] + [b"", b""], b"", bytearray()
+    # a byte and the two after it as one number, to cut codes from
+    padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    wide = padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
+    start, bits, out = 0, 8 * len(data), bytearray()
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
     while True:
-        if most is not None and len(out) >= most:
-            return bytes(out)
-        while have < width:
-            if at >= len(data):
+        # all codes up to the next clear code, as if there were one after a full table
+        width = _widths(LZW_MOST, 258)
+        at = start + np.cumsum(width) - width
+        width, at = width[at + width <= bits], at[at + width <= bits]
+        codes = wide[at >> 3] >> (24 - (at & 7) - width) & ((1 << width) - 1)
+        stop = np.flatnonzero((codes == LZW_CLEAR) | (codes == LZW_END))
+        n = int(stop[0]) if len(stop) else len(codes)
+        table, last = list(single), b""
+        add = table.append
+        for code in codes[:n].tolist():
+            if not last:
+                if code >= 256:
+                    raise TiffError("LZW: a string code comes first")
+                last = table[code]
+                out += last
+            else:
+                if code > len(table):
+                    raise TiffError("LZW: a code before its entry")
+                entry = table[code] if code < len(table) else last + last[:1]
+                add(last + entry[:1])
+                out += entry
+                last = entry
+            if most is not None and len(out) >= most:
                 return bytes(out)
-            bits = (bits & ((1 << have) - 1)) << 8 | data[at]
-            have += 8
-            at += 1
-        have -= width
-        code = bits >> have & ((1 << width) - 1)
-        if code == LZW_END:
+        if not len(stop) and len(codes) == LZW_MOST:
+            raise TiffError("LZW: no clear code")
+        if not len(stop) or codes[n] == LZW_END:
             return bytes(out)
-        if code == LZW_CLEAR:
-            width, last = 9, b""
-            del table[258:]
-            continue
-        if not last:
-            if code >= 256:
-                raise TiffError("LZW: a string code comes first")
-            entry = table[code]
-        else:
-            if code > len(table) or len(table) > 4096:
-                raise TiffError("LZW: a code before its entry")
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out += entry
-        last = entry
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+        start = int(at[n] + width[n])
 
 
 def lzw(data: bytes) -> bytes:
-    out, bits, have, width = bytearray(), 0, 0, 9
-    table = {bytes([i]): i for i in range(256)}
-
-    def put(code: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(bits >> have & 255)
-            bits &= (1 << have) - 1
-
-    put(LZW_CLEAR)
-    word, size = b"", 258
-    for i in range(len(data)):
-        more = word + data[i : i + 1]
-        if more in table:
-            word = more
+    """TIFF's LZW; a clear code comes before the table would need codes of 13 bits."""
+    codes: list[int] = []
+    sections = []  # codes from one clear code to the next, that one included
+    table: dict[int, int] = {}
+    get, size, word = table.get, 258, -1
+    for c in data:
+        if word < 0:
+            word = c
+            continue
+        key = word << 8 | c
+        known = get(key)
+        if known is not None:
+            word = known
             continue
-        put(table[word])
-        table[more] = size
+        codes.append(word)
+        table[key] = size
         size += 1
-        word = data[i : i + 1]
+        word = c
         if size == 4094:
-            put(table[word])
-            put(LZW_CLEAR)
-            table, size, width, word = {bytes([i]): i for i in range(256)}, 258, 9, b""
-        else:
-            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    if word:
-        put(table[word])
-        size += 1
-        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    put(LZW_END)
-    if have:
-        out.append(bits << (8 - have) & 255)
-    return bytes(out)
+            sections.append([*codes, LZW_CLEAR])
+            table.clear()
+            codes, size = [], 258
+    sections.append([*codes, *([word] if word >= 0 else []), LZW_END])
+    values = np.array([LZW_CLEAR, *(x for s in sections for x in s)], np.int64)
+    width = np.concatenate([[9], *(_widths(len(s), 258) for s in sections)])
+    bit = np.unpackbits(values.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bit[np.arange(16) >= 16 - width[:, None]]).tobytes()
 
 
 def compress(data: bytes, how: int, level: int = 1) -> bytes:
@@ -375,6 +380,7 @@ def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[id_col, *names])
 
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    refuse((id_col,), names)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     source = with_bytes(docs, text_col, id_col)
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
