@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import kept
 from .windows import Ranges, runs, word_hashes
-from .words import Numbering, flat_words, release, slices
+from .words import Numbering, flat_words, refuse, release, slices
 
 #: Words that a shard's index holds before the next anchor opens another.
 SHARD_WORDS = 1 << 19
@@ -317,6 +317,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
+    refuse((id_col,), ["n_words", "n_removed", "kept_sha256"])
     keyed, spans = removed_spans(docs, id_col, text_col, size)
     return keyed.join(spans, ["_th", "_tk"], "left").mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
 
