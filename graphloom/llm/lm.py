@@ -44,7 +44,7 @@ class Settings:
     shared: int = 128  # a power of two
     classes: int = 24
     hidden: int = 16
-    dictionary: int = 60_000
+    dictionary: int = 120_000
     start_texts: int = 1_500
     #: Training texts are cut into parts of so many words, so that lanes end together.
     part: int = 1_024
@@ -68,7 +68,7 @@ class _Codes(dict):
         self.bytes += len(word)
         return code
 
-    def trim(self, most: int = 400_000, most_bytes: int = 32 << 20) -> bool:
+    def trim(self, most: int = 200_000, most_bytes: int = 32 << 20) -> bool:
         """Whether other words were forgotten, as there were too many, or of too many bytes."""
         full = len(self.rare) > most or self.bytes > most_bytes
         if full:
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
         v, w, memory = sent.value
         memory = memory and {k: x.copy() for k, x in memory.items()}
         reader, n = _Reader(v), 0
-        for b in slices(batches, most_bytes=12 << 20):
+        for b in slices(batches, most_bytes=8 << 20):
             codes, lengths = reader.read(b.column(0).to_pylist())
             w, memory = gru.train(w, v.first, cut(codes, lengths, reader), end, memory, n_lanes=1024)
             n += len(codes)
@@ -262,7 +262,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         fixed, whole = len(v.words), math.log10(v.total + v.kinds + 1)
         share = np.log10(v.shared_total)
         plus = np.log10(v.counts + 1.0)
-        for b in slices(batches, most_bytes=12 << 20):
+        for b in slices(batches, most_bytes=8 << 20):
             codes, lengths = reader.read(b.column("_b").to_pylist())
             units = reader.units(codes)
             model = gru.score(w, v.first, np.split(units, np.cumsum(lengths)[:-1]), v.end, n_lanes=1024)
