@@ -28,13 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
-    Fingerprints of such shingles lie up to 14 bits apart at that similarity; those of
-    word pairs lie closer, so most candidates come from these (up to 10 bits), and an
-    exact check of five-word shingles decides.  Pairs further apart, such as texts with one
-    passage more, are found by a lossless join on the shingles themselves.
+    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles, decided by an exact check.
+    Fingerprints of word pairs up to 6 bits apart, chained, give the groups that the check divides: most near copies, and
+    large groups of them, lie in one.  All pairs further apart are found by a lossless join on the
+    shingles themselves, so the distance decides the cost only and not the result.
     """
-    return keep_one(docs, shingle=2, max_diff=10, confirm=(5, 80), lossless=True)
+    return keep_one(docs, shingle=2, max_diff=6, confirm=(5, 80), lossless=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
