@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, jsonrepair, text
 from ..operators import graph as G
-from ..operators import metrics, refine, resolve
+from ..operators import contracts, metrics, refine, resolve
 from ..operators.numbering import numbered
 from ..schema import GENERIC_TYPES
 from ..sinks import export
@@ -531,6 +531,17 @@ def enrich_positional(spark, d):
     return refine.apply_enrichment(b, replies).select("graph_ord", "edge_ord", "type")
 
 
+_FAULTS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')"
+
+
+@query(on_star("SELECT 'node' AS kind, id AS name, " + _FAULTS.format("CASE WHEN trim(label) = '' THEN 'label' END, CASE WHEN lower(type) NOT IN ('event', 'place', 'product') THEN 'type' END") + " AS faults FROM nodes UNION ALL SELECT 'edge', graph_ord || '-' || edge_ord, " + _FAULTS.format("CASE WHEN NOT regexp_full_match(type, '[A-Z]+(_[A-Z]+)*') THEN 'type' END, CASE WHEN trim(evidence) = '' THEN 'evidence' END") + " FROM edges"))
+def contract_faults(spark, d):
+    nodes, edges = merged(spark, d)
+    faults = F.array_join("faults", ",").alias("faults")
+    n = contracts.node_faults(nodes).select(F.lit("node").alias("kind"), F.col("id").alias("name"), faults)
+    return n.unionByName(contracts.edge_faults(edges).select(F.lit("edge").alias("kind"), F.concat_ws("-", F.col("graph_ord").cast("string"), F.col("edge_ord").cast("string")).alias("name"), faults))
+
+
 @query(f"WITH {_BATCH} SELECT (SELECT count(*) FROM mapped) - (SELECT count(*) FROM edges) AS removed, (SELECT count(*) FROM batches WHERE pos % 3 = 0) AS enriched, (SELECT count(*) FROM batches WHERE pos % 4 = 0) AS invalid")
 def run_metrics(spark, d):
     keys = ["graph_ord", "edge_ord"]

@@ -17,8 +17,9 @@ from ..config import Config
 from ..functions.jsonrepair import as_text, parse
 from ..schema import GRAPH
 
-PROMPT = """Read the text and answer with one JSON object {"nodes": [...], "edges": [...]}.
-A node has id, label, type (person, organisation, place, event, concept, work, product, date, quantity or other), at most five properties, and a description.
+NODE_TYPES = ("person", "organisation", "place", "event", "concept", "work", "product", "date", "quantity", "other")
+PROMPT = f"""Read the text and answer with one JSON object {{"nodes": [...], "edges": [...]}}.
+A node has id, label, type (one of {", ".join(NODE_TYPES)}), at most five properties, and a description.
 An edge has source and target (node ids), type (an upper-case verb with underscores), label (at most five words), properties, and evidence (a quotation from the text)."""
 
 

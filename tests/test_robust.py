@@ -255,3 +255,12 @@ def test_viewer_has_its_tools(spark):
     for part in ("2024-05-06 07:08", "2 nodes, 1 edges, 2 types", "CREATE (:`T` {id: 'n1', name: 'A'});", "ontouchmove", "clipboard", "function fit"):
         assert part in page, part
     assert [r["type"] for r in G.legend(n).collect()] == ["T", "U"]
+
+
+def test_contracts_are_checked(spark):
+    from graphloom.operators import contracts
+
+    n = spark.createDataFrame([("n1", "A", "Person", {}), ("n2", " ", "Thing", {str(i): "" for i in range(6)}), ("n3", None, None, None)], "id string, label string, type string, properties map<string,string>")
+    assert [r["faults"] for r in contracts.node_faults(n).orderBy("id").collect()] == [[], ["label", "type", "properties"], ["label", "type"]]
+    e = spark.createDataFrame([(0, "WORKS_AT", "works at", "he does"), (1, "works at", "one two three four five six", " "), (2, None, None, None)], "ord long, type string, label string, evidence string")
+    assert [r["faults"] for r in contracts.edge_faults(e).orderBy("ord").collect()] == [[], ["type", "label", "evidence"], ["type", "evidence"]]
