@@ -91,3 +91,22 @@ def test_token_chunks():
     words = chunking.split_tokens("a b c d e", 2, 1, str.split, " ".join)
     assert words == ["a b", "b c", "c d", "d e", "e"]
     random.seed(0)
+
+
+def test_chunks_are_those_of_the_rule():
+    """The rule said plainly: the last empty line of a window, else its last line break, if the next window then starts later."""
+    r = random.Random(5)
+    for _ in range(3000):
+        t, size = "".join(r.choice("ab \n\n") for _ in range(r.randrange(60))), r.randrange(1, 12)
+        overlap = r.randrange(size)
+        want, at = [], 0
+        while at < len(t):
+            window = range(at, at + size)
+            if at + size >= len(t):
+                want.append(t[at:])
+                break
+            places = [i for i in window if i + 1 in window and t[i : i + 2] == "\n\n"] or [i for i in window if t[i] == "\n"]
+            to = places[-1] if places and places[-1] - overlap > at else at + size
+            want.append(t[at:to])
+            at = to - overlap
+        assert chunking.split_chars(t, size, overlap) == [x.strip() for x in want if x.strip()]
