@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .private import BYTE, MARKS, SPACE, WORD, Disclosure
 from .quality import Limits
 from .urls import LOWER, REACH, STEPS, STRONGEST, UNKNOWN, UPPER, WEAKEST, Reputation, Rules
 
@@ -99,3 +100,72 @@ def tiff_payloads(unit: int = 192) -> str:
     return f"""WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, coalesce(text, '') || repeat(' ', CASE WHEN strlen(coalesce(text, '')) = 0 THEN {unit} ELSE (- strlen(text)) % {unit} + CASE WHEN strlen(text) % {unit} = 0 THEN 0 ELSE {unit} END END) AS payload FROM documents),
 h AS (SELECT *, right(hex(encode(payload)), 32) AS tail FROM t)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256, CAST({crc32(tail)} AS BIGINT) AS tail_crc32 FROM h"""
+
+
+def _unsigned_crc32_of(column: str) -> str:
+    return crc32(f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")
+
+
+def trie(group: int = 20, heads: int = 4) -> str:
+    """op12 whole: nodes by the hash of all their turns, subtrees by the paths of their owners."""
+    return f"""WITH t AS (SELECT conv_id AS c, sha256(length(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS pos FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT c, count(*) AS n, {_unsigned_crc32_of('c')} % {heads} AS h, c - c % {group} AS base FROM t GROUP BY c),
+convs AS (SELECT n.c, n.base, n.h, least(n.h, coalesce(b.n, 0)) AS head, least(n.h, coalesce(b.n, 0)) + greatest(n.n - n.h, 0) AS len FROM n LEFT JOIN n b ON b.c = n.base),
+r AS (SELECT convs.c, t.pos AS d, t.k, t.words FROM convs JOIN t ON t.c = convs.base AND t.pos <= head UNION ALL SELECT t.c, t.pos - h + head, t.k, t.words FROM t JOIN convs ON convs.c = t.c WHERE t.pos > h),
+at_ AS (SELECT c, d, sha256(array_to_string(list(k) OVER (PARTITION BY c ORDER BY d), ',')) AS k, words FROM r UNION ALL SELECT c, 0, '', 0 FROM convs),
+nodes AS (SELECT k, d, min(c) AS owner, count(*) AS n, any_value(words) AS words FROM at_ GROUP BY k, d),
+up AS (SELECT v.k, a.k AS parent FROM nodes v JOIN at_ a ON a.c = v.owner AND a.d = v.d - 1),
+kids AS (SELECT parent AS k, count(*) AS kids FROM up GROUP BY parent),
+sums AS (SELECT a.k, sum((v.n - 1) * v.words) AS saved, count(*) FILTER (WHERE kids IS NULL) AS leaves FROM nodes v LEFT JOIN kids USING (k) JOIN at_ a ON a.c = v.owner AND a.d <= v.d GROUP BY a.k),
+ends AS (SELECT k, string_agg(CAST(at_.c AS VARCHAR), ',' ORDER BY at_.c) AS ids FROM at_ JOIN convs ON convs.c = at_.c AND len = d GROUP BY k)
+SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, p.owner AS parent_conv_id, v.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM nodes v LEFT JOIN up USING (k) LEFT JOIN nodes p ON p.k = up.parent LEFT JOIN kids ON kids.k = v.k JOIN sums ON sums.k = v.k LEFT JOIN ends ON ends.k = v.k"""
+
+
+def runs(min_length: int = 6, exponent: int = 4) -> str:
+    """op13 whole: words that agree q words apart, by pairs of equal 5-grams of a document at that distance."""
+    k = min(max(min_length, exponent * q) - q for q in range(1, min_length + 1))
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS o, coalesce({_unsigned_crc32_of('doc_id')}, 1) AS h FROM documents),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM t),
+p AS (SELECT *, CASE WHEN a IS NOT NULL THEN 1 + (len(o) - a) // (3 + (h // 10) % 8) END AS p FROM a),
+w AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN o ELSE list_transform(range(len(o)), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) END AS w FROM p),
+g AS (SELECT rid, n, i, md5(array_to_string(w[i + 1 : i + {k}], ' ')) AS k FROM (SELECT rid, w, len(w) AS n, unnest(range(len(w) - {k - 1})) AS i FROM w WHERE len(w) >= {k})),
+twice AS (SELECT *, count(*) OVER (PARTITION BY rid, k) AS times FROM g),
+pairs AS (SELECT x.rid, x.i, y.i - x.i AS q FROM twice x JOIN twice y ON y.rid = x.rid AND y.k = x.k AND y.i > x.i AND {exponent} * (y.i - x.i) <= x.n WHERE x.times > 1 AND y.times > 1),
+same AS (SELECT rid, q, min(i) AS s, count(*) + {k - 1} + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs) GROUP BY rid, q, island),
+runs AS (SELECT rid, s, n, min(q) AS q FROM same WHERE n >= greatest({min_length}, {exponent} * q) GROUP BY rid, s, n),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs, arg_min({{'s': s, 'n': n, 'q': q}}, (-n, s, q)) AS best FROM runs GROUP BY rid),
+gone AS (SELECT rid, list(DISTINCT i) AS gone FROM (SELECT rid, unnest(range(s + q, s + n)) AS i FROM runs) GROUP BY rid),
+left_ AS (SELECT w.rid, array_to_string(list(w.w[i + 1] ORDER BY i), ' ') AS text FROM (SELECT w.rid, w.w, gone, unnest(range(len(w.w))) AS i FROM w JOIN gone USING (rid)) w WHERE NOT list_contains(gone, i) GROUP BY w.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, CAST(best.n AS BIGINT) AS length, best.q AS period, CAST(1000 * best.n // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(text, '') END) AS collapsed_sha256 FROM w LEFT JOIN listed USING (rid) LEFT JOIN gone USING (rid) LEFT JOIN left_ USING (rid)"""
+
+
+def personal(model: Disclosure = Disclosure()) -> str:
+    """op11 whole."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    number = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({number}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({number}, -i, 1) AS INTEGER) WHEN CAST(substr({number}, -i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr({number}, -i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr({number}, -i, 1) AS INTEGER) END)) % 10 = 0"
+    valid = {"email": "true", "ip": f"regexp_full_match(m, '{BYTE}(\\.{BYTE}){{3}}')", "card": f"length({number}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"length({number}) BETWEEN 9 AND 15"}
+    value = {"email": f"translate(m, '{UPPER}', '{LOWER}')", "ip": "m", "card": number, "phone": number}
+    normal = lambda x: f"translate({x}, '{UPPER + MARKS}', '{LOWER}')"
+    terms = lambda x: f"list_filter(string_split_regex({normal(x)}, '{SPACE}'), lambda w: w <> '')"
+    hit = lambda n, k, p: f"SELECT rid, {n} AS o, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(string_split_regex(text, '{p}')[: len(regexp_extract_all(text, '{p}'))]) AS l, unnest(string_split_regex(text, '{p}')[2 :]) AS r, unnest(range(len(regexp_extract_all(text, '{p}')))) AS k FROM t WHERE regexp_matches(text, '{p}')"
+    case = lambda each: "CASE kind " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in each.items()) + " END"
+    w = model.window
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s)"
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+every AS ({' UNION ALL '.join(hit(n, k, p) for n, (k, p) in enumerate(patterns.items()))}),
+placed AS (SELECT *, e - length(m) AS s FROM (SELECT *, CAST(sum(length(m) + length(l)) OVER (PARTITION BY rid, kind ORDER BY k) AS BIGINT) AS e FROM every)),
+base AS (SELECT *, kind || ':' || {case(value)} AS entity FROM placed WHERE {case(valid)}),
+beside AS (SELECT entity, list_concat(lw[greatest(len(lw) - {w - 1}, 1) :], rw[: {w}]) AS b FROM (SELECT entity, {terms('l')} AS lw, {terms('r')} AS rw FROM base)),
+near AS (SELECT entity, b, coalesce(list_min(p), '') AS least_, coalesce(list_max(p), '') AS greatest_ FROM (SELECT entity, b, list_transform(range(1, len(b)), lambda i: md5(b[i] || ' ' || b[i + 1])) AS p FROM beside)),
+words AS (SELECT rid, unnest({terms('text')}) AS term FROM t),
+bits AS (SELECT entity, greatest(log2((SELECT count(*) FROM words) / sum(len(b))), 0) AS bits FROM near GROUP BY entity HAVING sum(len(b)) > 0),
+met AS (SELECT entity, term, count(*) AS m, least(count(DISTINCT least_), count(DISTINCT greatest_)) AS evidence FROM (SELECT entity, least_, greatest_, unnest(b) AS term FROM near) WHERE regexp_matches(term, '^[^0-9@]{{3,}}$') GROUP BY ALL),
+n AS (SELECT term, count(*) AS n FROM words WHERE term IN (SELECT term FROM met WHERE evidence >= {model.support}) GROUP BY term),
+known AS (SELECT DISTINCT term FROM met JOIN n USING (term) JOIN bits USING (entity) WHERE evidence >= {model.support} AND 2 * evidence >= m AND bits > 0 AND (bits - log2(greatest(n, m) / m)) / bits >= CAST({model.disclosure} AS DOUBLE)),
+texts AS (SELECT * FROM t WHERE rid IN (SELECT rid FROM words WHERE term IN (FROM known))),
+cut AS (SELECT rid, unnest(regexp_extract_all(text, '{WORD}')) AS m, unnest(string_split_regex(text, '{WORD}')[: len(regexp_extract_all(text, '{WORD}'))]) AS l, unnest(range(len(regexp_extract_all(text, '{WORD}')))) AS k FROM texts),
+ended AS (SELECT rid, m, CAST(sum(length(m) + length(l)) OVER (PARTITION BY rid ORDER BY k) AS BIGINT) AS e FROM cut),
+spans AS (SELECT rid, o, kind, s, e FROM base UNION ALL SELECT rid, 4, 'term', e - length(ltrim(m, '{MARKS}')), e - length(m) + length(rtrim(m, '{MARKS}')) FROM ended WHERE {normal('m')} IN (FROM known)),
+found AS (SELECT rid, count(*) FILTER (WHERE o = 0) AS n0, count(*) FILTER (WHERE o = 1) AS n1, count(*) FILTER (WHERE o = 2) AS n2, count(*) FILTER (WHERE o = 3) AS n3, count(*) FILTER (WHERE o = 4) AS n4, {listed} AS spans, {listed} FILTER (WHERE o < 4) AS base FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n4, 0) AS n_term FROM t LEFT JOIN found USING (rid)"""

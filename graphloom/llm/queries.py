@@ -84,6 +84,24 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), size=50)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"), min_length=6, exponent=4, planted=True)
+
+
 # ------------------------------------------------------------ what SQL can say of the others
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
@@ -103,7 +121,7 @@ Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
 
 def queries() -> Queries:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_html, op5_urls, op6_lm, op7_bpe, op8_packing, op9_tiff, op10_substring)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_html, op5_urls, op6_lm, op7_bpe, op8_packing, op9_tiff, op10_substring, op11_personal_data, op12_prefix_trie, op13_runs)}
 
 
 def parts() -> Queries:
@@ -114,4 +132,4 @@ def parts() -> Queries:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op2_quality": oracles.quality(), "op5_urls": oracles.urls(RULES), "op10_substring": oracles.substring(50), "lm_base": oracles.lm_base(), "warc_links": oracles.warc_links(), "tiff_payloads": oracles.tiff_payloads()}
+    return {"op2_quality": oracles.quality(), "op5_urls": oracles.urls(RULES), "op10_substring": oracles.substring(50), "op11_personal_data": oracles.personal(), "op12_prefix_trie": oracles.trie(), "op13_runs": oracles.runs(), "lm_base": oracles.lm_base(), "warc_links": oracles.warc_links(), "tiff_payloads": oracles.tiff_payloads()}

@@ -16,7 +16,7 @@ from graphloom.llm import html, queries, urls
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
     df = (queries.queries() | queries.parts())[name](spark, d)
     rel = con.execute(queries.oracle_sql()[name])
