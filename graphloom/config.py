@@ -41,11 +41,15 @@ class Config:
         if self.use_token_chunking and not (self.tokenizer_file and self.chunk_overlap // 4 < self.max_tokens):
             raise ValueError("token chunks need tokenizer_file, and a fourth of chunk_overlap below max_tokens")
 
-    def answers_hash(self) -> str:
-        """A name for all settings on which a chunk's answer depends."""
-        parts = [self.base_url, self.model, self.max_tokens, self.temperature, self.chunk_size, self.chunk_overlap, self.use_token_chunking, self.tokenizer_file]
+    def answers_hash(self, provider: str = "", prompt: str = "") -> str:
+        """A name for all that an answer depends on besides its text: the provider with its model, the prompt, the settings."""
+        parts = [provider, prompt, self.base_url, self.model, self.max_tokens, self.temperature, self.chunk_size, self.chunk_overlap, self.use_token_chunking, self.tokenizer_file]
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:16]
 
+    def model_settings(self) -> str:
+        """A name for the settings on which a reply about edges depends."""
+        return json.dumps([self.base_url, self.model, self.max_tokens, self.temperature])
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "GRAPHLOOM_", dotenv: str | None = None, **over) -> Config:
         """From variables like GRAPHLOOM_CHUNK_SIZE, then a .env file's lines, then ``over`` (None is left out)."""

@@ -44,6 +44,11 @@ def _normalize_udf(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: None if x is None else normalize_text(x))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any script at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def normalize_label(label: Column) -> Column:
     """``normalize_text`` as a column.
 
@@ -51,7 +56,7 @@ def normalize_label(label: Column) -> Column:
     fold to several letters or to none reach Python, the others as nulls.
     """
     one, base, several = _folding()
-    text = F.lower(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    text = F.lower(strip(label))
     folded = F.regexp_replace(F.translate(text, one, base), r"[^\x00-\x7F]", "")
     folded = F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\w\s]", ""), r"\s+", " "))
     # what is left of the text without the characters that fold to one letter is plain or odd
@@ -121,7 +126,7 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def relation_type(name: Column) -> Column:
-    return F.regexp_replace(F.upper(F.trim(name)), " ", "_")
+    return F.regexp_replace(F.upper(strip(name)), " ", "_")
 
 
 def xml_escape(text: Column) -> Column:

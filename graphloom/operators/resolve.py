@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_ratio, normalize_label
+from ..functions.text import fuzzy_ratio, normalize_label, strip
 from ..schema import DEFAULT_EDGE_TYPE, DEFAULT_NODE_TYPE
 from .components import components
 from .materialize import materialize
@@ -30,10 +30,9 @@ VARIANTS = 2_000
 
 
 def clean_nodes(nodes: DataFrame) -> DataFrame:
-    """Trimmed labels and types with defaults, and the keys ``type_key`` and ``norm``."""
-    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    kind = F.when(text("type") == "", DEFAULT_NODE_TYPE).otherwise(text("type"))
-    out = nodes.withColumns({"label": text("label"), "type": kind, "description": F.coalesce("description", F.lit(""))})
+    """Labels and types without white space at their ends and with defaults, and the keys ``type_key`` and ``norm``."""
+    kind = strip(F.col("type"))
+    out = nodes.withColumns({"label": strip(F.col("label")), "type": F.when(kind == "", DEFAULT_NODE_TYPE).otherwise(kind), "description": F.coalesce("description", F.lit(""))})
     return out.withColumns({"type_key": F.lower("type"), "norm": normalize_label(F.col("label"))})
 
 
@@ -237,7 +236,7 @@ def merge(nodes: DataFrame, edges: DataFrame, threshold: int = 90) -> tuple[Data
 
 def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with global ends and defaults; ids: graph_ord, orig_id, id."""
-    kind = F.trim(F.coalesce(F.col("type"), F.lit("")))
+    kind = strip(F.col("type"))
     s = ids.select("graph_ord", F.col("orig_id").alias("source"), F.col("id").alias("_s"))
     t = ids.select("graph_ord", F.col("orig_id").alias("target"), F.col("id").alias("_t"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))

@@ -8,8 +8,8 @@ PROPERTIES = T.MapType(T.StringType(), T.VariantType())
 NODE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "label", "type")] + [T.StructField("properties", PROPERTIES), T.StructField("description", T.StringType())])
 EDGE = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "target", "type", "label")] + [T.StructField("properties", PROPERTIES), T.StructField("evidence", T.StringType())])
 GRAPH = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("edges", T.ArrayType(EDGE))])
-ENRICHED = "array<struct<_idx:int,type:string,label:string,properties:map<string,variant>>>"
-VERDICTS = "array<struct<idx:int,valid:boolean,reason:string>>"
+ENRICHED_ITEM = "_idx int, type string, label string, properties map<string,variant>"
+VERDICT = "idx int, valid boolean, reason string"
 
 DEFAULT_NODE_TYPE = "Nodo"
 DEFAULT_EDGE_TYPE = "RELAZIONATO_A"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import copy
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace
 
 import pyarrow as pa
@@ -23,6 +27,15 @@ A node has id, label, type (one of {", ".join(NODE_TYPES)}), at most five proper
 An edge has source and target (node ids), type (an upper-case verb with underscores), label (at most five words), properties, and evidence (a quotation from the text)."""
 
 
+def provider_name(provider: Callable[[str], str]) -> str:
+    """What tells a provider's answers from those of another: its ``name``, or else that of its class or function."""
+    named = getattr(provider, "name", None)
+    if isinstance(named, str) and named:
+        return named
+    kind = provider if hasattr(provider, "__qualname__") else type(provider)
+    return f"{kind.__module__}.{kind.__qualname__}"
+
+
 class Replay:
     """Recorded answers by the request's text."""
 
@@ -40,6 +53,10 @@ class Chat:
         self.config, self.sleep, self.error = config, sleep, ""
         self.post = post or self._post
 
+    @property
+    def name(self) -> str:
+        return f"chat {self.config.base_url} {self.config.model}"
+
     def _post(self, path: str, body: dict | None) -> dict:
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.config.api_key}"}
         request = urllib.request.Request(self.config.base_url.rstrip("/") + path, json.dumps(body).encode() if body else None, headers)
@@ -88,24 +105,62 @@ def diagnose(status: int) -> str:
 GOOD = ("ok", "repaired", "salvaged")
 
 
+def window(table: DataFrame, workers: int | None) -> tuple[DataFrame, int]:
+    """``table`` dealt to tasks, and the requests that each has in flight, so that there are ``workers`` at a time in all.
+
+    Without ``workers`` the table's own partitions have one each.
+    """
+    if not workers:
+        return table, 1
+    tasks = min(workers, max(1, table.sparkSession.sparkContext.defaultParallelism))
+    return table.repartition(tasks), workers // tasks
+
+
+def in_flight(provider: Callable[[str], str], requests: Iterable[str], most: int) -> Iterator[tuple[str, str]]:
+    """(answer, error) of each request in their order, with ``most`` of them under way.
+
+    Each thread has a copy of the provider, whose error is then its own, and one that waits does not hold up others.
+    """
+    if most < 2:
+        for r in requests:
+            yield provider(r), getattr(provider, "error", "")
+        return
+    own = threading.local()
+
+    def one(request: str) -> tuple[str, str]:
+        if not hasattr(own, "provider"):
+            own.provider = copy.copy(provider)
+        return own.provider(request), getattr(own.provider, "error", "")
+
+    with ThreadPoolExecutor(most) as pool:
+        waiting: deque[Future] = deque()
+        for r in requests:
+            if len(waiting) == most:
+                yield waiting.popleft().result()
+            waiting.append(pool.submit(one, r))
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def responses(chunks: DataFrame, provider: Callable[[str], str], prompt: str = PROMPT, workers: int | None = None) -> DataFrame:
-    """(doc_ord, chunk_idx, raw, status, error, json): one request per chunk; ``workers`` bounds requests at a time.
+    """(doc_ord, chunk_idx, raw, status, error, json): one request per chunk; ``workers`` is the number of requests at a time.
 
     The status tells failed requests and answers from empty graphs, so they can be made again; ``error`` says what
     went wrong, in the provider's words (its ``error``) where there was no answer.
     """
 
+    source, most = window(chunks.select(F.col("doc_ord").cast("long"), F.col("chunk_idx").cast("int"), "text"), workers)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column(2).to_pylist():
-                raw = provider(f"{prompt}\n\n{text}" if prompt else text)
+            for raw, told in in_flight(provider, (f"{prompt}\n\n{text}" if prompt else text for text in b.column(2).to_pylist()), most):
                 value, status = parse(raw)
                 body, status = as_text(value, status)
                 # an answer that is no object is an empty graph with a status of its own
                 error = None
                 if not raw:
-                    status, error = "no_answer", getattr(provider, "error", "") or "empty answer"
+                    status, error = "no_answer", told or "empty answer"
                 elif status == "failed":
                     error = "the answer holds no JSON"
                 elif not isinstance(value, dict):
@@ -113,8 +168,7 @@ def responses(chunks: DataFrame, provider: Callable[[str], str], prompt: str = P
                 out.append((raw, status, error, body))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 4))], names=["doc_ord", "chunk_idx", "raw", "status", "error", "json"])
 
-    source = chunks.select(F.col("doc_ord").cast("long"), F.col("chunk_idx").cast("int"), "text")
-    return (source.repartition(workers) if workers else source).mapInArrow(run, "doc_ord long, chunk_idx int, raw string, status string, error string, json string")
+    return source.mapInArrow(run, "doc_ord long, chunk_idx int, raw string, status string, error string, json string")
 
 
 def todo(chunks: DataFrame, done: DataFrame, config_hash: str) -> DataFrame:

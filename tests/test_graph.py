@@ -158,13 +158,48 @@ def test_palette_wraps(spark):
 
 
 def test_inbox(spark, tmp_path):
-    for d in ("in", "out", "cp"):
-        (tmp_path / d).mkdir()
-    (tmp_path / "in/a.txt").write_text("Hello")
-    for _ in range(2):
-        q = follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda t: '{"nodes": [{"id": "1", "label": "H"}], "edges": []}')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Hello " * 100)
+    (tmp_path / "in/b.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "in/c.docx").write_bytes(b"no archive")
+    log = tmp_path / "log"
+
+    class Flaky:
+        name, error = "flaky", ""
+
+        def __init__(self, up):
+            self.up, self.log = up, str(log)
+
+        def __call__(self, request):
+            with open(self.log, "a") as f:
+                f.write("x\n")
+            if "Hello" in request and len(request) % 2 and not self.up:
+                self.error = "down"
+                return ""
+            return '{"nodes": [{"id": "1", "label": "H"}], "edges": []}'
+
+    config = Config(chunk_size=151, chunk_overlap=20)
+
+    def go(up):
+        log.write_text("")
+        q = follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), Flaky(up), config)
         assert q.awaitTermination(120)
-    assert [r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["ok"]
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r["name"], r["chunk_idx"] if r["chunk_idx"] is not None else -1, r["status"]) for r in rows), len(log.read_text().split())
+
+    first, n = go(False)
+    assert first == [("b.csv", 0, "ok"), ("c.docx", -1, "no_text")] and n > 2
+    again, down = go(False)
+    assert again == first and down == n - 1  # only what failed
+    third, up = go(True)
+    chunks = [x for x in third if x[0] == "a.txt"]
+    assert [i for _, i, _ in chunks] == list(range(n - 1)) and {s for _, _, s in chunks} == {"ok"} and up == down
+    assert go(True) == (third, 0)
+    (tmp_path / "in/d.txt").write_text("more")
+    fourth, n = go(True)
+    assert n == 1 and set(fourth) - set(third) == {("d.txt", 0, "ok")}
+    docs = {r["name"]: r["doc_ord"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert docs["a.txt"] < docs["b.csv"] < docs["c.docx"] < docs["d.txt"]
 
 
 def test_command_line(spark, tmp_path, capsys):

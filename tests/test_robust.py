@@ -51,7 +51,7 @@ def test_a_later_run_asks_only_for_what_is_missing(spark, tmp_path):
     go = lambda provider, c=config, **how: process_files(spark, [str(tmp_path / "in")], provider, c, enriched=False, **how)[0].count()
     one = asked(tmp_path / "1", refuse="second")
     assert go(one) == 2 and times(tmp_path / "1") == 2
-    failed = stored(spark, config.answers_dir).where("status = 'no_answer'").collect()
+    failed = stored(spark, f"{config.answers_dir}/chunks").where("status = 'no_answer'").collect()
     assert [r["error"] for r in failed] == ["the endpoint is down"]
     two = asked(tmp_path / "2")
     assert go(two) == 2 and times(tmp_path / "2") == 1  # the failed one alone
@@ -65,6 +65,123 @@ def test_a_later_run_asks_only_for_what_is_missing(spark, tmp_path):
     assert go(again, resume=False) == 2 and times(tmp_path / "5") == 3
 
 
+def test_answers_count_for_their_provider_and_prompt_alone(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a text")
+    config = Config(answers_dir=str(tmp_path / "answers"), fuzzy_threshold=101)
+
+    class Other:
+        name = "another model"
+
+        def __call__(self, request):
+            return '{"nodes": [{"id": "1", "label": "Other"}], "edges": []}'
+
+    go = lambda provider, c=config: sorted(r["label"] for r in process_files(spark, [str(tmp_path / "a.txt")], provider, c, enriched=False)[0].collect())
+    assert go(asked(tmp_path / "1")) == ["Acme", "Bob"] and go(Other()) == ["Other"] and go(asked(tmp_path / "2")) == ["Acme", "Bob"]
+    assert not (tmp_path / "2").exists()
+    assert config.answers_hash("a", "b") != config.answers_hash("a", "c") != config.answers_hash("ab", "")
+    assert providers.provider_name(providers.Chat(Config(model="m"))) != providers.provider_name(providers.Chat(Config(model="n")))
+    # a file that was broken is passed over with a warning, and what stood in it is asked for again
+    part = next((tmp_path / "answers/chunks").glob("part-*"))
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_bytes(b"PAR1 broken")
+    with pytest.warns(UserWarning, match="1 files of answers"):
+        assert go(asked(tmp_path / "3")) == ["Acme", "Bob"] and go(Other()) == ["Other"]
+
+
+def refiner(log, down=""):
+    """Answers chunks, enrichment and verification, and writes down which it was asked for."""
+
+    class Refiner:
+        name, error = "refiner", ""
+
+        def __call__(self, request, log=str(log), down=down):
+            kind = "enrich" if request.startswith(refine.ENRICH) else "verify" if request.startswith(refine.VERIFY) else "chunk"
+            with open(log, "a") as f:
+                f.write(kind + "\n")
+            if kind == down:
+                self.error = "down"
+                return ""
+            if kind == "chunk":
+                word = request.rsplit(None, 1)[-1]
+                return json.dumps({"nodes": [{"id": str(i), "label": f"{word}{i}"} for i in range(4)], "edges": [{"source": "0", "target": str(i), "type": "RELATED_TO", "evidence": f"e{i}"} for i in (1, 2, 3)]})
+            items = json.loads(request.split("\n", 1)[1])
+            if kind == "enrich":
+                return json.dumps([{"_idx": x["pos"], "type": f"has {x['evidence']}", "label": "has"} for x in items])
+            return json.dumps([{"idx": x["pos"], "valid": x["evidence"] != "e2", "reason": ""} for x in items])
+
+    return Refiner()
+
+
+def test_each_batch_of_edges_is_asked_about_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for w in ("Rome", "Oslo"):
+        (tmp_path / f"in/{w}.txt").write_text(w)
+    config = Config(answers_dir=str(tmp_path / "answers"), fuzzy_threshold=101, verify_batch=2)
+    go = lambda provider, c=config, **how: process_files(spark, [str(tmp_path / "in")], provider, c, verified=True, **how)
+    log = lambda n: sorted((tmp_path / n).read_text().split()) if (tmp_path / n).exists() else []
+    for n, c in (("1", config), ("kept for the run", Config(fuzzy_threshold=101, verify_batch=2))):
+        nodes, edges = go(refiner(tmp_path / n), c)
+        assert edges.count() == 4 and {r["type"] for r in edges.collect()} == {"HAS_E1", "HAS_E3"}
+        for k in range(3):
+            export.export_all(nodes, edges.withColumn("ord", F.monotonically_increasing_id()), str(tmp_path / f"out{k}"), ["jsonl"])
+        assert log(n) == ["chunk"] * 2 + ["enrich"] * 2 + ["verify"] * 4
+    # a second run asks nothing; one with another document only about that one's edges
+    assert go(refiner(tmp_path / "2"))[1].count() == 4 and log("2") == []
+    (tmp_path / "in/Bonn.txt").write_text("Bonn")
+    assert go(refiner(tmp_path / "3"))[1].count() == 6 and log("3") == ["chunk", "enrich", "verify", "verify"]
+    # other settings, and no resuming, ask again
+    hot = Config(answers_dir=config.answers_dir, fuzzy_threshold=101, verify_batch=2, temperature=0.9)
+    assert go(refiner(tmp_path / "4"), hot)[1].count() == 6 and len(log("4")) == 3 + 3 + 6
+    assert go(refiner(tmp_path / "5"), resume=False)[1].count() == 6 and len(log("5")) == 3 + 3 + 6
+
+
+def test_an_outage_of_refinement_is_made_good_by_the_next_run(spark, tmp_path):
+    (tmp_path / "Rome.txt").write_text("Rome")
+    config = Config(answers_dir=str(tmp_path / "answers"), fuzzy_threshold=101)
+    go = lambda provider: {r["type"] for r in process_files(spark, [str(tmp_path / "Rome.txt")], provider, config, verified=True)[1].collect()}
+    assert go(refiner(tmp_path / "1", down="enrich")) == {"RELATED_TO"}
+    kept = stored(spark, f"{config.answers_dir}/edges", refine.REPLIES).where("status = 'no_answer'").collect()
+    assert {(r["item"], r["error"]) for r in kept} == {(None, "down")}
+    assert go(refiner(tmp_path / "2")) == {"HAS_E1", "HAS_E3"} and (tmp_path / "2").read_text().split() == ["enrich", "verify"]
+
+
+def test_replies_say_what_they_name():
+    assert refine._items([{"_idx": 2, "a": 1}, {"a": 2}, {"_idx": None, "a": 3}, 5, {"_idx": True}], "_idx", True) == {2: {"_idx": None, "a": 3}, 1: {"a": 2}}
+    assert refine._items({"edges": [{"idx": 1}, {"x": 1}]}, "idx", False) == {1: {"idx": 1}}
+    assert refine._items("no", "_idx", True) == refine._items({"edges": 3}, "_idx", True) == {}
+
+
+def test_requests_in_flight_are_bounded_and_in_order():
+    import threading
+    import time
+
+    lock, now, most = threading.Lock(), [0], [0]
+
+    class Slow:
+        error = ""
+
+        def __call__(self, text):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.2 if text == "0" else 0.01)
+            with lock:
+                now[0] -= 1
+            self.error = f"e{text}"
+            return f"a{text}"
+
+    began = time.time()
+    assert list(providers.in_flight(Slow(), map(str, range(40)), 8)) == [(f"a{i}", f"e{i}") for i in range(40)]
+    assert most[0] == 8 and time.time() - began < 0.6
+    assert list(providers.in_flight(Slow(), ["x"], 1)) == [("ax", "ex")]
+
+
+def test_workers_bound_requests(spark):
+    t = spark.range(10)
+    tasks = spark.sparkContext.defaultParallelism
+    assert [(providers.window(t, w)[0].rdd.getNumPartitions(), providers.window(t, w)[1]) for w in (1, 3, 4 * tasks)] == [(1, 1), (min(3, tasks), 1), (tasks, 4)]
+
+
 def test_answers_come_in_the_order_of_chunks(spark, tmp_path):
     chunks = spark.createDataFrame([("d", 0, i, f"t{i % 3}") for i in (2, 0, 1, 3)] + [("e", 1, 0, "t0")], "name string, doc_ord long, chunk_idx int, text string")
     got = answered(chunks, lambda q: '{"nodes": [], "edges": []}', str(tmp_path / "a"), "x")
