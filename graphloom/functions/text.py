@@ -44,9 +44,13 @@ def _normalize_udf(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: None if x is None else normalize_text(x))
 
 
+#: White space of all scripts.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at its ends; null is empty."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(BLANKS))
 
 
 def normalize_label(label: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_ratio, normalize_label, strip
@@ -207,15 +207,18 @@ def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = No
 def merge_nodes(resolved: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per entity: first label, type and description, properties with the last value of each key, and ``first``.
 
-    ``resolved`` is read once: its rows are counted per entity and property key before entities are put together.
+    ``resolved`` is read once: its rows are counted per entity and property key before entities are put together.  Of
+    each node one row, with a null key, holds label, type and description; the others hold a property each.
     """
     keys = [*(keys or []), "type_key", "rep"]
     at = F.struct("graph_ord", "node_ord")
-    # a node without properties has one row with a null key
-    flat = resolved.select(*keys, at.alias("_at"), F.struct("label", "type").alias("_head"), "description", F.explode_outer("properties").alias("_k", "_v"))
-    told = F.when(F.col("description") != "", F.struct("_at", "description"))
-    some = flat.groupBy(*keys, "_k").agg(F.min("_at").alias("_first"), F.min_by("_head", "_at").alias("_head"), F.min(told).alias("_told"), F.max_by("_v", "_at").alias("_v"))
-    whole = some.groupBy(*keys).agg(F.min("_first").alias("first"), F.min_by("_head", "_first").alias("_head"), F.min("_told").alias("_told"), F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))).alias("_props"))
+    entries = F.map_entries("properties")
+    head = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(resolved.schema["properties"].dataType.valueType).alias("value"))
+    flat = resolved.select(*keys, at.alias("_at"), "label", "type", "description", F.explode(F.concat(F.array(head), F.coalesce(entries, F.slice(F.array(head), 1, 0)))).alias("_e"))
+    own = lambda c: F.when(F.col("_e.key").isNull(), c)
+    flat = flat.select(*keys, "_at", own(F.struct("label", "type")).alias("_head"), own(F.when(F.col("description") != "", F.struct("_at", "description"))).alias("_told"), F.col("_e.key").alias("_k"), F.col("_e.value").alias("_v"))
+    some = flat.groupBy(*keys, "_k").agg(F.min("_at").alias("_first"), F.min_by("_head", "_at").alias("_head"), F.min("_told").alias("_told"), F.max_by("_v", "_at").alias("_v"))
+    whole = some.groupBy(*keys).agg(F.min("_first").alias("first"), F.max("_head").alias("_head"), F.min("_told").alias("_told"), F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))).alias("_props"))
     return whole.select(*keys, "first", F.col("_head.label").alias("label"), F.col("_head.type").alias("type"), F.coalesce("_told.description", F.lit("")).alias("description"), F.map_from_entries("_props").alias("properties"))
 
 
@@ -227,28 +230,41 @@ def merge(nodes: DataFrame, edges: DataFrame, threshold: int = 90) -> tuple[Data
     Ids are n1, n2, ... in order of first sight; of nodes with the same id in a
     graph the last counts; edges without both ends are left out.
     """
-    # read twice, for the entities and for the ids
+    # read for the entities, their numbers and the ids
     resolved = materialize(entities(nodes, threshold))
-    merged = numbered(merge_nodes(resolved), ["first"]).withColumn("id", F.concat(F.lit("n"), F.col("ord")))
-    ids = resolved.where("orig_id IS NOT NULL").groupBy("graph_ord", "orig_id").agg(F.max_by(F.struct("type_key", "rep"), "node_ord").alias("_e")).select("graph_ord", "orig_id", "_e.*").join(merged.select("type_key", "rep", "id"), ["type_key", "rep"]).select("graph_ord", "orig_id", "id")
+    first = resolved.groupBy("type_key", "rep").agg(F.min(F.struct("graph_ord", "node_ord")).alias("_first"))
+    number = numbered(first, ["_first"]).select("type_key", "rep", "ord", F.concat(F.lit("n"), F.col("ord")).alias("id"))
+    merged = merge_nodes(resolved).join(number, ["type_key", "rep"])
+    ids = resolved.where("orig_id IS NOT NULL").groupBy("graph_ord", "orig_id").agg(F.max_by(F.struct("type_key", "rep"), "node_ord").alias("_e")).select("graph_ord", "orig_id", "_e.*").join(number, ["type_key", "rep"]).select("graph_ord", "orig_id", "id")
     return merged.select("ord", "id", "label", "type", "properties", "description"), remap(edges, ids)
 
 
+def edge_type() -> Column:
+    """An edge's type without white space at its ends, or the default."""
+    kind = strip(F.col("type"))
+    return F.when(kind == "", DEFAULT_EDGE_TYPE).otherwise(kind)
+
+
 def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with global ends and defaults; ids: graph_ord, orig_id, id."""
-    kind = strip(F.col("type"))
     s = ids.select("graph_ord", F.col("orig_id").alias("source"), F.col("id").alias("_s"))
     t = ids.select("graph_ord", F.col("orig_id").alias("target"), F.col("id").alias("_t"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return edges.join(s, ["graph_ord", "source"]).join(t, ["graph_ord", "target"]).select("graph_ord", "edge_ord", F.col("_s").alias("source"), F.col("_t").alias("target"), F.when(kind == "", DEFAULT_EDGE_TYPE).otherwise(kind).alias("type"), text("label").alias("label"), "properties", text("evidence").alias("evidence"))
+    return edges.join(s, ["graph_ord", "source"]).join(t, ["graph_ord", "target"]).select("graph_ord", "edge_ord", F.col("_s").alias("source"), F.col("_t").alias("target"), edge_type().alias("type"), text("label").alias("label"), "properties", text("evidence").alias("evidence"))
 
 
 def prune(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between known, different nodes; of equal (source, target, type) the first."""
     ids = nodes.select(F.col("id").alias("source"))
-    known = edges.where("source <> target").join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi")
-    first = Window.partitionBy("source", "target", "type").orderBy("graph_ord", "edge_ord")
-    return known.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return first_of_equals(edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi").select(edges.columns))
+
+
+def first_of_equals(edges: DataFrame) -> DataFrame:
+    """Edges between different nodes; of equal (source, target, type) the first.  Equal ones are combined before the shuffle."""
+    keys = ["source", "target", "type"]
+    rest = [c for c in edges.columns if c not in keys]
+    first = edges.where("source <> target").groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("graph_ord", "edge_ord")).alias("_e"))
+    return first.select(*keys, "_e.*").select(edges.columns)
 
 
 def merge_two_levels(nodes: DataFrame, edges: DataFrame, threshold: int = 90, doc_col: str = "doc_ord", metrics=None) -> tuple[DataFrame, DataFrame]:
@@ -260,12 +276,14 @@ def merge_two_levels(nodes: DataFrame, edges: DataFrame, threshold: int = 90, do
     ids = scoped.where("orig_id IS NOT NULL").groupBy(doc_col, "graph_ord", "orig_id").agg(F.max_by(F.struct("type_key", "rep"), "node_ord").alias("_e")).select(doc_col, "graph_ord", "orig_id", "_e.*").join(inner.select(doc_col, "type_key", "rep", F.col("orig_id").alias("id")), [doc_col, "type_key", "rep"]).select(doc_col, "graph_ord", "orig_id", "id")
     s = ids.withColumnsRenamed({"orig_id": "source", "id": "_s"})
     t = ids.withColumnsRenamed({"orig_id": "target", "id": "_t"})
-    local = edges.join(s, [doc_col, "graph_ord", "source"]).join(t, [doc_col, "graph_ord", "target"]).drop("source", "target").withColumnsRenamed({"_s": "source", "_t": "target"}).where("source <> target")
+    local = edges.join(s, [doc_col, "graph_ord", "source"]).join(t, [doc_col, "graph_ord", "target"]).drop("source", "target").withColumnsRenamed({"_s": "source", "_t": "target"}).withColumn("type", edge_type())
+    # within a document a window sorts once, where combining first would sort twice
     first = Window.partitionBy(doc_col, "source", "target", "type").orderBy("graph_ord", "edge_ord")
-    local = local.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    local = local.where("source <> target").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     local = local.withColumn("edge_ord", F.row_number().over(Window.partitionBy(doc_col).orderBy("graph_ord", "edge_ord"))).withColumn("graph_ord", F.col(doc_col))
     outer = inner.select(F.col(doc_col).alias("graph_ord"), "node_ord", "orig_id", "label", "type", "properties", "description")
     merged, joined = merge(outer, local, threshold)
+    # both ends are known
     if not metrics:
-        return merged, prune(merged, joined)
-    return merged, metrics.after_pruning(prune(merged, metrics.before_pruning(joined)))
+        return merged, first_of_equals(joined)
+    return merged, metrics.after_pruning(first_of_equals(metrics.before_pruning(joined)))

@@ -10,7 +10,7 @@ from .functions.chunking import chunks_by
 from .operators.materialize import materialize
 from .operators.metrics import RunMetrics
 from .operators.refine import enrich, verify
-from .operators.resolve import merge, merge_two_levels, prune
+from .operators.resolve import first_of_equals, merge, merge_two_levels
 from .progress import answered
 from .sources.files import not_blank, read_files, read_graphs, texts
 from .sources.providers import PROMPT, Chat, graph_rows, provider_name, responses
@@ -65,4 +65,4 @@ def merge_files(spark: SparkSession, paths: list[str], threshold: int | None = N
     nodes, edges = merge(nodes, edges, get_config().fuzzy_threshold if threshold is None else threshold)
     # both are read by every sink
     nodes = materialize(nodes)
-    return nodes, materialize(prune(nodes, edges)), bad
+    return nodes, materialize(first_of_equals(edges)), bad

@@ -52,25 +52,27 @@ def star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
 
     def node(df, base, k, prefix, label, kind, props, about):
-        return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("node_ord"), key(prefix, k).alias("orig_id"), F.col(label).alias("label"), F.lit(kind).alias("type"), props.alias("properties"), about.alias("description"))
+        return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("node_ord"), key(prefix, k).alias("orig_id"), label.alias("label"), kind.alias("type"), props.alias("properties"), about.alias("description"))
 
     seen = F.when(F.col("graph_ord") >= 2, key("seen in ", "graph_ord")).otherwise("")
-    nodes = node(region, 0, "r_regionkey", "r", "r_name", "Region", prop("graph", "graph_ord"), seen)
-    nodes = nodes.unionByName(node(nation, 100, "n_nationkey", "n", "n_name", "Nation", prop("graph", "graph_ord"), seen))
-    nodes = nodes.unionByName(node(supplier, 1000, "s_suppkey", "s", "s_name", "Supplier", prop("nation", "s_nationkey"), F.lit("")))
-    nodes = nodes.unionByName(node(customer, 10_000_000, "c_custkey", "c", "c_name", "Customer", prop("segment", "c_mktsegment"), F.lit("")))
+    # white space at the ends of labels and types, in some of the graphs
+    spaced = lambda c, g: F.when(F.col("graph_ord") == g, F.concat(F.lit("\t\u2003"), c, F.lit(" \xa0\n"))).otherwise(c)
+    nodes = node(region, 0, "r_regionkey", "r", F.col("r_name"), spaced(F.lit("Region"), 2), prop("graph", "graph_ord"), seen)
+    nodes = nodes.unionByName(node(nation, 100, "n_nationkey", "n", spaced(F.col("n_name"), 3), F.lit("Nation"), prop("graph", "graph_ord"), seen))
+    nodes = nodes.unionByName(node(supplier, 1000, "s_suppkey", "s", spaced(F.col("s_name"), 1), F.lit("Supplier"), prop("nation", "s_nationkey"), F.lit("")))
+    nodes = nodes.unionByName(node(customer, 10_000_000, "c_custkey", "c", F.col("c_name"), F.lit("Customer"), prop("segment", "c_mktsegment"), F.lit("")))
     part = table(spark, d, "part").withColumn("graph_ord", F.col("p_partkey") % GRAPHS)
-    nodes = nodes.unionByName(node(part, 1_000_000_000, "p_partkey", "p", "p_name", "Part", prop("brand", "p_brand"), F.lit("")))
+    nodes = nodes.unionByName(node(part, 1_000_000_000, "p_partkey", "p", F.col("p_name"), F.lit("Part"), prop("brand", "p_brand"), F.lit("")))
 
     def edge(df, base, k, s, t, kind, label, evidence):
-        return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("edge_ord"), s.alias("source"), t.alias("target"), F.lit(kind).alias("type"), F.lit(label).alias("label"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit(evidence).alias("evidence"))
-
-    edges = edge(nation, 0, "n_nationkey", key("n", "n_nationkey"), key("r", "n_regionkey"), "IN_REGION", "lies in", "first")
-    edges = edges.unionByName(edge(nation, 100, "n_nationkey", key("n", "n_nationkey"), key("r", "n_regionkey"), "IN_REGION", "lies in", "again"))
-    edges = edges.unionByName(edge(region, 500, "r_regionkey", key("r", "r_regionkey"), key("r", "r_regionkey"), "SELF", "", ""))
-    edges = edges.unionByName(edge(region, 600, "r_regionkey", key("r", "r_regionkey"), F.lit("nobody"), "LOST", "", ""))
-    edges = edges.unionByName(edge(supplier, 1000, "s_suppkey", key("s", "s_suppkey"), key("n", "s_nationkey"), "RELATED_TO", "", "it's <here> & \"there\""))
-    edges = edges.unionByName(edge(customer.where("c_custkey % 5 <> 0"), 10_000_000, "c_custkey", key("c", "c_custkey"), key("n", "c_nationkey"), "IN_NATION", "lives in", ""))
+        return df.select("graph_ord", (F.lit(base) + F.col(k)).cast("long").alias("edge_ord"), s.alias("source"), t.alias("target"), kind.alias("type"), F.lit(label).alias("label"), F.expr("cast(map() as map<string,string>)").alias("properties"), F.lit(evidence).alias("evidence"))
+
+    edges = edge(nation, 0, "n_nationkey", key("n", "n_nationkey"), key("r", "n_regionkey"), F.lit("IN_REGION"), "lies in", "first")
+    edges = edges.unionByName(edge(nation, 100, "n_nationkey", key("n", "n_nationkey"), key("r", "n_regionkey"), spaced(F.lit("IN_REGION"), 4), "lies in", "again"))
+    edges = edges.unionByName(edge(region, 500, "r_regionkey", key("r", "r_regionkey"), key("r", "r_regionkey"), F.lit("SELF"), "", ""))
+    edges = edges.unionByName(edge(region, 600, "r_regionkey", key("r", "r_regionkey"), F.lit("nobody"), F.lit("LOST"), "", ""))
+    edges = edges.unionByName(edge(supplier, 1000, "s_suppkey", key("s", "s_suppkey"), key("n", "s_nationkey"), F.lit("RELATED_TO"), "", "it's <here> & \"there\""))
+    edges = edges.unionByName(edge(customer.where("c_custkey % 5 <> 0"), 10_000_000, "c_custkey", key("c", "c_custkey"), key("n", "c_nationkey"), F.lit("IN_NATION"), "lives in", ""))
     return nodes, edges
 
 
@@ -86,26 +88,29 @@ def ordered(edges: DataFrame) -> DataFrame:
 
 _PROPS = "'{\"' || k || '\":\"' || v || '\"}'"
 _G = f"(SELECT unnest(range({GRAPHS})) AS g)"
+_BLANK = "[\\s\\x0B\\x85\\xA0\u2003]+"
+_STRIP = f"regexp_replace(%s, '^{_BLANK}|{_BLANK}$', '', 'g')"
+_SPACED = "CASE WHEN g = {1} THEN chr(9) || chr(8195) || {0} || ' ' || chr(160) || chr(10) ELSE {0} END"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(%s))), '[^\x00-\x7F]', '', 'g'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
 STAR = f"""
 raw_nodes AS (
- SELECT g AS graph_ord, CAST(r_regionkey AS BIGINT) AS node_ord, 'r' || r_regionkey AS orig_id, r_name AS label, 'Region' AS type, 'graph' AS k, CAST(g AS VARCHAR) AS v, CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END AS description FROM region, {_G}
- UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, n_name, 'Nation', 'graph', CAST(g AS VARCHAR), CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END FROM nation, {_G}
- UNION ALL SELECT s_suppkey % {GRAPHS}, 1000 + s_suppkey, 's' || s_suppkey, s_name, 'Supplier', 'nation', CAST(s_nationkey AS VARCHAR), '' FROM supplier
+ SELECT g AS graph_ord, CAST(r_regionkey AS BIGINT) AS node_ord, 'r' || r_regionkey AS orig_id, r_name AS label, {_SPACED.format("'Region'", 2)} AS type, 'graph' AS k, CAST(g AS VARCHAR) AS v, CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END AS description FROM region, {_G}
+ UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, {_SPACED.format('n_name', 3)}, 'Nation', 'graph', CAST(g AS VARCHAR), CASE WHEN g >= 2 THEN 'seen in ' || g ELSE '' END FROM nation, {_G}
+ UNION ALL SELECT g, 1000 + s_suppkey, 's' || s_suppkey, {_SPACED.format('s_name', 1)}, 'Supplier', 'nation', CAST(s_nationkey AS VARCHAR), '' FROM (SELECT *, s_suppkey % {GRAPHS} AS g FROM supplier)
  UNION ALL SELECT c_custkey % {GRAPHS}, 10000000 + c_custkey, 'c' || c_custkey, c_name, 'Customer', 'segment', c_mktsegment, '' FROM customer
  UNION ALL SELECT p_partkey % {GRAPHS}, 1000000000 + p_partkey, 'p' || p_partkey, p_name, 'Part', 'brand', p_brand, '' FROM part),
 raw_edges AS (
  SELECT g AS graph_ord, CAST(n_nationkey AS BIGINT) AS edge_ord, 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'IN_REGION' AS type, 'lies in' AS label, 'first' AS evidence FROM nation, {_G}
- UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'IN_REGION', 'lies in', 'again' FROM nation, {_G}
+ UNION ALL SELECT g, 100 + n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, {_SPACED.format("'IN_REGION'", 4)}, 'lies in', 'again' FROM nation, {_G}
  UNION ALL SELECT g, 500 + r_regionkey, 'r' || r_regionkey, 'r' || r_regionkey, 'SELF', '', '' FROM region, {_G}
  UNION ALL SELECT g, 600 + r_regionkey, 'r' || r_regionkey, 'nobody', 'LOST', '', '' FROM region, {_G}
  UNION ALL SELECT s_suppkey % {GRAPHS}, 1000 + s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'RELATED_TO', '', 'it''s <here> & "there"' FROM supplier
  UNION ALL SELECT c_custkey % {GRAPHS}, 10000000 + c_custkey, 'c' || c_custkey, 'n' || c_nationkey, 'IN_NATION', 'lives in', '' FROM customer WHERE c_custkey % 5 <> 0),
-keyed AS (SELECT *, lower(type) AS tk, {_NORM % 'label'} AS nl FROM raw_nodes),
+keyed AS (SELECT *, lower(type) AS tk, {_NORM % 'label'} AS nl FROM (SELECT * REPLACE ({_STRIP % 'label'} AS label, {_STRIP % 'type'} AS type) FROM raw_nodes)),
 ents AS (SELECT tk, nl, min(struct_pack(a := graph_ord, b := node_ord)) AS first, arg_min(label, struct_pack(a := graph_ord, b := node_ord)) AS label, arg_min(type, struct_pack(a := graph_ord, b := node_ord)) AS type, coalesce(arg_min(description, struct_pack(a := graph_ord, b := node_ord)) FILTER (WHERE description <> ''), '') AS description, any_value(k) AS k, arg_max(v, struct_pack(a := graph_ord, b := node_ord)) AS v FROM keyed GROUP BY tk, nl),
 nodes AS (SELECT row_number() OVER (ORDER BY first) AS ord, 'n' || row_number() OVER (ORDER BY first) AS id, label, type, description, k, v, tk, nl FROM ents),
 ids AS (SELECT DISTINCT graph_ord, orig_id, id FROM keyed JOIN nodes USING (tk, nl)),
-mapped AS (SELECT e.graph_ord, e.edge_ord, s.id AS source, t.id AS target, e.type, e.label, e.evidence FROM raw_edges e JOIN ids s ON s.graph_ord = e.graph_ord AND s.orig_id = e.source JOIN ids t ON t.graph_ord = e.graph_ord AND t.orig_id = e.target),
+mapped AS (SELECT e.graph_ord, e.edge_ord, s.id AS source, t.id AS target, {_STRIP % 'e.type'} AS type, e.label, e.evidence FROM raw_edges e JOIN ids s ON s.graph_ord = e.graph_ord AND s.orig_id = e.source JOIN ids t ON t.graph_ord = e.graph_ord AND t.orig_id = e.target),
 edges AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY graph_ord, edge_ord) AS rn FROM mapped WHERE source <> target) WHERE rn = 1),
 oedges AS (SELECT *, row_number() OVER (ORDER BY graph_ord, edge_ord) - 1 AS ord FROM edges)
 """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import Config
 from graphloom.functions import chunking, jsonrepair, text
+from graphloom.operators import resolve
 from graphloom.operators.resolve import segments
 
 
@@ -110,3 +111,16 @@ def test_chunks_are_those_of_the_rule():
             want.append(t[at:to])
             at = to - overlap
         assert chunking.split_chars(t, size, overlap) == [x.strip() for x in want if x.strip()]
+
+
+def test_strip_takes_white_space_of_all_scripts(spark):
+    from graphloom.functions.text import strip
+
+    texts = ["\tAcme\n", "\xa0 a b　\x85", "", None, "\x1c\x1f", "​x", "  y "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == [(t or "").strip() for t in texts]
+    nodes = spark.createDataFrame([(0, i, str(i), label, kind, {}, "") for i, (label, kind) in enumerate([("\tAcme\n", "Org"), ("acme", "\xa0Org "), ("Bob", "\n")])], "graph_ord long, node_ord long, orig_id string, label string, type string, properties map<string,string>, description string")
+    edges = spark.createDataFrame([(0, 0, "0", "2", " \towns ", "", {}, ""), (0, 1, "1", "2", "owns", "", {}, "")], "graph_ord long, edge_ord long, source string, target string, type string, label string, properties map<string,string>, evidence string")
+    n, e = resolve.merge(nodes, edges, 101)
+    assert [(r["label"], r["type"]) for r in n.orderBy("ord").collect()] == [("Acme", "Org"), ("Bob", "Nodo")]
+    assert [r["type"] for r in resolve.prune(n, e).collect()] == ["owns"]
