@@ -8,6 +8,8 @@ Parts share few names and have no edges.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 from ..functions import chunking, jsonrepair, text
 from ..operators import graph as G
 from ..operators import contracts, metrics, refine, resolve
+from ..operators.materialize import shared_folder
 from ..operators.numbering import numbered
 from ..schema import GENERIC_TYPES
 from ..sinks import export
-from ..sources import files, providers
+from ..sources import files, providers, splits
 
 GRAPHS = 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,6 +243,29 @@ def html_raw_text(spark, d):
     return files.texts(as_files(table(spark, d, "pages"), "page_id", F.concat(F.col("page_id").cast("string"), F.lit(".HTML")), F.col("html"))).withColumn("name", F.replace("name", F.lit(".HTML"), F.lit(".html")))
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS chars FROM documents")
+def csv_split_rows(spark, d):
+    """All documents as quoted CSV, read back by splits: most rows hold line breaks, and some lie over splits."""
+    to = _new_folder(spark, "csv")
+    table(spark, d, "documents").select("doc_id", "lang", "text").write.option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(to)
+    cell = F.col("cells")
+    return splits.read_table(spark, [to]).select(cell[0].alias("doc_id"), cell[1].alias("lang"), F.md5(cell[2]).alias("text_md5"), F.length(cell[2]).alias("chars"))
+
+
+@query(f"SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INTEGER) AS pos, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 100")
+def jsonl_split_first100(spark, d):
+    """A file of events for each type, every tenth line broken, read by splits."""
+    to = _new_folder(spark, "lines")
+    line = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("props"))
+    table(spark, d, "events").select("event_type", "event_id", line.alias("value")).repartition("event_type").sortWithinPartitions("event_type", "event_id").drop("event_id").write.partitionBy("event_type").text(to)
+    got = splits.first_json(spark, [f"{to}/*"])
+    return got.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"), F.col("pos").cast("int").alias("pos"), F.get_json_object("json", "$.k").cast("int").alias("k"))
+
+
 _WORD_LISTS = "SELECT doc_id AS doc_ord, string_split(text, ' ') AS w FROM documents WHERE text <> ''"
 
 
@@ -557,6 +583,29 @@ def run_metrics(spark, d):
     return metrics.run_metrics(joined, pruned, changed, changed.where("pos % 4 <> 0"), keys)
 
 
+class _Refiner:
+    """Says of edges what their ends say, if it is up."""
+
+    name = "refiner"
+
+    def __init__(self, up: bool):
+        self.up, self.error = up, "" if up else "down"
+
+    def __call__(self, request: str) -> str:
+        items = json.loads(request.split("\n", 1)[1])
+        return json.dumps([{"_idx": x["pos"], "type": "in " + x["target_label"].strip()} for x in items]) if self.up else ""
+
+
+@query(on_star(f"SELECT e.graph_ord, e.edge_ord, CASE WHEN e.graph_ord % 2 = 0 THEN 'ok' ELSE 'no_answer' END AS status, CASE WHEN e.graph_ord % 2 = 0 THEN 'in ' || t.label END AS said, CASE WHEN e.graph_ord % 2 = 1 THEN 'down' END AS error FROM edges e JOIN nodes t ON t.id = e.target WHERE upper(trim(e.type)) IN ({_GENERIC}) OR trim(e.label) = ''"))
+def edge_replies(spark, d):
+    """Edges asked about twice, at first those of every other graph, then all, of a provider that is down by then: what is known is not asked again."""
+    nodes, edges = merged(spark, d)
+    vague = refine.with_labels(nodes, edges.where(refine.needs_enrichment()))
+    how = {"prompt": refine.ENRICH, "size": 30, "folder": _new_folder(spark, "replies")}
+    refine.replies(vague.where("graph_ord % 2 = 0"), _Refiner(True), **how)
+    return refine.replies(vague, _Refiner(False), **how).select("graph_ord", "edge_ord", "status", F.get_json_object("item", "$.type").alias("said"), "error")
+
+
 @query(f"WITH {_BATCH} SELECT graph_ord, edge_ord FROM batches WHERE pos % 4 <> 0")
 def verify_filter(spark, d):
     b = _batches(spark, d)
@@ -590,6 +639,27 @@ def export_graphml_lines(spark, d):
     return export.graphml_lines(nodes, ordered(edges))
 
 
+def _lines_only(sql: str) -> str:
+    return f"SELECT line FROM ({sql})"
+
+
+@query(_lines_only(_sql["export_graphml_lines"]))
+def export_graphml_file(spark, d):
+    """One file that tasks wrote, read back by lines."""
+    nodes, edges = merged(spark, d)
+    to = _new_folder(spark, "graph") + ".graphml"
+    export.write_lines(export.graphml_lines(nodes, ordered(edges)), to)
+    return spark.read.text(to).select(F.col("value").alias("line"))
+
+
+@query(on_star(f"SELECT CAST(ord AS BIGINT) AS row_ord, id, label, type, description, {_PROPS} AS properties FROM nodes UNION ALL SELECT 0, ':ID', 'label:string', ':LABEL', 'description:string', 'properties:string'"))
+def export_csv_file(spark, d):
+    """One file of nodes for a graph database, read back by splits."""
+    to = _new_folder(spark, "nodes") + ".csv"
+    export.write_lines(export.csv_lines(merged(spark, d)[0], export.node_columns()), to, end="\r\n")
+    return splits.read_table(spark, [to]).select("row_ord", *[F.col("cells")[i].alias(c) for i, c in enumerate(["id", "label", "type", "description", "properties"])])
+
+
 @query(on_star(f'SELECT id AS ":ID", label AS "label:string", type AS ":LABEL", description AS "description:string", {_PROPS} AS "properties:string" FROM nodes'))
 def export_neo4j_nodes(spark, d):
     return export.csv_nodes(merged(spark, d)[0])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -41,12 +42,28 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return fixed.unionByName(n).unionByName(e)
 
 
+def node_columns() -> dict[str, Column]:
+    return {":ID": F.col("id"), "label:string": F.col("label"), ":LABEL": F.col("type"), "description:string": F.col("description"), "properties:string": props_json()}
+
+
+def edge_columns() -> dict[str, Column]:
+    return {":START_ID": F.col("source"), ":END_ID": F.col("target"), ":TYPE": F.col("type"), "label:string": F.col("label"), "evidence:string": F.col("evidence"), "properties:string": props_json()}
+
+
 def csv_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.select(F.col("id").alias(":ID"), F.col("label").alias("label:string"), F.col("type").alias(":LABEL"), F.col("description").alias("description:string"), props_json().alias("properties:string"))
+    return nodes.select(*[c.alias(name) for name, c in node_columns().items()])
 
 
 def csv_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.col("type").alias(":TYPE"), F.col("label").alias("label:string"), F.col("evidence").alias("evidence:string"), props_json().alias("properties:string"))
+    return edges.select(*[c.alias(name) for name, c in edge_columns().items()])
+
+
+def csv_lines(table: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(part, ord, line) of a table with ``ord``: names, then rows; fields are quoted where they must be."""
+    cell = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    head = table.sparkSession.createDataFrame([(0, 0, ",".join(columns))], "part int, ord long, line string")
+    rows = F.concat_ws(",", *[cell(F.coalesce(c.cast("string"), F.lit(""))) for c in columns.values()])
+    return head.unionByName(table.select(F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), rows.alias("line")))
 
 
 def turtle_lines(nodes: DataFrame, edges: DataFrame, base: str = "http://example.org/graph#") -> DataFrame:
@@ -89,15 +106,57 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> dict:
     return {"nodes": rows(nodes, "id", "label", "type", "properties", "description"), "edges": rows(edges, "source", "target", "type", "label", "properties", "evidence")}
 
 
-def write_lines(lines: DataFrame, path: str, one_file: bool = True) -> None:
-    """Lines in order as one text file written by the driver, or as parts in a folder written by the tasks, in the order of their names."""
-    if one_file:
-        with open(path, "w", encoding="utf-8") as f:
-            for row in lines.orderBy("part", "ord").select("line").toLocalIterator():
-                f.write(row[0] + "\n")
-    else:
-        # breaks inside of a line stay as they are: rows end with a line feed only
-        lines.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
+def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, ord, line) of one JSON object with all nodes and edges, an object a line."""
+
+    def rows(table: DataFrame, part: int, *cols: str) -> DataFrame:
+        first = table.agg(F.min("ord")).first()[0]  # has no comma before it
+        body = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+        return table.select(F.lit(part).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(F.when(F.col("ord") == first, "").otherwise(","), body).alias("line"))
+
+    n = rows(nodes, 1, "id", "label", "type", "properties", "description")
+    e = rows(edges, 3, "source", "target", "type", "label", "properties", "evidence")
+    fixed = nodes.sparkSession.createDataFrame([(0, 0, '{"nodes": ['), (2, 0, '], "edges": ['), (4, 0, "]}")], "part int, ord long, line string")
+    return fixed.unionByName(n).unionByName(e)
+
+
+def write_lines(lines: DataFrame, path: str, one_file: bool = True, end: str = "\n") -> None:
+    """Lines in order as one text file, or as parts in a folder in the order of their names.
+
+    Either is written by the tasks.  For one file the parts are then copied behind each other as bytes, under another name until it is whole,
+    so that a failure leaves no file, or the one that was there.
+    """
+    # breaks inside of a line stay as they are: rows end with ``end`` only
+    writer = lines.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("line").write.mode("overwrite").option("lineSep", end)
+    if not one_file:
+        writer.text(path)
+        return
+    spark = lines.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, parts, whole = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.parts-{uuid.uuid4().hex}", f"{path}.new-{uuid.uuid4().hex}"))
+    fs = to.getFileSystem(conf)
+    fs.setWriteChecksum(False)  # no files of checksums beside it
+    try:
+        writer.text(parts.toString())
+        out = fs.create(whole, True)
+        try:
+            for part in sorted(x.getPath().getName() for x in fs.listStatus(parts)):
+                if part.startswith("part-"):
+                    read = fs.open(jvm.org.apache.hadoop.fs.Path(parts, part))
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+                    finally:
+                        read.close()
+        finally:
+            out.close()
+        if fs.isDirectory(to):
+            raise FileExistsError(f"{path} is a folder")
+        fs.delete(to, False)
+        fs.rename(whole, to)
+    finally:
+        fs.setWriteChecksum(True)
+        fs.delete(parts, True)
+        fs.delete(whole, False)
 
 
 def write_tables(nodes: DataFrame, edges: DataFrame, base: str, form: str) -> str:
@@ -171,11 +230,14 @@ def viewer(nodes: DataFrame, edges: DataFrame, title: str, most_nodes: int = 5_0
 def export_all(nodes: DataFrame, edges: DataFrame, base: str, formats: list[str], one_file: bool = True, at: datetime | None = None) -> dict[str, str]:
     """Writes each format next to ``base`` (suffixes are added); returns what was written or went wrong.
 
-    json, html and, with ``one_file``, the line formats are written by the driver, row by row or for graphs that fit it; parquet, jsonl and neo4j, and
-    without ``one_file`` the line formats too, are written by the tasks.
+    All but html are written by the tasks: json always as one file, parquet and jsonl as folders, the others as one file, or as folders of parts without ``one_file``.
     """
 
     def two_files(kind: str) -> str:
+        if one_file:
+            write_lines(csv_lines(nodes, node_columns()), f"{base}_nodes.csv", end="\r\n")
+            write_lines(csv_lines(edges, edge_columns()), f"{base}_relationships.csv", end="\r\n")
+            return f"{base}_nodes.csv, {base}_relationships.csv"
         for name, df in (("nodes", csv_nodes(nodes.orderBy("ord"))), ("relationships", csv_edges(edges.orderBy("ord")))):
             df.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n").csv(f"{base}_{name}.csv")
         return f"{base}_nodes.csv, {base}_relationships.csv"
@@ -185,8 +247,7 @@ def export_all(nodes: DataFrame, edges: DataFrame, base: str, formats: list[str]
         return base + ext
 
     def as_json(_: str) -> str:
-        with open(base + ".json", "w", encoding="utf-8") as f:
-            json.dump(graph_json(nodes, edges), f, indent=2, ensure_ascii=False)
+        write_lines(json_lines(nodes, edges), base + ".json")
         return base + ".json"
 
     def as_html(_: str) -> str:

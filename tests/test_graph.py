@@ -1,4 +1,5 @@
 import csv
+import io
 import json
 import random
 import zipfile
@@ -143,9 +144,13 @@ def test_sinks_read_back(spark, tmp_path):
     assert json.loads((tmp_path / "a.b.json").read_text())["nodes"][0]["label"] == odd
     root = ElementTree.parse(tmp_path / "a.b.graphml").getroot()
     assert root[-1][0][0].text == odd and len(root[-1]) == 3
-    with next((tmp_path / "a.b_nodes.csv").glob("part-*.csv")).open(newline="") as f:
-        rows = list(csv.reader(f))
-    assert rows[0][0] == ":ID" and rows[1][1] == odd
+    with (tmp_path / "a.b_nodes.csv").open(newline="") as f:
+        raw = f.read()
+    rows = list(csv.reader(raw.splitlines(keepends=True)))
+    want = io.StringIO()
+    csv.writer(want).writerows(rows)
+    assert rows[0][0] == ":ID" and rows[1][1] == odd and rows[2][:2] == ["n2", "B"] and raw == want.getvalue() and raw.count("\r\n") == 3
+    assert not [p.name for p in tmp_path.iterdir() if ".parts-" in p.name or ".new-" in p.name or p.name.endswith(".crc")]
     page = (tmp_path / "a.b.html").read_text()
     assert page.count("</script>") == 2 and "2 nodes, 1 edges, 2 types" in page
     assert "\\'" in (tmp_path / "a.b.cypher").read_text() and len((tmp_path / "a.b.ttl").read_text().splitlines()) == 6

@@ -363,6 +363,26 @@ def test_sinks_written_by_tasks(spark, tmp_path):
     assert len(lines) == 80 and lines[0].startswith("// graph of ") and lines[1].startswith("MERGE (:`T` {id: 'n1'") and lines[-1].startswith("MATCH (a {id: 'n39'})")
 
 
+def test_one_file_is_whole_or_not_there(spark, tmp_path):
+    n = spark.range(1, 20_001).selectExpr("id AS ord", "concat('n', id) AS id", "concat('l & <', id, '>') AS label", "'T' AS type", "map('k', string(id)) AS properties", "'' AS description").repartition(7)
+    e = spark.range(20_000).selectExpr("id AS ord", "concat('n', id % 100 + 1) AS source", "concat('n', id + 1) AS target", "'R' AS type", "'' AS label", "map('a', 'b') AS properties", "'' AS evidence").repartition(5)
+    done = export.export_all(n, e, str(tmp_path / "g"), ["json", "graphml", "csv"])
+    assert not any(v.startswith(("failed", "unknown")) for v in done.values()), done
+    whole = json.loads((tmp_path / "g.json").read_text())
+    assert [x["id"] for x in whole["nodes"]] == [f"n{i}" for i in range(1, 20_001)] and len(whole["edges"]) == 20_000 and whole["edges"][5] == {"source": "n6", "target": "n6", "type": "R", "label": "", "properties": {"a": "b"}, "evidence": ""}
+    from xml.etree import ElementTree
+
+    graph = ElementTree.parse(tmp_path / "g.graphml").getroot()[-1]
+    assert len(graph) == 40_000 and graph[0].get("id") == "n1" and graph[20_000].get("id") == "e0"
+    before = (tmp_path / "g.graphml").read_bytes()
+    broken = n.withColumn("label", F.when(F.col("ord") == 777, F.raise_error(F.lit("lost"))).otherwise(F.col("label")))
+    assert export.export_all(broken, e, str(tmp_path / "g"), ["graphml"])["graphml"].startswith("failed")
+    assert export.export_all(broken, e, str(tmp_path / "h"), ["graphml"])["graphml"].startswith("failed")
+    assert (tmp_path / "g.graphml").read_bytes() == before and sorted(p.name for p in tmp_path.iterdir()) == ["g.graphml", "g.json", "g_nodes.csv", "g_relationships.csv"]
+    empty = export.export_all(n.where("false"), e.where("false"), str(tmp_path / "z"), ["json"])
+    assert json.loads((tmp_path / "z.json").read_text()) == {"nodes": [], "edges": []}, empty
+
+
 def test_viewer_has_its_tools(spark):
     from datetime import datetime
 
