@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, jsonrepair, text
+from ..functions import pieces as big
 from ..operators import graph as G
 from ..operators import contracts, metrics, refine, resolve
 from ..operators.materialize import shared_folder
@@ -158,6 +159,12 @@ def chunk_boundary(spark, d):
     return chunking.chunks(docs(spark, d), 1000, 100)
 
 
+@query(_CHUNKS.format(s=1000, o=100) + "SELECT doc_ord, chunk_idx, text FROM c")
+def chunk_pieces(spark, d):
+    """The same from texts in pieces of 1,500 characters."""
+    return big.chunk_pieces(big.pieces(docs(spark, d), length=1500), 1000, 100)
+
+
 @query(_CHUNKS.format(s=6000, o=500) + "SELECT lang, count(*) AS n, CAST(sum(length(c.text)) AS BIGINT) AS chars, max(length(c.text)) AS longest FROM c JOIN documents ON doc_ord = doc_id GROUP BY lang")
 def chunk_stats_by_lang(spark, d):
     cut = chunking.chunks(docs(spark, d))

@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from graphloom.functions import chunking, pieces
 from graphloom.sources import files, splits
 
 
@@ -97,3 +98,52 @@ def test_first_json_lines(small, tmp_path):
     got = splits.first_json(small, [str(tmp_path)]).collect()
     by = lambda n: [json.loads(x["json"]) for x in sorted((x for x in got if x["path"].endswith(n)), key=lambda x: x["pos"])]
     assert by("a.jsonl") == good[:100] == json.loads(files.json_lines(text.encode())) and by("b.jsonl") == [[1]]
+
+
+# ------------------------------------------------------------ texts in pieces
+def _text(r, n):
+    return "".join(r.choice(["a", "b c ", "é", "\n", "\n\n", "word " * r.randrange(12), "\n" * r.randrange(5)]) for _ in range(n))
+
+
+def test_functions_of_pieces_are_those_of_the_rule():
+    r = random.Random(2)
+    for _ in range(400):
+        size = r.randrange(2, 40)
+        overlap, text = r.randrange(size), _text(r, r.randrange(60))
+        starts = [a for a, _ in chunking.spans(text, size, overlap)]
+        n = r.randrange(1, max(2, len(text)))
+        got, ahead = pieces.crossing(text[:n], text[n : n + size], size, overlap) if text[:n] else [], text[n : n + size]
+        if not text[:n]:
+            continue
+        behind = next((a - n for a in starts if a >= n), pieces.OVER)
+        assert got[0] == behind, (text, size, overlap, n)
+
+
+def test_chunks_of_pieces_are_those_of_whole_texts(spark):
+    r = random.Random(8)
+    rows = [(i, _text(r, r.choice([0, 3, 40, 400]))) for i in range(25)] + [(100, None), (101, " \n "), (102, "x" * 3000), (103, "\n" * 300), (104, "y" * 50)]
+    docs = spark.createDataFrame(rows, "doc_ord long, text string").repartition(3)
+    for size, overlap, length in ((50, 10, 50), (50, 49, 75), (30, 0, 1000)):
+        want = {tuple(x) for x in chunking.chunks(docs, size, overlap).collect()}
+        got = [tuple(x) for x in pieces.chunk_pieces(pieces.pieces(docs, length=length), size, overlap).collect()]
+        assert set(got) == want and len(got) == len(want)
+    with pytest.raises(Exception, match="is not the last"):
+        pieces.chunk_pieces(pieces.pieces(docs, length=20), 50, 10).count()
+
+
+def test_pieces_of_files(small, tmp_path):
+    r = random.Random(4)
+    made = {f"{i}.txt": _text(r, 60) + end for i, end in enumerate(["", "\n", "x", "\n\n"])} | {"one.txt": "é" * 400, "crlf.txt": "a\r\nb\r\n" * 30}
+    for name, text in made.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = {}
+    table = pieces.file_pieces(small, [str(tmp_path)], 64)
+    for x in table.collect():
+        got.setdefault(x["path"].rsplit("/", 1)[1], {})[x["piece"]] = x["text"]
+    for name, text in made.items():
+        assert "".join(got[name][i] for i in sorted(got[name])) == text, name
+        assert [len(got[name][i]) for i in sorted(got[name])][:-1] == [64] * (len(got[name]) - 1)
+    chunked = pieces.chunk_pieces(table, 60, 10, "path").collect()
+    for name, text in made.items():
+        own = [x["text"] for x in sorted((x for x in chunked if x["path"].endswith("/" + name)), key=lambda x: x["chunk_idx"])]
+        assert own == chunking.split_chars(text, 60, 10)
