@@ -185,44 +185,125 @@ def records(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, number int, headers map<string,string>, block binary, error string")
 
 
-def _whole(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict[str, str], bytes, str | None]]:
-    """Records of pieces in order; a piece that goes on with a block that holds the separator is joined to it."""
-    file, held, due = None, b"", 0
-    for name, piece in pieces:
-        if held and name == file and len(held) < due:
-            held += SEPARATOR + piece
-        else:
-            if held:
-                yield file, *next(parse(held))
-            held = piece if piece.startswith(b"WARC/") else SEPARATOR[len(END) :] + piece
-            file, due = name, 0
-        if not due:
-            head = held.find(END)
-            size = SIZE.search(held, 0, head + 2) if head >= 0 else None
-            due = head + len(END) + int(size[1]) if size else 0
-    if held:
-        yield file, *next(parse(held))
-
-
-SEPARATOR = END + b"WARC/1."
+SEPARATOR, CUT = END + b"WARC/1.", len(b"WARC/1.")
 SIZE = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
+    """(key, pieces) of each split in a task; the key is all columns but the last, which its rows share."""
+    rows = ((key, piece) for b in batches for part in slices([b]) for *key, piece in zip(*(c.to_pylist() for c in part.columns)))
+    row = next(rows, None)
+    while row:
+        first = row[0]
+
+        def own() -> Iterator[bytes]:
+            nonlocal row
+            while row and row[0] == first:
+                yield row[1]
+                row = next(rows, None)
+
+        yield tuple(first), own()
+
+
+def _starts(pieces: Iterator[bytes], first: bool) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of each piece of a split, from the place of the first; with the start of the record that it may be.
+
+    ``first``: the split begins the file, whose first piece has no separator before it.
+    """
+    at = 0
+    for i, piece in enumerate(pieces):
+        if first and not i:
+            yield 0, piece
+        else:
+            yield at - CUT, SEPARATOR[len(END) :] + piece
+        at += len(piece) + len(SEPARATOR)
+    yield at - CUT, b""  # where the next split's first piece begins
+
+
+def _next(data: bytes, at: int) -> int:
+    """Where the next record begins, if one does with ``data`` at ``at`` and is as long as it says."""
+    head = data.find(END)
+    size = SIZE.search(data, 0, head + 2) if head >= 0 else None
+    return at + head + len(END) + int(size[1]) + len(END) if size else at + 1
+
+
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, headers map, block, error) of all records of WARC 1.x files, plain or compressed.
 
     Files are read by Spark's text source with the end of a record as line separator: large plain files are
-    split over tasks, compressed ones are streamed, and a task holds a record at a time.  A record that is cut off or has no
-    header comes with an ``error``; of a block that holds the separator itself a part that lies in another task's split does too.
+    split over tasks, compressed ones are streamed, and a task holds a record at a time.  Where the separator stands a record may begin or a
+    block may quote one.  A first reading gives each such place and the one that its declared length leads to; following these from the
+    first on tells which are records, a row for each place and file in one task.  Records that lie over splits come in pieces, which are put together.
+    A record that is cut off or has no header comes with an ``error``.  Files without bytes have no row; no file is an error of Spark's.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = ((f, t) for b in batches for part in slices([b]) for f, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t.strip())
-        for file, headers, block, error in _whole(pieces):
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary()), pa.array([error], pa.string())], names=["file", "headers", "block", "error"])
-
-    pieces = spark.read.option("lineSep", SEPARATOR.decode()).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("_b"))
-    return pieces.mapInArrow(run, "file string, headers map<string,string>, block binary, error string")
+    read = spark.read.option("lineSep", SEPARATOR.decode()).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("_b"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, split), own in _pieces(batches):
+            rows = [(at, _next(piece, at) if piece else -1) for at, piece in _starts(own, split == 0) if piece.strip() or not piece]
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array([split] * len(rows), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["file", "split", "at", "to"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(file, split, base, first, open) of each split: where it begins, its first record, and the one before it that may go on."""
+        file, rows = None, []
+        for b in batches:
+            for name, split, at, to in zip(*(c.to_pylist() for c in b.columns)):
+                if name != file:
+                    file, base, due, last = name, 0, 0, None
+                    state = None
+                if state is None:
+                    state = [file, split, base, None, last]
+                if to < 0:  # the end of a split
+                    rows.append(state)
+                    base, state = base + at + CUT, None
+                elif base + at >= due:
+                    last, due = base + at, base + to
+                    state[3] = last if state[3] is None else state[3]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), *[pa.int64()] * 4))], names=["file", "split", "base", "first", "open"])
+                rows = []
+
+    chain = read.mapInArrow(places, "file string, split long, at long, to long").repartition("file").sortWithinPartitions("file", "split", "at", F.col("to").asc())
+    splits = chain.mapInArrow(follow, "file string, split long, base long, first long, open long")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, split, base, first, open_), own in _pieces(batches):
+            held, start, due = b"", open_, None
+            for at, piece in _starts(own, split == 0):
+                at += base
+                if piece and not piece.strip():
+                    continue
+                real = first is not None and at >= first and (due is None or at >= due)
+                if (real or not piece) and held:
+                    whole = due is not None and at >= due
+                    yield _row_of(file, held, start, None if whole else start_at)
+                    held = b""
+                if not piece:
+                    break
+                if real:
+                    held, start, start_at, due = piece, at, at, _next(piece, at)
+                elif held:
+                    held += END + piece
+                else:  # goes on with a record that began before
+                    held, start_at = END + piece, at
+
+    kind = "file string, record long, at long, data binary"
+    pieces = read.join(F.broadcast(splits), ["file", "split"]).select("file", "split", "base", "first", "open", "_b").mapInArrow(cut, kind)
+    over = pieces.where("at IS NOT NULL").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("p")).select("file", F.col("p.data").alias("data"))
+    whole = pieces.where("at IS NULL").select("file", F.array("data").alias("data"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1)):
+                headers, block, error = next(parse(b"".join(data.as_py())), ({}, b"", "no WARC header"))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary()), pa.array([error], pa.string())], names=["file", "headers", "block", "error"])
+
+    return whole.unionByName(over).mapInArrow(records, "file string, headers map<string,string>, block binary, error string")
+
+
+def _row_of(file: str, data: bytes, record: int | None, at: int | None) -> pa.RecordBatch:
+    """A record, or with ``at`` a piece of one."""
+    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([record], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["file", "record", "at", "data"])
 
 
 def derive_all(archive: DataFrame) -> DataFrame:

@@ -143,6 +143,28 @@ def test_archives_are_read_in_splits(spark, tmp_path):
     assert len(made) == 2 * (200 + 200 + 2)
 
 
+@pytest.mark.parametrize("split", [300, 4000, 100_000])
+def test_quoted_records_are_no_records(spark, tmp_path, split):
+    """Blocks that quote whole records, longer than a split: the chain of lengths tells them from records."""
+    quoted = b"HTTP/1.1 200 OK\r\n\r\n" + b"".join(warc.record({"WARC-Type": "response", "WARC-Target-URI": "http://quoted/", "WARC-Record-ID": f"<urn:q{i}>"}, b"HTTP/1.1 200 OK\r\n\r\nforged") for i in range(100))
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\nfirst", quoted, b"HTTP/1.1 200 OK\r\n\r\nlast", quoted[:-4] + b"x" * 5000, b""]
+    data = b"".join(warc.record({"WARC-Type": "response", "WARC-Target-URI": f"http://x/{i}", "WARC-Record-ID": f"<urn:{i}>"}, b) for i, b in enumerate(blocks))
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "cut.warc").write_bytes(data[: len(data) // 2])
+    (tmp_path / "z.warc.gz").write_bytes(gzip.compress(data))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = warc.read_archives(spark, [str(tmp_path)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = lambda name: sorted((dict(r["headers"])["WARC-Target-URI"], bytes(r["block"]), r["error"]) for r in rows if r["file"].endswith(name))
+    want = [(f"http://x/{i}", b, None) for i, b in enumerate(blocks)]
+    assert by("/a.warc") == want == by("/z.warc.gz")
+    half = list(warc.parse(data[: len(data) // 2]))
+    assert by("/cut.warc") == sorted((h["WARC-Target-URI"], b, e) for h, b, e in half) and half[-1][2] == "block cut off"
+
+
 def test_metadata_has_all_source_headers(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(_archive(3)))
     made = [r for r in warc.derive_all(warc.read_archives(spark, [str(tmp_path)])).collect() if r["refers_to"] == "<urn:1>"]
