@@ -58,7 +58,7 @@ def main(args: list[str] | None = None) -> int:
         return fail(e)
     if not config.answers_dir:
         config = replace(config, answers_dir=f"{a.output}_answers")
-    spark = SparkSession.builder.appName("graphloom").getOrCreate()
+    spark = SparkSession.builder.appName("graphloom").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     found, missing = resolve_paths(spark, a.files)
     if a.merge_jsons and missing:
         return fail("no such file: " + ", ".join(missing))
