@@ -16,6 +16,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import chunking, jsonrepair, text
 from ..functions import pieces as big
 from ..operators import graph as G
@@ -32,11 +33,11 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
+        if oracle:
+            _sql[f.__name__] = oracle
         return f
 
     return add
@@ -165,6 +166,13 @@ def chunk_pieces(spark, d):
     return big.chunk_pieces(big.pieces(docs(spark, d), length=1500), 1000, 100)
 
 
+@query(_CHUNKS.format(s=1000, o=100) + "SELECT doc_ord, chunk_idx, text FROM c")
+def chunks_in_sql(spark, d):
+    """The same as a table function of SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT * FROM chunks(TABLE({docs}), 1000, 100)", docs=docs(spark, d).select("doc_ord", "text"))
+
+
 @query(_CHUNKS.format(s=6000, o=500) + "SELECT lang, count(*) AS n, CAST(sum(length(c.text)) AS BIGINT) AS chars, max(length(c.text)) AS longest FROM c JOIN documents ON doc_ord = doc_id GROUP BY lang")
 def chunk_stats_by_lang(spark, d):
     cut = chunking.chunks(docs(spark, d))

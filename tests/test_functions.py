@@ -124,3 +124,19 @@ def test_strip_takes_white_space_of_all_scripts(spark):
     n, e = resolve.merge(nodes, edges, 101)
     assert [(r["label"], r["type"]) for r in n.orderBy("ord").collect()] == [("Acme", "Org"), ("Bob", "Nodo")]
     assert [r["type"] for r in resolve.prune(n, e).collect()] == ["owns"]
+
+
+def test_functions_in_sql(spark):
+    from graphloom import sql
+
+    sql.register(spark)
+    rows = [(1, "a\n" * 40, "x"), (2, None, "y"), (3, " ", "z"), (4, "b" * 70, None)]
+    spark.createDataFrame(rows, "doc_ord long, text string, lang string").createOrReplaceTempView("sql_docs")
+    got = sorted(tuple(r) for r in spark.sql("SELECT doc_ord, lang, chunk_idx, text FROM chunks(TABLE(sql_docs), 30, 5)").collect())
+    assert got == sorted((n, lang, i, c) for n, t, lang in rows if t for i, c in enumerate(chunking.split_chars(t, 30, 5))) and got
+    assert spark.sql("SELECT count(*) FROM chunks(TABLE(SELECT 'q' AS text))").first()[0] == 1
+    one = spark.sql("SELECT normalize_label(' \u00c9t\u00e9! '), fuzzy_ratio('abc', 'abd'), repair_json('{a: 1,}').json").first()
+    assert tuple(one) == ("ete", 66, '{"a": 1}')
+    for bad in ("SELECT * FROM chunks(TABLE(SELECT 1 AS x))", "SELECT * FROM chunks(TABLE(sql_docs), 5, 5)"):
+        with pytest.raises(Exception, match="chunks needs|overlap"):
+            spark.sql(bad).collect()
