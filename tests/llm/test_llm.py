@@ -479,4 +479,4 @@ def test_pipeline_stages(spark, docs, library):
 
 
 def test_queries_are_named_for_their_operators():
-    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 14))
