@@ -4,15 +4,27 @@ Two sets of similarity t or more share one of the first n - ceil(t * n) + 1 elem
 least, if both are sorted by one order.  Any order will do.  Here elements of many texts come last: every
 text gives a fifth of its elements, drawn by its own hash, to a count over all texts, and
 those counted often enough go to all tasks, the commonest first if they are more than a bound.  So common lines seldom
-are among the first elements, and the number of texts that share one does not grow with the corpus.  Pairs that
+are among the first elements.  Pairs that
 lie in one candidate group already are left out: the exact check of the group has
 decided them.  Of the others, those stay whose sizes and number of shared first elements
 allow the similarity, and these are compared in full.
+
+A bucket whose texts would have more than PARTNERS partners each on the average is not paired at all.
+Its texts go on to a second join, over whole sets (``_shared_most``).  Elements that the same texts have are one
+atom there, whose weight is their number, so a shared passage is an atom and not hundreds of elements.  A pair is known
+by the sequence of the atoms that it shares, in one order for all.  A text lists what may come next in
+that sequence: all it passes over is not shared, and may weigh no more than the similarity allows.  Buckets by the first
+shared atom are paired if they are small; the rows of the others, and only theirs, move on to buckets by the first two, and so on.
+A sequence may end where all that follows may be passed over.  Texts that end alike share the same weight, so if two of them are similar, both are similar to
+the shortest: a star is enough.  No pair is lost, and no bucket gives the square of its rows.
+
+Null and empty texts are one text of one empty shingle.  Repeated rows do no harm.  Without texts there are no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +38,13 @@ from .words import only, release, slices, with_bytes
 
 #: Of a text's shingles one in so many is counted; counts from which on a shingle is frequent; most frequent shingles sent to tasks (16 bytes each).
 DRAWN, FREQUENT, MOST = 5, 4, 1 << 20
+#: Partners a row of a bucket may have on the average; rows of one bucket that a task holds (48 bytes each).
+PARTNERS, HELD = 8, 1 << 20
+#: Shared atoms by which crowded buckets are told apart.
+ROUNDS = 4
+#: What stands for the end of a sequence of shared atoms.
+END = np.uint64(0x9E3779B97F4A7C15)
+
 
 def prefix(items: np.ndarray, percent: int, often: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The first elements of a sorted set; ``often`` (sorted) are the frequent ones, ``times`` how frequent."""
@@ -57,37 +76,165 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, pick: Callable
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _h string, _n long, _p array<long>")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb) for every two texts of different groups in a bucket whose sizes allow the similarity."""
-    got = [[np.asarray(c) for c in b.columns] for b in batches]
-    if not got:
-        return
-    key, group, text, n = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((text, n, key))
-    key, group, text, n = key[order], group[order], text[order], n[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])]
-    key, group, text, n = key[new], group[new], text[new], n[new]
-    at, far = np.arange(len(key)), 1
+PAIRS = "a long, b long, na long, nb long, left long"
+
+
+def _batch(a: np.ndarray, b: np.ndarray | None, *others: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = [pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), *map(pa.array, others)]
+    whole = pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "left"])
+    for k in range(0, len(a), 10_000):
+        yield whole.slice(k, 10_000)
+
+
+def _crowded(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(text, null, key, place, left) of rows that are not paired."""
+    more = rows[4:6] if len(rows) > 4 else np.zeros((2, rows.shape[1]), np.int64)
+    return _batch(rows[2], None, rows[0], *more)
+
+
+def _ends(first: np.ndarray) -> np.ndarray:
+    """For each row the end of its run; ``first`` marks the first rows of runs."""
+    return np.r_[np.flatnonzero(first)[1:], len(first)][np.cumsum(first) - 1]
+
+
+def _buckets(rows: np.ndarray, percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole buckets, and the rows of crowded ones."""
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    rows = rows[:, np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[2, 1:] != rows[2, :-1])]]
+    key, group, text, n = rows[:4]
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    bucket, beyond = np.cumsum(fresh) - 1, _ends(fresh | np.r_[True, group[1:] != group[:-1]])
+    partners = _ends(fresh) - beyond
+    # rows that would go on as more rows than they have pairs are paired
+    cost = np.maximum(most, rows[6]) if len(rows) > 4 else np.full(len(key), most)
+    crowded = (np.bincount(bucket, partners) > np.bincount(bucket, cost))[bucket]
+    if crowded.any():
+        yield from _crowded(rows[:, crowded])
+    at = np.flatnonzero(~crowded & (partners > 0))
+    upto = np.cumsum(partners[at])
     while len(at):
-        at = at[at + far < len(key)]
-        # sizes ascend within a bucket, so a row that is through with its bucket stays so
-        at = at[(key[at] == key[at + far]) & (100 * n[at] >= percent * n[at + far])]
-        i = at[group[at] != group[at + far]]
-        j = i + far
+        # about a million pairs at a time, one row's partners at least
+        take = max(1, int(np.searchsorted(upto, upto[0] - partners[at[0]] + (1 << 20))))
+        many = partners[at[:take]]
+        i = np.repeat(at[:take], many)
+        j = beyond[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        if len(rows) > 4:  # what either passed over is in the union only
+            shared = (n * percent + 99) // 100 + rows[5]
+            fits &= (shared[i] + shared[j]) * (100 + percent) >= 2 * percent * (n[i] + n[j])
+        i, j = i[fits], j[fits]
         flip = text[i] > text[j]
         i, j = np.where(flip, j, i), np.where(flip, i, j)
-        for k in range(0, len(i), 10_000):
-            p, q = i[k : k + 10_000], j[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (text[p], text[q], n[p], n[q])], names=["a", "b", "na", "nb"])
-        far += 1
-    del got, key, group, text, n, order, new, at
+        yield from _batch(text[i], text[j], n[i], n[j], np.zeros(len(i), np.int64))
+        at, upto = at[take:], upto[take:]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, group, text, n[, place, left, ways]) that ascend by key: (a, b, na, nb, 0) for every two texts of different groups in a bucket
+    whose sizes allow the similarity, and (text, null, key, place, left) for the rows of crowded buckets.
+    """
+    rest, through = None, None
+    for b in batches:
+        rows = np.stack([np.asarray(c) for c in b.columns])
+        if through is not None:
+            cut = int(np.searchsorted(rows[0], through, side="right"))
+            if cut:
+                yield from _crowded(rows[:, :cut])
+            rows = rows[:, cut:]
+        if not rows.shape[1]:
+            continue
+        through = None
+        rest = rows if rest is None else np.concatenate([rest, rows], axis=1)
+        cut = int(np.searchsorted(rest[0], rest[0, -1]))
+        if cut:
+            yield from _buckets(rest[:, :cut], percent, most)
+            rest = rest[:, cut:].copy()
+        if rest.shape[1] > HELD:
+            yield from _crowded(rest)
+            rest, through = None, rest[0, -1]
+    if rest is not None:
+        yield from _buckets(rest, percent, most)
+    del rest
     release()
 
 
-def similar_texts(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80) -> DataFrame:
-    """(u, v): the MD5s of every two texts of different groups of similarity ``percent`` / 100 and more.
+def _next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What may follow each row (key, group, text, n, place, left, atoms, weights): rows (key, group, text, n, place, left, ways, end);
+    ``ways``: by how many rows each would be followed."""
+    names = ["_key", "_group", "_text", "_n", "_at", "_left", "_ways", "_end"]
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            b = whole.slice(start, 500)
+            atoms, weights, ends = (np.asarray(x) for x in (b.column(6).values, b.column(7).values, b.column(6).offsets))
+            key, place, left = (np.asarray(b.column(i)) for i in (0, 4, 5))
+            row, keys, places, lefts, ways, last = [], [], [], [], [], []
+            for i in range(b.num_rows):
+                x, w = (v[ends[i] + place[i] + 1 : ends[i + 1]] for v in (atoms, weights))
+                passed = np.r_[0, np.cumsum(w)]
+                many = int(np.searchsorted(passed, left[i], side="right"))
+                follow = np.r_[x.view(np.uint64), END][:many]
+                row.append(np.full(many, i))
+                keys.append(mix(mix(key[i : i + 1].view(np.uint64)) + mix(follow)).view(np.int64))
+                places.append(place[i] + 1 + np.arange(many))
+                lefts.append(left[i] - passed[:many])
+                upto = np.searchsorted(passed, lefts[-1] + np.r_[passed[1:], passed[-1]][:many], side="right")
+                ways.append(np.maximum(upto - np.arange(many) - 1, 0))
+                last.append(np.arange(many) == len(x))
+            if not row:
+                continue
+            take = pa.array(np.concatenate(row), pa.int64())
+            made = [pa.array(np.concatenate(c)) for c in (keys, places, lefts, ways, last)]
+            yield pa.RecordBatch.from_arrays([made[0], *(b.column(i).take(take) for i in (1, 2, 3)), *made[1:]], names=names)
+
+
+def _alike_ends(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, 0): a bucket's shortest text with each other, of rows (key, group, text, n) that ascend by key and n."""
+    now = None
+    for b in batches:
+        key, group, text, n = (np.asarray(c) for c in b.columns)
+        fresh = np.r_[now is None or key[0] != now[0], key[1:] != key[:-1]]
+        least = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+        g, t, m = (np.where(least < 0, 0 if now is None else now[c], v[least]) for c, v in ((1, group), (2, text), (3, n)))
+        now = (key[-1], g[-1], t[-1], m[-1])
+        fits = (g != group) & (t != text) & (100 * m >= percent * n)
+        yield from _batch(*(np.where(text < t, x, y)[fits] for x, y in ((text, t), (t, text), (n, m), (m, n))), np.zeros(int(fits.sum()), np.int64))
+
+
+def _shared_most(sets: DataFrame, percent: int, partners: int) -> DataFrame:
+    """(a, b): a superset of the similar texts of different groups, or links that join the same texts.
+
+    ``sets``: (``_text``, ``_group``, ``_n``, ``_s``), a row per text.
+    """
+    each = kept(sets.select("_text", F.explode("_s").alias("_e")))
+    texts = each.groupBy("_e").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64("_text")).alias("_x")).where("_c > 1")
+    atom = F.struct("_c", "_x")
+    weighed = each.join(texts, "_e").groupBy("_text", atom.alias("_a")).agg(F.count("*").alias("_w"))
+    listed = weighed.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("_a", "_w"))).alias("_l"), F.sum("_w").alias("_sum"))
+    unlike = F.col("_n") - F.floor((F.col("_n") * percent + 99) / 100)
+    lists = listed.select("_text", F.transform("_l", lambda x: F.xxhash64(x["_a"])).alias("_atoms"), F.transform("_l", lambda x: x["_w"]).alias("_w"), "_sum")
+    lists = kept(sets.select("_text", "_group", "_n").join(lists, "_text").withColumn("_left", unlike - F.col("_n") + F.col("_sum")).where("_left >= 0").drop("_sum"))
+    columns = ["_key", "_group", "_text", "_n", "_at", "_left", "_atoms", "_w"]
+    rows, found = lists.withColumns({"_key": F.lit(0).cast("long"), "_at": F.lit(-1).cast("long")}).select(columns), None
+    for depth in count():
+        most = partners if depth < ROUNDS else 1 << 40  # after that only buckets that no task can hold go on
+        made = kept(rows.mapInArrow(_next, "_key long, _group long, _text long, _n long, _at long, _left long, _ways long, _end boolean"))
+        ended = made.where("_end").select("_key", "_group", "_text", "_n").repartition("_key").sortWithinPartitions("_key", "_n")
+        going = made.where("not _end").drop("_end").repartition("_key").sortWithinPartitions("_key")
+        new = kept(ended.mapInArrow(lambda it: _alike_ends(it, percent), PAIRS).unionByName(going.mapInArrow(lambda it, most=most: _pairs(it, percent, most), PAIRS)).distinct())
+        pairs = new.where("b is not null").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        crowded = new.where("b is null").select(F.col("a").alias("_text"), F.col("na").alias("_key"), F.col("nb").alias("_at"), "left")
+        if crowded.isEmpty():
+            return found.distinct()
+        rows = crowded.join(lists.drop("_left"), "_text").withColumnRenamed("left", "_left").select(columns)
+
+
+def similar_texts(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80, partners: int = PARTNERS) -> DataFrame:
+    """(u, v): MD5s of texts of different groups of similarity ``percent`` / 100 and more.
 
-    ``placed``: (``_h``, ``_rep``, ``_group`` long), a row per different text; ``_rep`` is the id of a row that has it.
+    With the links inside groups they join all texts of that similarity; where many texts share the same
+    elements some of the pairs stand for the others.  ``placed``: (``_h``, ``_rep``, ``_group`` long), a row per
+    different text; ``_rep`` is the id of a row that has it.  Buckets with more than ``partners`` for each row are not paired.
     """
     some = _sets(docs, id_col, text_col, size, lambda: drawn).select(F.explode("_p").alias("_s"))
     counts = kept(some.groupBy("_s").agg(F.count("*").alias("_c")).where(F.col("_c") >= FREQUENT)).orderBy(F.desc("_c"), "_s").limit(MOST).toArrow()
@@ -98,14 +245,27 @@ def similar_texts(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str
     listed = placed.select(F.col("_h").alias("_want"), "_rep", "_group")
     # no sort of the lists: the hash table holds the short rows
     mine = firsts.join(listed.hint("shuffle_hash"), (F.col("_h") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_rep")))
-    dealt = mine.select(F.explode("_p").alias("_key"), "_group", F.xxhash64("_h").alias("_text"), "_n").repartition("_key")
-    found = dealt.mapInArrow(lambda it: _pairs(it, percent), "a long, b long, na long, nb long")
+    dealt = mine.select(F.explode("_p").alias("_key"), "_group", F.xxhash64("_h").alias("_text"), "_n").repartition("_key").sortWithinPartitions("_key")
+    found = dealt.mapInArrow(lambda it: _pairs(it, percent, partners), PAIRS)
+    counted = kept(found.groupBy("a", "b").agg(F.count("*").alias("_c"), *(F.min(F.when(F.col("b").isNotNull(), F.col(c))).alias(c) for c in ("na", "nb"))))
     # beyond the first elements of the one that ends earlier, all its others may be shared
     rest = F.greatest(*(F.floor((F.col(c) * percent + 99) / 100) - 1 for c in ("na", "nb")))
-    enough = found.groupBy("a", "b").agg(F.count("*").alias("_c"), F.min("na").alias("na"), F.min("nb").alias("nb")).where((F.col("_c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = kept(enough.select("a", "b"))
+    enough = (F.col("_c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    named = placed.select(F.xxhash64("_h").alias("_text"), "_h", "_rep", "_group")
+    crowded = kept(named.join(counted.where("b is null").select(F.col("a").alias("_text")), "_text"))
+    pairs = counted.where(F.col("b").isNotNull() & enough).select("a", "b")
+    if not crowded.isEmpty():
+        listed = crowded.select(F.col("_text").alias("_group"), "_h", "_rep")
+        sets = shingle_sets(docs, listed, id_col, text_col, size).select(F.col("_group").alias("_text"), "_n", "_s").dropDuplicates(["_text"])
+        # pairs of two such texts are all found there, whatever was counted here
+        also = crowded.select("_text").distinct()
+        for end in ("a", "b"):
+            pairs = pairs.join(also.select(F.col("_text").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        pairs = pairs.where("_a is null or _b is null").select("a", "b")
+        pairs = pairs.unionByName(_shared_most(kept(sets.join(crowded.select("_text", "_group"), "_text").select("_text", "_group", "_n", "_s")), percent, partners))
+    pairs = kept(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("_text")).unionByName(pairs.select(F.col("b").alias("_text"))).distinct()
-    texts = placed.select(F.xxhash64("_h").alias("_text"), "_h", "_rep").join(wanted, "_text").select(F.col("_text").alias("_group"), "_h", "_rep")
+    texts = named.join(wanted, "_text").select(F.col("_text").alias("_group"), "_h", "_rep")
     sets = kept(shingle_sets(docs, kept(texts), id_col, text_col, size))
     one, two = (sets.select(F.col("_group").alias(t), F.col("_h").alias(h), F.col("_n").alias(f"_n{t}"), F.col("_s").alias(f"_s{t}")) for t, h in (("a", "u"), ("b", "v")))
     alike = F.size(F.array_intersect("_sa", "_sb")) * (100 + percent) >= (F.col("_na") + F.col("_nb")) * percent

@@ -1,0 +1,95 @@
+"""The lossless join against brute force, with buckets that are too crowded to be paired."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import confirm, lossless
+
+
+def _classes(n, links):
+    comp = list(range(n))
+    find = lambda i: i if comp[i] == i else find(comp[i])
+    for i, j in links:
+        comp[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+def _pool(r, n, passages, each, words=25):
+    pool = [[f"w{r.randrange(400)}" for _ in range(words)] for _ in range(passages)]
+    return [sum((pool[k] for k in r.sample(range(passages), each)), []) for _ in range(n)]
+
+
+def _run(spark, texts, group, partners):
+    rows = [(i, t, group[i]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:5]], "doc_id long, text string").repartition(3)
+    placed = spark.createDataFrame(rows, "_rep long, t string, _group long").select(F.md5(F.coalesce(F.col("t"), F.lit("")).cast("binary")).alias("_h"), "_rep", "_group")
+    of = {x["_h"]: x["_rep"] for x in placed.collect()}
+    return [(of[x["u"]], of[x["v"]]) for x in lossless.similar_texts(table, placed, "doc_id", "text", partners=partners).collect()]
+
+
+@pytest.mark.parametrize("partners", [0, 1, lossless.PARTNERS])
+def test_similar_texts_link_as_by_brute_force(spark, partners):
+    r = random.Random(partners + 1)
+    made = _pool(r, 120, 9, 5)
+    made += [w[:n] + w[n + k :] for w in made[:40] for n, k in [(r.randrange(60), r.randrange(1, 30))]]  # cut out
+    made += [w + [f"x{r.randrange(10**6)}" for _ in range(r.randrange(1, 25))] for w in made[:40]]  # added to
+    texts = list(dict.fromkeys([*(" ".join(w) for w in made), "one", "One two", "one two", " ", "  "])) + [None]
+    sets = [set(confirm.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert len(alike) > 50
+    # texts of one group have been decided: those links are given
+    group = [i % 7 if i % 3 else 1000 + i for i in range(len(texts))]
+    given = [(i, j) for i, j in alike if group[i] == group[j]]
+    got = _run(spark, texts, group, partners)
+    assert all(tuple(sorted(p)) in set(alike) for p in got) and all(group[i] != group[j] for i, j in got)
+    want = _classes(len(texts), alike)
+    assert _classes(len(texts), got + given) == want
+    assert 1 < len(set(want)) < len(texts)
+
+
+def test_crowded_buckets_do_not_pair_their_rows(spark, monkeypatch):
+    """Few shared passages, hardly a similar pair: candidates grow with the texts and not with their square."""
+    real, seen = lossless.kept, []
+
+    def kept(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(lossless, "kept", kept)
+    for n in (300, 1200):
+        texts = list(dict.fromkeys(" ".join(w) for w in _pool(random.Random(n), n, 40, 6)))
+        _run(spark, texts, list(range(len(texts))), 1)
+        assert seen[-1] < 4 * n
+    assert seen[1] < 12 * seen[0]
+
+
+def test_no_texts(spark):
+    table = spark.createDataFrame([], "doc_id long, text string")
+    placed = spark.createDataFrame([], "_h string, _rep long, _group long")
+    assert lossless.similar_texts(table, placed, "doc_id", "text").count() == 0
+
+
+def test_streams_of_buckets_are_cut_anywhere():
+    """Batches end within buckets, and a bucket over the bound of a task is passed on row by row."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    key = np.sort(r.integers(0, 40, 2000))
+    rows = np.stack([key, r.integers(0, 5, 2000), r.integers(0, 300, 2000), r.integers(90, 130, 2000)])
+    batches = lambda step: (pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, k : k + step]], names=list("kgtn")) for k in range(0, 2000, step))
+    whole = {tuple(x.values()) for b in lossless._pairs(batches(2000), 80, 10**6) for x in b.to_pylist()}
+    assert {tuple(x.values()) for b in lossless._pairs(batches(7), 80, 10**6) for x in b.to_pylist()} == whole
+    rare = {(x["a"], x["na"]) for b in lossless._pairs(batches(7), 80, 0) for x in b.to_pylist() if x["b"] is None}
+    assert rare == {(t, k) for k, _, t, _ in rows.T.tolist()}
+    held, lossless.HELD = lossless.HELD, 20
+    try:
+        got = {(x["a"], x["na"]) for b in lossless._pairs(batches(7), 80, 10**6) for x in b.to_pylist() if x["b"] is None}
+    finally:
+        lossless.HELD = held
+    assert got == rare
