@@ -33,7 +33,7 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = ".,;:!?()[]{}\"|*#"
-#: Rows of a table that is sent to all tasks; larger ones are joined by a shuffle.
+#: Rows and elements of their arrays or maps of a table that is sent to all tasks; larger ones are joined by a shuffle.
 SENT = 100_000
 STEP = 256
 
@@ -120,9 +120,10 @@ def base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     return rows.select("id", F.sha2("text", 256).alias("key"), F.size(terms(F.col("text"))).cast("long").alias("words"), F.concat(*spans).alias("spans"), F.concat(*seen).alias("seen"))
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """``df`` for all tasks if it is small."""
-    return F.broadcast(df) if df.count() <= SENT else df
+def sent(df: DataFrame, *lists: str) -> DataFrame:
+    """``df`` for all tasks if it is small; the elements of ``lists`` count as rows do."""
+    n = df.agg(F.coalesce(F.sum(sum((F.size(c) for c in lists), F.lit(1))), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= SENT else df
 
 
 def revealing(docs: DataFrame, found: DataFrame, text_col: str = "text", model: Disclosure = Disclosure()) -> DataFrame:
@@ -135,7 +136,8 @@ def revealing(docs: DataFrame, found: DataFrame, text_col: str = "text", model:
     pairs = F.when(n > 0, F.zip_with(F.slice("beside", F.lit(1), n), F.slice("beside", F.lit(2), n), lambda a, b: F.md5(F.concat_ws(" ", a, b))))
     sketch = lambda pick: F.coalesce(pick(pairs), F.lit(""))
     near = kept(near.select("entity", "beside", sketch(F.array_min).alias("least"), sketch(F.array_max).alias("greatest")))
-    bits = near.groupBy("entity").agg(F.sum(F.size("beside")).alias("w")).crossJoin(F.broadcast(found.agg(F.sum("words").alias("all"))))  # one row
+    # an entity that stands alone in its text has no words beside it, and no term
+    bits = near.groupBy("entity").agg(F.sum(F.size("beside")).alias("w")).where("w > 0").crossJoin(F.broadcast(found.agg(F.sum("words").alias("all"))))  # one row
     bits = bits.select("entity", F.greatest(F.log2(F.col("all") / F.col("w")), F.lit(0.0)).alias("bits"))
     met = near.select("entity", "least", "greatest", F.explode("beside").alias("term")).where(F.col("term").rlike("^[^0-9@]{3,}$"))
     met = met.groupBy("entity", "term").agg(F.count("*").alias("m"), F.least(F.countDistinct("least"), F.countDistinct("greatest")).alias("evidence"))
@@ -157,7 +159,7 @@ def term_spans(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
     held = texts.select("key", F.explode(F.array_distinct(F.split(normal(F.col("text")), SPACE))).alias("term"))
     held = kept(held.join(sent(labels), "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "label"))).alias("labels")))
     words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
-    rows = texts.join(sent(held), "key").withColumn("w", words)
+    rows = texts.join(sent(held, "labels"), "key").withColumn("w", words)
     ends = running(F.zip_with("w", F.slice(gaps, F.lit(1), F.size("w")), lambda m, g: (F.length(m) + F.length(g)).cast("long")))
     rows = rows.select("key", "labels", F.filter(F.arrays_zip(F.col("w").alias("w"), ends.alias("end")), lambda x: F.array_contains(F.map_keys("labels"), normal(x["w"]))).alias("hits"))
     # a word's span is without the punctuation at its ends
@@ -185,7 +187,7 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         return rows.withColumn("spans", labelled)
     more = kept(term_spans(docs, general, text_col))
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint, label: string>>")
-    return rows.join(sent(more), "key", "left").select("id", "key", "base", F.concat(labelled, F.coalesce("more", none)).alias("spans"))
+    return rows.join(sent(more, "more"), "key", "left").select("id", "key", "base", F.concat(labelled, F.coalesce("more", none)).alias("spans"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Disclosure = Disclosure()) -> DataFrame:

@@ -81,6 +81,17 @@ def test_disclosing_terms(spark, letters):
         private.personal_data(letters.withColumnRenamed("doc_id", "spans"), "spans")
 
 
+def test_entities_without_words_beside_them(spark, letters, monkeypatch):
+    """Texts that are an entity alone, beside terms that disclose another; also where nothing is small enough to be sent."""
+    alone = spark.createDataFrame([(1000, "alone@x.org", "x"), (1001, "!! 10.1.2.3 ,,", "x"), (1002, "+49 30 1234567", "x")], letters.schema)
+    docs = letters.unionByName(alone)
+    got = private.personal_data(docs)
+    same_as_sql(got, oracles.personal(), {"documents": docs})
+    assert got.where("n_term > 0").count() == 10
+    monkeypatch.setattr(private, "SENT", 0)
+    same_as_sql(private.personal_data(docs), oracles.personal(), {"documents": docs})
+
+
 def test_sanitised(spark, letters):
     taxonomy = spark.createDataFrame([("zephyrine", "a person"), ("wrote", "zephyrine")], "term string, general string")
     out = private.sanitised(letters, taxonomy=taxonomy)
