@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,46 +58,105 @@ def deletions(n: int, m: int, threshold: int) -> tuple[int, int] | None:
     return (less, more) if max(math.comb(n, less), math.comb(m, more)) <= VARIANTS else None
 
 
-def _variants(s: str, leave: int) -> set[str]:
-    """``s`` without any ``leave`` of its characters."""
-    return {"".join(x) for x in combinations(s, len(s) - leave)}
+#: An odd multiplier of hashes of strings, and its inverse modulo 2**64.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+#: Keys that are made at once.
+AT_ONCE = 1 << 20
 
 
-def _keys(s: str, threshold: int, longer: bool) -> set[str]:
-    """Block keys of a label as the shorter or the longer of a pair."""
-    m, found, by_segments = len(s), set(), set()
-    made: dict[int, set[str]] = {}
+def _powers(x: int, n: int) -> np.ndarray:
+    """``x`` to the powers from 0 to ``n``, modulo 2**64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)], dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _sums(labels: list[str], m: int) -> np.ndarray:
+    """Of labels of ``m`` characters, the hash of the first 0, 1, ... m: sums of characters times powers of STEP."""
+    chars = np.frombuffer("".join(labels).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(labels), m)
+    out = np.zeros((len(labels), m + 1), np.uint64)
+    np.cumsum(_mixed(chars.astype(np.uint64) + np.uint64(1)) * _powers(STEP, m)[:m], axis=1, dtype=np.uint64, out=out[:, 1:])
+    return out
+
+
+def _variants(sums: np.ndarray, leave: int) -> np.ndarray:
+    """Hashes of each label without any ``leave`` of its characters, (labels, ways)."""
+    m = sums.shape[1] - 1
+    gone = np.array(list(combinations(range(m), leave)), np.int64).reshape(math.comb(m, leave), leave)
+    begin, out = np.zeros(len(gone), np.int64), np.zeros((len(sums), len(gone)), np.uint64)
+    for j, back in enumerate(_powers(BACK, leave)):
+        end = gone[:, j] if j < leave else np.full(len(gone), m)
+        # what lies behind j characters that were left out moves j places to the front
+        out += (sums[:, end] - sums[:, begin]) * back
+        begin = end + 1
+    return out
+
+
+def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """What blocks labels of ``m`` characters as the shorter or the longer of a pair.
+
+    (n, m, characters left out) of pairs of lengths, and (n, number, length, start) of pieces.
+    """
+    by_variants, by_pieces = [], []
     if not longer:
         pairs = [(m, x) for x in range(m, partner_lengths(m, threshold)[0] + 1)] if m else []
     else:
         pairs = [(x, m) for x in range(max(1, math.ceil(m * threshold / (200 - threshold))), m + 1)]
+    by_segments = set()
     for pair in pairs:
         leave = deletions(*pair, threshold)
         if leave is None:
             by_segments.add(pair[0])
-            continue
-        k = leave[longer]
-        if k not in made:
-            made[k] = _variants(s, k)
-        found.update(f"{pair[0]}-{pair[1]}:{v}" for v in made[k])
-    for n in by_segments:
+        else:
+            by_variants.append((*pair, leave[longer]))
+    for n in sorted(by_segments):
+        shift = partner_lengths(n, threshold)[1] if longer else 0
         for j, (a, k) in enumerate(segments(n, threshold)):
-            shift = partner_lengths(n, threshold)[1] if longer else 0
-            found.update(f"{n}:{j}:{s[p : p + k]}" for p in range(max(0, a - shift), min(m - k, a + shift) + 1))
-    return found
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, probe: bool) -> Iterator[pa.RecordBatch]:
+            by_pieces += [(n, j, k, p) for p in range(max(0, a - shift), min(m - k, a + shift) + 1)]
+    return by_variants, by_pieces
+
+
+def _hashes(labels: list[str], m: int, threshold: int, longer: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``labels``, block keys): equal keys for equal blocks.  Blocks that share a key by chance only add candidates."""
+    by_variants, by_pieces = _keys(m, threshold, longer)
+    ways = max([math.comb(m, k) for *_, k in by_variants] + [min(len(by_pieces), AT_ONCE), 1])
+    rows = max(1, AT_ONCE // max(ways, m + 1))
+    for at in range(0, len(labels), rows):
+        sums = _sums(labels[at : at + rows], m)
+        made: dict[int, np.ndarray] = {}
+        for n, o, k in by_variants:
+            if k not in made:
+                made[k] = np.sort(_variants(sums, k), axis=1)
+            found = made[k]
+            fresh = np.ones(found.shape, bool)
+            fresh[:, 1:] = found[:, 1:] != found[:, :-1]
+            row, col = np.nonzero(fresh)
+            yield at + row, _mixed(found[row, col] + _mixed(np.uint64([n << 32 | o]))[0])
+        back = _powers(BACK, m)
+        for i in range(0, len(by_pieces), AT_ONCE // rows):
+            n, j, k, p = np.array(by_pieces[i : i + AT_ONCE // rows], np.int64).T
+            found = (sums[:, p + k] - sums[:, p]) * back[p]
+            # the upper bit tells pieces from variants
+            keys = _mixed(found + _mixed((n << 32 | j).astype(np.uint64) | np.uint64(1 << 63)))
+            yield at + np.repeat(np.arange(len(sums)), len(p)), keys.ravel()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, longer: bool) -> Iterator[pa.RecordBatch]:
+    """(id, block) of (id, scope as a number, label)."""
     for b in batches:
-        labels = b.column(1).to_pylist()
-        for at in range(0, len(labels), 1000):
-            part, row, key = b.slice(at, 1000), [], []
-            for i, s in enumerate(labels[at : at + 1000]):
-                found = _keys(s, threshold, probe)
-                row += [i] * len(found)
-                key += found
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(key, pa.string())], names=["scope", "norm", "ord", "block"])
+        ids, scope = (b.column(i).to_numpy() for i in (0, 1))
+        labels = b.column(2).to_pylist()
+        lengths = np.fromiter(map(len, labels), np.int64, len(labels))
+        order = np.argsort(lengths, kind="stable")
+        for who in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
+            for row, key in _hashes([labels[i] for i in who.tolist()], int(lengths[who[0]]), threshold, longer):
+                at = who[row]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array((key ^ scope[at].view(np.uint64)).view(np.int64))], names=["id", "block"])
 
 
 def similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
@@ -105,15 +165,17 @@ def similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
     Blocks are lossless.  Short partners become equal if a few characters are left out of
     each, so an equi-join on what is left finds these pairs and no others.  Of long labels,
     few edits leave one segment whole, at most that many characters away, so an equi-join on
-    segments finds every pair.
+    segments finds every pair.  Blocks are joined as numbers, of label numbers alone.
     """
-    kind = ", ".join(f"{c} {labels.schema[c].dataType.simpleString()}" for c in ("scope", "norm", "ord"))
-    base = labels.select("scope", "norm", "ord")
-    index = base.mapInArrow(lambda it: _blocks(it, threshold, False), f"{kind}, block string")
-    probes = base.mapInArrow(lambda it: _blocks(it, threshold, True), f"{kind}, block string").withColumnsRenamed({"norm": "other", "ord": "other_ord"})
-    pairs = index.join(probes, ["scope", "block"]).where("norm <> other").select("scope", "norm", "ord", "other", "other_ord").distinct()
+    base = materialize(labels.select("scope", "norm", "ord").withColumn("_id", F.monotonically_increasing_id()))
+    rows = base.select("_id", F.xxhash64("scope").alias("_s"), "norm")
+    index = rows.mapInArrow(lambda it: _blocks(it, threshold, False), "id long, block long")
+    probes = rows.mapInArrow(lambda it: _blocks(it, threshold, True), "id long, block long").withColumnRenamed("id", "other")
+    pairs = index.join(probes, "block").where("id <> other").select(F.least("id", "other").alias("_id"), F.greatest("id", "other").alias("_other")).distinct()
+    ends = base.withColumnsRenamed({"scope": "_scope", "norm": "other", "ord": "other_ord", "_id": "_other"})
+    pairs = pairs.join(base, "_id").join(ends, "_other").where("scope = _scope")
     flip = F.col("ord") > F.col("other_ord")
-    pairs = pairs.select("scope", F.when(flip, F.col("other")).otherwise(F.col("norm")).alias("norm"), F.least("ord", "other_ord").alias("ord"), F.when(flip, F.col("norm")).otherwise(F.col("other")).alias("other"), F.greatest("ord", "other_ord").alias("other_ord")).distinct()
+    pairs = pairs.select("scope", F.when(flip, F.col("other")).otherwise(F.col("norm")).alias("norm"), F.least("ord", "other_ord").alias("ord"), F.when(flip, F.col("norm")).otherwise(F.col("other")).alias("other"), F.greatest("ord", "other_ord").alias("other_ord"))
     return pairs.where(fuzzy_ratio("norm", "other") >= threshold)
 
 

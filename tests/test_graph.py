@@ -79,6 +79,33 @@ def test_fuzzy_merge_takes_words_of_all_lengths(spark, tmp_path):
     assert sorted(x["rep"] for x in got) == sorted(heads) and any(len(k) < 12 and rep[k] != k for k in rep)
 
 
+def test_fuzzy_merge_combines_equal_words_first(spark, tmp_path, monkeypatch):
+    """Equal words reach the entities once, with their first place."""
+    texts = ["beta alpha beta  Beta", None, "alpha gamma beta", ""]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    given, entities = [], resolve.entities
+    monkeypatch.setattr(resolve, "entities", lambda nodes, *a: given.append(nodes) or entities(nodes, *a))
+    got = {(r["rep"], r["label"]) for r in catalogue.queries()["fuzzy_merge"](spark, str(tmp_path)).collect()}
+    assert got == {("beta", "beta"), ("alpha", "alpha"), ("gamma", "gamma"), ("", "")}
+    assert sorted((r["label"], r["graph_ord"], r["node_ord"]) for r in given[0].collect()) == [("", 3, 0), ("Beta", 0, 3), ("alpha", 0, 1), ("beta", 0, 0), ("gamma", 2, 1)]
+
+
+@pytest.mark.parametrize("threshold", [70, 90])
+def test_similar_pairs_are_all_pairs_of_their_ratio(spark, threshold):
+    """Labels of all lengths and scripts, with edits of each; scopes stay apart."""
+    r = random.Random(threshold)
+    labels = ["", "aa", "aaaaaaaaaaa"] + ["".join(r.choice("ab\u00e9\U0001f600") for _ in range(n)) for n in (*range(1, 16), 20, 33, 60, 130)]
+    for w in labels[3:]:
+        for _ in range(2):
+            at = r.randrange(len(w))
+            labels.append(w[:at] + r.choice(["", "x", "\u00e9b"]) + w[at + r.randrange(2) :])
+    labels = list(dict.fromkeys(labels))
+    rows = [(f"s{i % 2}" if i % 5 == 0 else "s", w, i) for i, w in enumerate(labels)]
+    got = resolve.similar_pairs(spark.createDataFrame(rows, "scope string, norm string, ord long"), threshold).collect()
+    want = {(s, a, i, b, j) for s, a, i in rows for t, b, j in rows if s == t and i < j and a and b and indel_ratio(a, b) >= threshold}
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
 def test_two_levels(spark):
     n, e = frames(spark, [(g, i, f"{g}{i}", w, "T", {}, "") for g, ws in enumerate([["Alpha", "Beta"], ["Alpha"], ["Beta"]]) for i, w in enumerate(ws)], [(0, 0, "00", "01", "R", "", {}, "")])
     nodes, edges = resolve.merge_two_levels(n.withColumn("doc_ord", F.col("graph_ord")), e.withColumn("doc_ord", F.col("graph_ord")), 101)
