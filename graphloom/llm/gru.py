@@ -32,10 +32,6 @@ def start(counts: np.ndarray, first: np.ndarray, hidden: int, seed: int = 1) ->
     return {"x": f(units, 3 * hidden, scale=0.3), "h": f(hidden, 3 * hidden, scale=hidden**-0.5), "c": f(len(first), hidden, scale=0.02), "cb": np.log(by_class).astype(np.float32), "w": f(units, hidden, scale=0.02), "wb": np.log(p / np.repeat(by_class, np.diff(np.r_[first, units]))).astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
-
-
 def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
     """Texts for each of at most ``n`` lanes, the longest first to the emptiest lane; lanes by falling length."""
     heap = [(0, i) for i in range(min(n, len(lengths)))]
@@ -66,19 +62,37 @@ def windows(texts: list[np.ndarray], n_lanes: int, width: int, end: int):
         yield np.where(real, flat[index], end), np.where(real, which[index], -1)
 
 
-def _forward(w: Weights, units: np.ndarray, h: np.ndarray, end: int, tape: list | None) -> tuple[np.ndarray, np.ndarray]:
+class _Tape:
+    """What steps leave for the way back, (steps, lanes, ...), in memory that windows use again: fresh pages cost more than what is written to them."""
+
+    def __init__(self, steps: int, lanes: int, size: int):
+        self.gates, self.new, self.given, self.own = (np.empty(steps * lanes * k * size, np.float32) for k in (2, 1, 3, 3))
+        self.size = size
+
+    def views(self, steps: int, lanes: int) -> list[np.ndarray]:
+        """(gates, new states, errors of what units give, what states give) of a window."""
+        return [x[: steps * lanes * k * self.size].reshape(steps, lanes, k * self.size) for x, k in ((self.gates, 2), (self.new, 1), (self.given, 3), (self.own, 3))]
+
+
+def _forward(w: Weights, units: np.ndarray, h: np.ndarray, end: int, tape: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """States before each step, (steps, lanes, hidden), and the state after the last."""
     size = h.shape[1]
     states = np.empty((*units.shape, size), np.float32)
     given = w["x"][units]
+    gates, new, _, own = tape or _Tape(1, len(h), size).views(1, len(h))
     for t in range(len(units)):
         states[t] = h
-        a = h @ w["h"]
-        zr = _sigmoid(given[t, :, : 2 * size] + a[:, : 2 * size])
+        zr, c, a = (x[t if tape else 0] for x in (gates, new, own))
+        np.matmul(h, w["h"], out=a)
+        np.add(given[t, :, : 2 * size], a[:, : 2 * size], out=zr)
+        zr *= np.float32(0.5)
+        np.tanh(zr, out=zr)
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
         z, r = zr[:, :size], zr[:, size:]
-        c = np.tanh(given[t, :, 2 * size :] + r * a[:, 2 * size :])
-        if tape is not None:
-            tape.append((z, r, c, a[:, 2 * size :]))
+        np.multiply(r, a[:, 2 * size :], out=c)
+        c += given[t, :, 2 * size :]
+        np.tanh(c, out=c)
         h = c + z * (h - c)
         h[units[t] == end] = 0
     return states, h
@@ -105,13 +119,13 @@ def _most(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.abs(weights).sum(axis=1) + np.abs(bias)
 
 
-def _softmax(logit: np.ndarray, own: np.ndarray, most: float, learn: bool) -> np.ndarray | None:
-    """Log-probability of ``own`` in each row; with ``learn`` leaves the errors in ``logit`` instead."""
+def _softmax(logit: np.ndarray, own: np.ndarray, most: float, learn: bool) -> np.ndarray:
+    """Log-probability of ``own`` in each row; with ``learn`` the factors by which rows of ``logit`` become the errors."""
     at = np.arange(len(own))
     if learn:
-        logit *= (1 / _exp(logit, most))[:, None]
-        logit[at, own] -= 1
-        return None
+        total = _exp(logit, most)
+        logit[at, own] -= total
+        return 1 / total
     if most > 60:
         logit -= logit.max(axis=1, keepdims=True)
         most = 0
@@ -120,34 +134,45 @@ def _softmax(logit: np.ndarray, own: np.ndarray, most: float, learn: bool) -> np
 
 
 def _outputs(w: Weights, states: np.ndarray, units: np.ndarray, first: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, Weights]:
-    """Natural log-likelihood of each unit given its state or, with ``learn``, the errors of the states and the gradients."""
+    """Natural log-likelihood of each unit given its state or, with ``learn``, the errors of the states and the gradients.
+
+    Biases are weights of a last state that is one; factors of rows go to the narrow side of each product.
+    """
     last = np.r_[first[1:], len(w["wb"])]
     class_of = np.repeat(np.arange(len(first)), last - first)
-    cls = class_of[units]
-    logit = states @ w["c"].T
-    logit += w["cb"]
+    cls, size = class_of[units], states.shape[1]
+    states = np.concatenate([states, np.ones((len(states), 1), np.float32)], axis=1)
+    by_class, by_unit = np.c_[w["c"], w["cb"]], np.c_[w["w"], w["wb"]]
+    logit = states @ by_class.T
     got = _softmax(logit, cls, float(_most(w["c"], w["cb"]).max()), learn)
     back, grads = states, {}
     if learn:
-        grads = {"c": logit.T @ states, "cb": logit.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-        back = logit @ w["c"]
+        factor = got[:, None]
+        both = logit.T @ (states * factor)
+        grads = {"c": both[:, :size], "cb": both[:, size], "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
+        back = (logit @ w["c"]) * factor
+    # rows by class: each class is one piece of them
     order = _order(cls, len(first))
     edges = np.r_[0, np.cumsum(np.bincount(cls, minlength=len(first)))]
     most = np.maximum.reduceat(_most(w["w"], w["wb"]), first)
+    states, inner = states[order], units[order] - first[cls[order]]
+    more = np.zeros((len(order), size) if learn else len(order), np.float32)
     for k in range(len(first)):
-        who = order[edges[k] : edges[k + 1]]
+        rows = slice(int(edges[k]), int(edges[k + 1]))
         a, b = int(first[k]), int(last[k])
-        if not len(who) or b - a == 1:
+        s = states[rows]
+        if not len(s) or b - a == 1:
             continue
-        s = states[who]
-        logit = s @ w["w"][a:b].T
-        logit += w["wb"][a:b]
-        more = _softmax(logit, units[who] - a, float(most[k]), learn)
+        logit = s @ by_unit[a:b].T
+        found = _softmax(logit, inner[rows], float(most[k]), learn)
         if learn:
-            grads["w"][a:b], grads["wb"][a:b] = logit.T @ s, logit.sum(axis=0)
-            back[who] += logit @ w["w"][a:b]
+            factor = found[:, None]
+            both = logit.T @ (s * factor)
+            grads["w"][a:b], grads["wb"][a:b] = both[:, :size], both[:, size]
+            np.multiply(logit @ w["w"][a:b], factor, out=more[rows])
         else:
-            got[who] += more
+            more[rows] = found
+    (back if learn else got)[order] += more
     return got, back, grads
 
 
@@ -168,20 +193,21 @@ def train(w: Weights, first: np.ndarray, texts: list[np.ndarray], end: int, memo
     """One pass over ``texts`` with Adagrad; returns new weights and the sums of squares."""
     w = {k: v.copy() for k, v in w.items()}
     memory = {k: np.full_like(v, 1e-4) for k, v in w.items()} if memory is None else memory
-    size, h = len(w["h"]), None
+    size, h, kept = len(w["h"]), None, None
     for units, text in windows(texts, n_lanes, width, end):
         h = np.zeros((units.shape[1], size), np.float32) if h is None else h[: units.shape[1]]
-        tape: list = []
+        # the first window has the most lanes and steps
+        kept = kept or _Tape(*units.shape, size)
+        tape = gates, new, given, own = kept.views(*units.shape)
         states, after = _forward(w, units, h, end, tape)
         real = text.ravel() >= 0
         _, back, grads = _outputs(w, states.reshape(-1, size)[real], units.ravel()[real], first, True)
         errors = np.zeros((units.size, size), np.float32)
         errors[real] = back
         errors = errors.reshape(states.shape)
-        given = np.empty((*units.shape, 3 * size), np.float32)
         dh, grad_h = np.zeros_like(h), np.zeros_like(w["h"])
         for t in reversed(range(len(units))):
-            z, r, c, a = tape[t]
+            z, r, c, a = gates[t, :, :size], gates[t, :, size:], new[t], own[t, :, 2 * size :]
             dh[units[t] == end] = 0
             dn = dh * (1 - z) * (1 - c * c)
             dz, dr = dh * (states[t] - c) * z * (1 - z), dn * a * r * (1 - r)

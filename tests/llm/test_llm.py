@@ -480,3 +480,23 @@ def test_pipeline_stages(spark, docs, library):
 
 def test_queries_are_named_for_their_operators():
     assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 14))
+
+
+def test_training_reuses_one_tape(monkeypatch):
+    """A pass over many windows, fewer lanes at its end, takes memory for steps once and comes to what fresh memory gives."""
+    import numpy as np
+
+    from graphloom.llm import gru
+
+    r = np.random.default_rng(3)
+    counts = np.sort(r.integers(1, 500, 60))[::-1].astype(float)
+    first = gru.classes(counts, 6)
+    texts = [np.r_[r.integers(0, 60, n), 7] for n in r.integers(1, 90, 40)]
+    made, tape = [], gru._Tape
+    monkeypatch.setattr(gru, "_Tape", lambda *a: made.append(a) or tape(*a))
+    w, _ = gru.train(gru.start(counts, first, 8), first, texts, 7, n_lanes=16)
+    assert made == [(16, 16, 8)]
+    views = tape.views
+    monkeypatch.setattr(tape, "views", lambda self, *a: [np.full_like(x, np.nan) for x in views(self, *a)])
+    again, _ = gru.train(gru.start(counts, first, 8), first, texts, 7, n_lanes=16)
+    assert all(np.array_equal(w[k], again[k]) and np.isfinite(w[k]).all() for k in w)
