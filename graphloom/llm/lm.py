@@ -19,7 +19,6 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,10 +168,11 @@ class _Reader:
         """Codes of all texts end to end, the end token after each, and their lengths."""
         if self.codes.trim():
             self.groups, self.hashes = self.groups[: self.codes.fixed], self.hashes[:0]
-        parts = [[*t.lower().split(), END] for t in texts]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         get = self.codes.__getitem__
-        return np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(lengths.sum())), lengths
+        # text by text: a text's words are looked up while they are in the processor's cache
+        parts = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in ([*t.lower().split(), END] for t in texts)]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate([np.zeros(0, np.int64), *parts]), lengths
 
     def units(self, codes: np.ndarray) -> np.ndarray:
         v = self.v

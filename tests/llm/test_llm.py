@@ -500,3 +500,41 @@ def test_training_reuses_one_tape(monkeypatch):
     monkeypatch.setattr(tape, "views", lambda self, *a: [np.full_like(x, np.nan) for x in views(self, *a)])
     again, _ = gru.train(gru.start(counts, first, 8), first, texts, 7, n_lanes=16)
     assert all(np.array_equal(w[k], again[k]) and np.isfinite(w[k]).all() for k in w)
+
+
+def test_scoring_takes_few_windows_for_long_texts(monkeypatch):
+    """A long text goes on in windows of as many places as those of all lanes, and scores as in narrow ones."""
+    import numpy as np
+
+    from graphloom.llm import gru
+
+    r = np.random.default_rng(4)
+    counts = np.sort(r.integers(1, 500, 40))[::-1].astype(float)
+    first = gru.classes(counts, 5)
+    w = gru.start(counts, first, 8)
+    texts = [np.r_[np.where(u == 7, 6, u), 7] for u in (r.integers(0, 40, n) for n in [5000, 900, *r.integers(0, 60, 300)])]
+    narrow = np.concatenate([gru.score(w, first, [t], 7, n_lanes=1, width=32) for t in texts])
+    calls, forward = [], gru._forward
+    monkeypatch.setattr(gru, "_forward", lambda w, units, *a: calls.append(units.shape) or forward(w, units, *a))
+    assert np.allclose(gru.score(w, first, texts, 7, n_lanes=64, width=32), narrow, rtol=1e-5)
+    assert len(calls) < 30 and max(a * b for a, b in calls) <= 64 * 32
+    # every place lies in one window, whatever rows allow
+    for rows in (0, 50, 2048, 10**6):
+        got = [(units[real], text[real]) for units, text in gru.windows(texts, 16, 8, 7, rows) for real in [text >= 0]]
+        which, units = np.concatenate([t for _, t in got]), np.concatenate([u for u, _ in got])
+        assert all(np.array_equal(np.sort(units[which == i]), np.sort(t)) for i, t in enumerate(texts))
+
+
+def test_gradients_of_units_are_summed_whole():
+    """Sums by unit are those of numpy's slow way: units with one row, with few and with more than are added at once."""
+    import numpy as np
+
+    from graphloom.llm import gru
+
+    r = np.random.default_rng(5)
+    for numbers, below in ((np.r_[np.zeros(500, int), r.integers(0, 70, 900), 99], 100), (np.array([3]), 4), (np.full(24, 2), 3), (np.full(25, 2), 3), (np.full(1, 70_000), 70_001)):
+        rows = r.normal(size=(len(numbers), 6)).astype(np.float32)
+        want = np.zeros((below, 6))
+        np.add.at(want, numbers, rows)
+        found, got = gru._sums(rows, numbers, below)
+        assert sorted(found.tolist()) == sorted(set(numbers.tolist())) and np.allclose(got, want[found], atol=1e-4)
