@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .words import SPACES, Numbering, refuse, slices, with_bytes
 
 WINDOW = 8
+#: Bytes of texts that share a suffix array, whose numbers take many times as much memory in every worker.
+SLICE = 1 << 19
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -223,7 +225,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most_bytes=SLICE):
             columns = judge(b.column(1).to_pylist(), limits)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=[id_col, *names])
 
@@ -233,15 +235,29 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, {COLUMNS}")
 
 
+def _good(batches: Iterator[pa.RecordBatch], place: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The rows whose field number ``place``, the text, passes."""
+
+    def beside() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(0).field(place)
+            # a view of the row's own bytes
+            yield pa.RecordBatch.from_arrays([b.column(0), text.cast(pa.binary()) if pa.types.is_null(text.type) else text], names=["_row", "_b"])
+
+    for b in slices(beside(), most_bytes=SLICE):
+        texts = [t or b"" for t in b.column("_b").cast(pa.binary()).to_pylist()]
+        yield b.filter(pa.array(judge(texts, limits)[6])).drop_columns(["_b"])
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` whose text passes; all columns stay as they are.
 
     Null, empty and blank texts do not pass; repeated rows are judged one by one; an empty table stays one.
+    The text travels once, within its row.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.filter(pa.array(judge(b.column("_b").to_pylist(), limits)[6])).drop_columns(["_b"])
-
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("_b"))
-    return row.mapInArrow(run, f"_row {row.schema['_row'].dataType.simpleString()}").select("_row.*")
+    names = docs.columns
+    if text_col not in names:  # Spark finds names of another case too
+        names, text_col = [c.lower() for c in names], text_col.lower()
+    place = names.index(text_col)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return row.mapInArrow(lambda it: _good(it, place, limits), f"_row {row.schema['_row'].dataType.simpleString()}").select("_row.*")

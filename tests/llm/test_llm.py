@@ -6,6 +6,7 @@ import itertools
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +223,26 @@ def test_quality_limits_bind_below_the_base_rule():
     assert quality.judge(texts, quality.Limits(max_covered=1.0))[6].tolist() == [True, False, True, True]
 
 
+def test_quality_rules_hold_little_memory(spark, monkeypatch):
+    """A text goes to the worker once, and a batch of 4 MB is judged in parts."""
+    texts = [" ".join(f"w{(i * 131 + k * 7919) % 50021}" for k in range(500)) for i in range(1200)] + [None, "", "so on " * 50]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    caught = []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *rest: caught.append((self, f)) or real(self, f, *rest))
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs, "TEXT").collect()) == list(range(1200))
+    (sent, run), = caught
+    table = sent.toArrow().combine_chunks()
+    size = sum(len(t or "") for t in texts)
+    assert size > 4e6 and table.nbytes < 1.2 * size
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter(table.to_batches()))) == 1200
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_longest_repeats(seed):
     r = random.Random(seed)
