@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACES, Numbering, refuse, slices, with_bytes
+from .words import SLICE, SPACES, Numbering, refuse, slices, with_bytes
 
 WINDOW = 8
-#: Bytes of texts that share a suffix array, whose numbers take many times as much memory in every worker.
-SLICE = 1 << 19
 SYMBOLS = b"#*$%&|<>"
 
 

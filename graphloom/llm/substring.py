@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import kept
 from .windows import Ranges, runs, word_hashes
-from .words import Numbering, flat_words, refuse, release, slices
+from .words import SLICE, Numbering, flat_words, refuse, release, slices
 
 #: Words that a shard's index holds before the next anchor opens another.
 SHARD_WORDS = 1 << 19
@@ -191,7 +191,7 @@ def _search(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 # ------------------------------------------------------------ documents
 def _anchors(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    for b in slices(batches, most_bytes=SLICE):
         words, lengths = flat_words(b.column("_b").to_pylist())
         _, _, anchor, doc = runs(Ranges(word_hashes(words)), lengths, size, gram)
         order = np.lexsort((anchor, doc))
@@ -204,7 +204,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterato
 def _runs(batches: Iterator[pa.RecordBatch], size: int, gram: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Runs with wanted anchors; ``texts``: their words, once per task, else where they stand."""
     seen: set[tuple[int, int]] = set()
-    for b in slices(batches):
+    for b in slices(batches, most_bytes=SLICE):
         words, lengths = flat_words(b.column("_b").to_pylist())
         ranges = Ranges(word_hashes(words))
         start, count, anchor, doc = runs(ranges, lengths, size, gram)

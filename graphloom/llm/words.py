@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\r\x0b\x0c"
+#: Bytes of a slice for methods whose arrays take many times as much memory in every worker.
+SLICE = 1 << 19
 
 
 def with_bytes(df: DataFrame, text_col: str, *others: str) -> DataFrame:
