@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -97,10 +98,10 @@ def _variants(sums: np.ndarray, leave: int) -> np.ndarray:
     return out
 
 
-def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, int, bool]], list[tuple[int, int, int, int]]]:
     """What blocks labels of ``m`` characters as the shorter or the longer of a pair.
 
-    (n, m, characters left out) of pairs of lengths, and (n, number, length, start) of pieces.
+    (n, m, characters left out, whether the shorter one stays whole) of pairs of lengths, and (n, number, length, start) of pieces.
     """
     by_variants, by_pieces = [], []
     if not longer:
@@ -112,8 +113,8 @@ def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, in
         leave = deletions(*pair, threshold)
         if leave is None:
             by_segments.add(pair[0])
-        else:
-            by_variants.append((*pair, leave[longer]))
+        elif any(leave):  # else only equal labels are partners
+            by_variants.append((*pair, leave[longer], not leave[0]))
     for n in sorted(by_segments):
         shift = partner_lengths(n, threshold)[1] if longer else 0
         for j, (a, k) in enumerate(segments(n, threshold)):
@@ -121,133 +122,189 @@ def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, in
     return by_variants, by_pieces
 
 
-def _hashes(labels: list[str], m: int, threshold: int, longer: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in ``labels``, block keys): equal keys for equal blocks.  Blocks that share a key by chance only add candidates."""
+#: The most bits of the table of labels' hashes (32 MB), and its bits for each label.
+TABLE_BITS, BITS_EACH = 1 << 28, 64
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in a table of ``bits``, a power of two."""
+    return tuple((x & np.uint64(bits - 1)).astype(np.int64) for x in (_mixed(hashes), _mixed(hashes + np.uint64(1))))
+
+
+def _known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a label may have this hash: no label that is there is denied."""
+    one, two = _places(hashes, 8 * len(table))
+    at = np.flatnonzero(table[one >> 3] >> (one & 7).astype(np.uint8) & 1)
+    out = np.zeros(len(hashes), bool)
+    out[at] = (table[two[at] >> 3] >> (two[at] & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _hashes(labels: list[str], scope: np.ndarray, m: int, threshold: int, longer: bool, table: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``labels``, block keys): equal keys for equal blocks.  Blocks that share a key by chance only add candidates.
+
+    The lowest bit of a key tells blocks that both labels of a pair are in as the shorter and as the longer one.
+    """
     by_variants, by_pieces = _keys(m, threshold, longer)
-    ways = max([math.comb(m, k) for *_, k in by_variants] + [min(len(by_pieces), AT_ONCE), 1])
+    ways = max([math.comb(m, k) for *_, k, _ in by_variants] + [min(len(by_pieces), AT_ONCE), 1])
     rows = max(1, AT_ONCE // max(ways, m + 1))
-    for at in range(0, len(labels), rows):
-        sums = _sums(labels[at : at + rows], m)
+    low = np.uint64(1)
+    for at in range(0, len(labels), rows) if by_variants or by_pieces else []:
+        sums, own = _sums(labels[at : at + rows], m), scope[at : at + rows]
         made: dict[int, np.ndarray] = {}
-        for n, o, k in by_variants:
+        for n, o, k, whole in by_variants:
             if k not in made:
-                made[k] = np.sort(_variants(sums, k), axis=1)
+                made[k] = _variants(sums, k)
             found = made[k]
-            fresh = np.ones(found.shape, bool)
-            fresh[:, 1:] = found[:, 1:] != found[:, :-1]
-            row, col = np.nonzero(fresh)
-            yield at + row, _mixed(found[row, col] + _mixed(np.uint64([n << 32 | o]))[0])
+            if whole and table is not None:
+                # what is left has to be a label
+                row, col = np.divmod(np.flatnonzero(_known(table, (found ^ own[:, None]).ravel())), found.shape[1])
+                found = found[row, col]
+            else:
+                found = np.sort(found, axis=1)
+                fresh = np.ones(found.shape, bool)
+                fresh[:, 1:] = found[:, 1:] != found[:, :-1]
+                row, col = np.nonzero(fresh)
+                found = found[row, col]
+            keys = _mixed(found + _mixed(np.uint64([n << 32 | o]))[0]) ^ own[row]
+            yield at + row, keys | low if n == o else keys & ~low
         back = _powers(BACK, m)
         for i in range(0, len(by_pieces), AT_ONCE // rows):
             n, j, k, p = np.array(by_pieces[i : i + AT_ONCE // rows], np.int64).T
             found = (sums[:, p + k] - sums[:, p]) * back[p]
             # the upper bit tells pieces from variants
-            keys = _mixed(found + _mixed((n << 32 | j).astype(np.uint64) | np.uint64(1 << 63)))
-            yield at + np.repeat(np.arange(len(sums)), len(p)), keys.ravel()
+            keys = _mixed(found + _mixed((n << 32 | j).astype(np.uint64) | np.uint64(1 << 63))) ^ own[:, None]
+            yield at + np.repeat(np.arange(len(sums)), len(p)), keys.ravel() & ~low
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, longer: bool) -> Iterator[pa.RecordBatch]:
-    """(id, block) of (id, scope as a number, label)."""
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], int]]:
+    """(ids, scopes, labels, length) of the labels of a length in (id, scope as a number, label)."""
     for b in batches:
         ids, scope = (b.column(i).to_numpy() for i in (0, 1))
         labels = b.column(2).to_pylist()
         lengths = np.fromiter(map(len, labels), np.int64, len(labels))
         order = np.argsort(lengths, kind="stable")
         for who in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
-            for row, key in _hashes([labels[i] for i in who.tolist()], int(lengths[who[0]]), threshold, longer):
-                at = who[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array((key ^ scope[at].view(np.uint64)).view(np.int64))], names=["id", "block"])
+            yield ids[who], scope[who].view(np.uint64), [labels[i] for i in who.tolist()], int(lengths[who[0]])
 
 
-def similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
-    """(scope, norm, ord, other, other_ord) with ord < other_ord and a ratio of at least ``threshold``.
+def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, longer: bool, table=None) -> Iterator[pa.RecordBatch]:
+    """(id, block) of (id, scope as a number, label); ``table``: a broadcast table of labels."""
+    for ids, scope, labels, m in _by_length(batches):
+        for row, key in _hashes(labels, scope, m, threshold, longer, table and table.value):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key.view(np.int64))], names=["id", "block"])
+
+
+def _table(rows: DataFrame):
+    """A broadcast table of bits that the hashes of labels set; its size has a bound, beyond which it denies less."""
+    spark = rows.sparkSession
+    bits = min(TABLE_BITS, 1 << max(15, (BITS_EACH * rows.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, scope, labels, m in _by_length(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(_sums(labels, m)[:, m] ^ scope, bits)) + 1)], names=["at"])
+
+    found = rows.mapInArrow(places, "at long").groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    table = np.zeros(bits // 8, np.uint8)
+    for k, part in found.collect():
+        table[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+    return spark.sparkContext.broadcast(table)
+
+
+def placed(labels: DataFrame) -> DataFrame:
+    """(scope, norm, ord) with ``_id``, the number in order of first sight."""
+    return numbered(labels.select("scope", "norm", F.col("ord").alias("_ord")), ["_ord", "scope", "norm"]).withColumnsRenamed({"ord": "_id", "_ord": "ord"})
+
+
+def _similar(base: DataFrame, threshold: int) -> DataFrame:
+    """(u, v) with u < v: numbers of ``placed`` labels of a scope with a ratio of at least ``threshold``.
 
     Blocks are lossless.  Short partners become equal if a few characters are left out of
-    each, so an equi-join on what is left finds these pairs and no others.  Of long labels,
+    each, so an equi-join on what is left finds these pairs and no others.  Where the shorter
+    one stays whole, what is left of the longer one is only kept if it can be a label.  Of long labels,
     few edits leave one segment whole, at most that many characters away, so an equi-join on
     segments finds every pair.  Blocks are joined as numbers, of label numbers alone.
     """
-    base = materialize(labels.select("scope", "norm", "ord").withColumn("_id", F.monotonically_increasing_id()))
     rows = base.select("_id", F.xxhash64("scope").alias("_s"), "norm")
+    table = _table(rows)
     index = rows.mapInArrow(lambda it: _blocks(it, threshold, False), "id long, block long")
-    probes = rows.mapInArrow(lambda it: _blocks(it, threshold, True), "id long, block long").withColumnRenamed("id", "other")
-    pairs = index.join(probes, "block").where("id <> other").select(F.least("id", "other").alias("_id"), F.greatest("id", "other").alias("_other")).distinct()
-    ends = base.withColumnsRenamed({"scope": "_scope", "norm": "other", "ord": "other_ord", "_id": "_other"})
-    pairs = pairs.join(base, "_id").join(ends, "_other").where("scope = _scope")
-    flip = F.col("ord") > F.col("other_ord")
-    pairs = pairs.select("scope", F.when(flip, F.col("other")).otherwise(F.col("norm")).alias("norm"), F.least("ord", "other_ord").alias("ord"), F.when(flip, F.col("norm")).otherwise(F.col("other")).alias("other"), F.greatest("ord", "other_ord").alias("other_ord"))
-    return pairs.where(fuzzy_ratio("norm", "other") >= threshold)
+    probes = rows.mapInArrow(lambda it: _blocks(it, threshold, True, table), "id long, block long").withColumnRenamed("id", "other")
+    pairs = index.join(probes, "block").where("id < other OR id > other AND block & 1 = 0").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+    one, two = (base.select(F.col("_id").alias(x), F.col("scope").alias(f"_s{x}"), F.col("norm").alias(f"_n{x}")) for x in "uv")
+    return pairs.join(one, "u").join(two, "v").where("_su = _sv").where(fuzzy_ratio("_nu", "_nv") >= threshold).select("u", "v")
+
+
+def similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
+    """(scope, norm, ord, other, other_ord) with ord < other_ord and a ratio of at least ``threshold``."""
+    base = placed(labels)
+    ends = base.select(F.col("_id").alias("v"), F.col("norm").alias("other"), F.col("ord").alias("other_ord"))
+    return _similar(base, threshold).join(base.withColumnRenamed("_id", "u"), "u").join(ends, "v").select("scope", "norm", "ord", "other", "other_ord")
 
 
-#: Labels of a component up to which one task decides it.
+#: Labels of a component, or pairs in all, up to which one task decides them.
 COMPONENT = 50_000
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(scope, norm, rep) of the later labels of whole components: (root, scope, label, earlier neighbour) in order of first sight."""
-    rep: dict[tuple[str, str], str] = {}
-    root, now, found = None, None, None
-    out: list[tuple] = []
+    """The entities among the earlier labels of whole components: (root, v, u), in this order."""
+    root, lost, earlier = None, set(), set()
     for b in batches:
-        for component, scope, label, earlier in zip(*(c.to_pylist() for c in b.columns)):
-            if (component, scope, label) != now:
-                if now:
-                    rep[now[1:]] = found or now[2]
-                    out.append((*now[1:], found or now[2]))
-                if component != root:
-                    root, rep = component, {}
-                now, found = (component, scope, label), None
-            # the earliest neighbour that is an entity of its own
-            if found is None and rep.get((scope, earlier), earlier) == earlier:
-                found = earlier
-        if len(out) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["scope", "norm", "rep"])
-            out.clear()
-    if now:
-        out.append((*now[1:], found or now[2]))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["scope", "norm", "rep"])
+        for component, v, u in zip(*(c.to_pylist() for c in b.columns)):
+            if component != root:
+                yield pa.RecordBatch.from_arrays([pa.array(list(earlier - lost), pa.int64())], names=["u"])
+                root, lost, earlier = component, set(), set()
+            earlier.add(u)
+            if u not in lost:
+                lost.add(v)
+    yield pa.RecordBatch.from_arrays([pa.array(list(earlier - lost), pa.int64())], names=["u"])
 
 
-def representatives(labels: DataFrame, pairs: DataFrame, most: int = COMPONENT) -> DataFrame:
-    """(scope, norm, rep): the entity of each label.
+def _decided(pairs: DataFrame) -> DataFrame:
+    """Entities (u) of (root, u, v)."""
+    return materialize(pairs.sortWithinPartitions("root", "v", "u").select("root", "v", "u").mapInArrow(_decide, "u long"))
+
+
+def _heads(pairs: DataFrame, most: int) -> DataFrame:
+    """(v, rep): the number of the entity of each label that is none, by pairs (u, v) of similar ones with u < v.
 
-    Labels of a component of the similarity graph are decided within one task, in order of first sight.  Components of more than ``most``
-    labels are decided in rounds over all tasks (``_rounds``).
+    A round over all tasks makes labels without an earlier neighbour entities and takes them and their neighbours out.  Rounds leave few pairs as
+    a rule; up to ``most`` are decided one after the other.  Once a round takes out less than half, components are looked for, and those of up to
+    ``most`` labels are decided within one task each; larger ones go on in rounds.
     """
-    # labels are known by hashes here: two that collide are in one component, which does no harm
-    pairs = materialize(pairs.withColumns({"_u": F.xxhash64("scope", "norm"), "_v": F.xxhash64("scope", "other")}))
-    roots = components(pairs.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
-    placed = pairs.join(roots.withColumnRenamed("node", "_u"), "_u")
-    large = materialize(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
-    some = not large.isEmpty()
-    small = placed.join(large, "root", "left_anti") if some else placed
-    dealt = small.repartition("root").sortWithinPartitions("root", "scope", "other_ord", "other", "ord").select("root", "scope", "other", "norm")
-    found = dealt.mapInArrow(_decide, "scope string, norm string, rep string")
-    if some:
-        found = found.unionByName(_rounds(placed.join(large, "root", "left_semi").select("scope", "norm", "ord", "other", "other_ord")))
-    return labels.select("scope", "norm").join(found, ["scope", "norm"], "left").select("scope", "norm", F.coalesce("rep", "norm").alias("rep"))
-
-
-def _rounds(pairs: DataFrame) -> DataFrame:
-    """(scope, norm, rep) of the later labels of ``pairs``, in rounds that each decide a label once all its earlier neighbours are decided."""
     pairs = materialize(pairs)
-    later = pairs.select("scope", F.col("other").alias("norm")).distinct()
-    fresh = materialize(pairs.select("scope", "norm").distinct().join(later, ["scope", "norm"], "left_anti"))
-    entity, open_ = fresh, pairs
-    while not open_.isEmpty():
-        # labels next to an entity of the last round are none themselves
-        lost = materialize(open_.join(fresh, ["scope", "norm"], "left_semi").select("scope", F.col("other").alias("norm")).distinct())
-        ends = lost.withColumnRenamed("norm", "other")
-        # what is left waits for neighbours that are not decided yet; those of ``lost`` hold nobody back
-        left = materialize(open_.join(ends, ["scope", "other"], "left_anti").join(lost, ["scope", "norm"], "left_anti").join(fresh, ["scope", "norm"], "left_anti"))
-        waiting = open_.select("scope", F.col("other").alias("norm")).distinct().join(lost, ["scope", "norm"], "left_anti")
-        fresh = materialize(waiting.join(left.select("scope", F.col("other").alias("norm")).distinct(), ["scope", "norm"], "left_anti"))
-        entity, open_ = entity.unionByName(fresh), left
-    entity = materialize(entity)
-    best = pairs.join(entity, ["scope", "norm"], "left_semi").groupBy("scope", "other").agg(F.min_by("norm", "ord").alias("rep")).withColumnRenamed("other", "norm")
-    own = entity.withColumn("_own", F.lit(True))
-    return later.join(best, ["scope", "norm"], "left").join(own, ["scope", "norm"], "left").select("scope", "norm", F.when(F.col("_own"), F.col("norm")).otherwise(F.coalesce("rep", "norm")).alias("rep"))
+    heads, open_, before, apart = [], pairs, None, False
+    while (n := open_.count()) > most:
+        if before and 2 * n > before and not apart:
+            apart = True
+            roots = components(open_)
+            large = materialize(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
+            of_roots = materialize(open_.join(roots.withColumnRenamed("node", "u"), "u"))
+            heads.append(_decided(of_roots.join(large, "root", "left_anti").repartition("root")))
+            open_ = materialize(of_roots.join(large, "root", "left_semi").select("u", "v"))
+            continue
+        # of these all earlier neighbours are decided, and none is an entity
+        fresh = materialize(open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti"))
+        lost = materialize(open_.join(fresh, "u", "left_semi").select("v").distinct())
+        heads.append(fresh)
+        before, open_ = n, materialize(open_.join(lost, "v", "left_anti").join(lost.withColumnRenamed("v", "u"), "u", "left_anti").select("u", "v"))
+    if n:
+        heads.append(_decided(open_.withColumn("root", F.lit(0)).coalesce(1)))
+    # the earliest neighbour that is an entity
+    known = reduce(DataFrame.unionByName, heads) if heads else pairs.select("u").limit(0)
+    return pairs.join(known, "u", "left_semi").groupBy("v").agg(F.min("u").alias("rep"))
+
+
+def _named(base: DataFrame, heads: DataFrame) -> DataFrame:
+    """(scope, norm, rep) of ``placed`` labels."""
+    names = heads.join(base.select(F.col("_id").alias("rep"), F.col("norm").alias("_rep")), "rep").select(F.col("v").alias("_id"), "_rep")
+    return base.join(names, "_id", "left").select("scope", "norm", F.coalesce("_rep", "norm").alias("rep"))
+
+
+def representatives(labels: DataFrame, pairs: DataFrame, most: int = COMPONENT) -> DataFrame:
+    """(scope, norm, rep): the entity of each label, by ``similar_pairs``; ``most``: see ``_heads``."""
+    base = placed(labels)
+    u, v = (base.select("scope", F.col("norm").alias(c), F.col("_id").alias(x)) for c, x in (("norm", "u"), ("other", "v")))
+    return _named(base, _heads(pairs.join(u, ["scope", "norm"]).join(v, ["scope", "other"]).select("u", "v"), most))
 
 
 def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = None) -> DataFrame:
@@ -260,9 +317,11 @@ def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = No
     if threshold > 100:
         return cleaned.withColumn("rep", F.col("norm"))
     where = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in scope or []], F.col("type_key"))
-    cleaned = cleaned.withColumn("scope", where)
+    # read for the labels and for what they belong to
+    cleaned = materialize(cleaned.withColumn("scope", where))
     labels = materialize(cleaned.groupBy("scope", "norm").agg(F.min(F.struct("graph_ord", "node_ord")).alias("_first")).select("scope", "norm", (F.col("_first.graph_ord").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("_first.node_ord")).cast("decimal(38,0)").alias("ord")))
-    rep = representatives(labels, similar_pairs(labels, threshold))
+    base = placed(labels)
+    rep = _named(base, _heads(_similar(base, threshold), COMPONENT))
     return cleaned.join(rep, ["scope", "norm"]).drop("scope")
 
 

@@ -90,6 +90,60 @@ def test_fuzzy_merge_combines_equal_words_first(spark, tmp_path, monkeypatch):
     assert sorted((r["label"], r["graph_ord"], r["node_ord"]) for r in given[0].collect()) == [("", 3, 0), ("Beta", 0, 3), ("alpha", 0, 1), ("beta", 0, 0), ("gamma", 2, 1)]
 
 
+def test_fuzzy_merge_reads_the_texts_once_and_looks_for_no_components(spark, tmp_path, monkeypatch):
+    """Texts are read for the entities alone; few open pairs are decided without their components."""
+    texts = ["alphabetical alphabetican order", None, " beta\x0bgamma\u00a0x\t", "alphabeticam beta"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(resolve, "components", lambda edges: pytest.fail("components of a few pairs"))
+    got = catalogue.queries()["fuzzy_merge"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {("alphabetical", "alphabetical"), ("order", "order"), ("", ""), ("beta", "beta"), ("gamma x", "gamma\u00a0x")}
+    assert "documents.parquet" not in got._jdf.queryExecution().toString()
+
+
+def test_first_words_are_those_of_spark(spark, monkeypatch):
+    """Each word where it stands first, also of texts with the same number, in slices of any size."""
+    rows = [(2, " a b\x1cc  a "), (1, "b a"), (2, "x y z b"), (None, "q\na\r\x0b\x0cq"), (5, None), (3, ""), (1, "z\u2003y a \u00e9\u00e9"), (7, " ")]
+    t = spark.createDataFrame(rows, "doc_ord long, text string").coalesce(1)
+    at = F.min(F.struct("doc_ord", "pos"))
+    want = {tuple(r) for r in t.select("doc_ord", F.posexplode(F.split("text", r"\s+")).alias("pos", "label")).groupBy("label").agg(at.alias("at")).select("label", "at.*").collect()}
+    batch = t.toArrow().combine_chunks().to_batches()
+    for size in (4, 1 << 24):
+        monkeypatch.setattr(catalogue, "WORDS_AT_ONCE", size)
+        found = [r for b in catalogue._first_words(iter(batch)) for r in b.to_pylist()]
+        got = spark.createDataFrame([(r["doc_ord"], r["pos"], r["label"]) for r in found], "doc_ord long, pos int, label string").groupBy("label").agg(at.alias("at")).select("label", "at.*")
+        assert {tuple(r) for r in got.collect()} == want
+    assert len(found) == len(want)
+
+
+def test_blocks_of_longer_labels_are_few(spark):
+    """What is left of a label by leaving characters out makes a block only where it can be a label; all pairs are found."""
+    r = random.Random(3)
+    labels = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in range(11, 15) for _ in range(50)]
+    labels += [w[:3] + w[5:] for w in labels[50:60]]
+    rows = spark.createDataFrame([(i, 1, w) for i, w in enumerate(labels)], "_id long, _s long, norm string")
+    table = resolve._table(rows)
+    whole = sum(len(b) for b in resolve._blocks(iter(rows.toArrow().to_batches()), 90, True, table))
+    assert whole < 20 * len(labels) < 60 * len(labels) < sum(len(b) for b in resolve._blocks(iter(rows.toArrow().to_batches()), 90, True))
+    got = resolve.similar_pairs(spark.createDataFrame([("s", w, i) for i, w in enumerate(labels)], "scope string, norm string, ord long"), 90)
+    assert {(x["norm"], x["other"]) for x in got.collect()} == {(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :] if indel_ratio(a, b) >= 90}
+
+
+@pytest.mark.parametrize("most", [0, 9, 20, 1000])
+def test_entities_of_chains_and_of_dense_pairs(spark, most):
+    """Rounds, components in one task each and all in one task come to the sequential result."""
+    r = random.Random(most)
+    chains = [[(k * 100 + i, k * 100 + i + 1) for i in range(n)] for k, n in enumerate([8] * 12 + [14])]
+    dense = {tuple(sorted(r.sample(range(5000, 5040), 2))) for _ in range(150)}
+    pairs = sorted({*dense, *(p for c in chains for p in c)}, key=lambda p: p[::-1])
+    near = {}
+    for u, v in pairs:
+        near.setdefault(v, []).append(u)
+    want = {}
+    for v in sorted(near):
+        want |= {v: min(heads)} if (heads := [u for u in near[v] if u not in want]) else {}
+    assert {tuple(x) for x in resolve._heads(spark.createDataFrame(pairs, "u long, v long"), most).collect()} == set(want.items())
+
+
 @pytest.mark.parametrize("threshold", [70, 90])
 def test_similar_pairs_are_all_pairs_of_their_ratio(spark, threshold):
     """Labels of all lengths and scripts, with edits of each; scopes stay apart."""
