@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,8 +27,10 @@ from .materialize import materialize
 from .numbering import numbered
 
 
-#: Ways to leave characters out of a label up to which all are tried.
-VARIANTS = 2_000
+#: Ways to leave characters out of the shorter and of the longer label of a pair up to which all are tried.
+VARIANTS, TRIED = 2_000, 30_000
+#: Length of the shorter label from which what is left of the longer one is looked up in the table of labels before it makes a block.
+LONG = 15
 
 
 def clean_nodes(nodes: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def deletions(n: int, m: int, threshold: int) -> tuple[int, int] | None:
     edits = (n + m) * (100 - threshold) // 100
     less = (edits - (m - n)) // 2
     more = less + m - n
-    return (less, more) if max(math.comb(n, less), math.comb(m, more)) <= VARIANTS else None
+    known = not less or n >= LONG
+    return (less, more) if math.comb(n, less) <= VARIANTS and math.comb(m, more) <= (TRIED if known else VARIANTS) else None
 
 
 #: An odd multiplier of hashes of strings, and its inverse modulo 2**64.
@@ -85,10 +88,16 @@ def _sums(labels: list[str], m: int) -> np.ndarray:
     return out
 
 
+@lru_cache(8)
+def _ways(m: int, leave: int) -> np.ndarray:
+    """The ways to leave ``leave`` of ``m`` characters out."""
+    return np.array(list(combinations(range(m), leave)), np.int64).reshape(math.comb(m, leave), leave)
+
+
 def _variants(sums: np.ndarray, leave: int) -> np.ndarray:
     """Hashes of each label without any ``leave`` of its characters, (labels, ways)."""
     m = sums.shape[1] - 1
-    gone = np.array(list(combinations(range(m), leave)), np.int64).reshape(math.comb(m, leave), leave)
+    gone = _ways(m, leave)
     begin, out = np.zeros(len(gone), np.int64), np.zeros((len(sums), len(gone)), np.uint64)
     for j, back in enumerate(_powers(BACK, leave)):
         end = gone[:, j] if j < leave else np.full(len(gone), m)
@@ -101,7 +110,7 @@ def _variants(sums: np.ndarray, leave: int) -> np.ndarray:
 def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, int, bool]], list[tuple[int, int, int, int]]]:
     """What blocks labels of ``m`` characters as the shorter or the longer of a pair.
 
-    (n, m, characters left out, whether the shorter one stays whole) of pairs of lengths, and (n, number, length, start) of pieces.
+    (n, m, characters left out, whether the table has what is left of the shorter one) of pairs of lengths, and (n, number, length, start) of pieces.
     """
     by_variants, by_pieces = [], []
     if not longer:
@@ -114,7 +123,7 @@ def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, in
         if leave is None:
             by_segments.add(pair[0])
         elif any(leave):  # else only equal labels are partners
-            by_variants.append((*pair, leave[longer], not leave[0]))
+            by_variants.append((*pair, leave[longer], not leave[0] or pair[0] >= LONG))
     for n in sorted(by_segments):
         shift = partner_lengths(n, threshold)[1] if longer else 0
         for j, (a, k) in enumerate(segments(n, threshold)):
@@ -122,8 +131,8 @@ def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, in
     return by_variants, by_pieces
 
 
-#: The most bits of the table of labels' hashes (32 MB), and its bits for each label.
-TABLE_BITS, BITS_EACH = 1 << 28, 64
+#: The most bits of the table of hashes (32 MB), and its bits for each label.
+TABLE_BITS, BITS_EACH = 1 << 28, 256
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +141,7 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether a label may have this hash: no label that is there is denied."""
+    """Whether the table may have these hashes: none that it has is denied."""
     one, two = _places(hashes, 8 * len(table))
     at = np.flatnonzero(table[one >> 3] >> (one & 7).astype(np.uint8) & 1)
     out = np.zeros(len(hashes), bool)
@@ -152,12 +161,12 @@ def _hashes(labels: list[str], scope: np.ndarray, m: int, threshold: int, longer
     for at in range(0, len(labels), rows) if by_variants or by_pieces else []:
         sums, own = _sums(labels[at : at + rows], m), scope[at : at + rows]
         made: dict[int, np.ndarray] = {}
-        for n, o, k, whole in by_variants:
+        for n, o, k, known in by_variants:
             if k not in made:
                 made[k] = _variants(sums, k)
             found = made[k]
-            if whole and table is not None:
-                # what is left has to be a label
+            if longer and known and table is not None:
+                # what is left has to be left of a shorter label, too
                 row, col = np.divmod(np.flatnonzero(_known(table, (found ^ own[:, None]).ravel())), found.shape[1])
                 found = found[row, col]
             else:
@@ -195,14 +204,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, longer: bool, tab
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key.view(np.int64))], names=["id", "block"])
 
 
-def _table(rows: DataFrame):
-    """A broadcast table of bits that the hashes of labels set; its size has a bound, beyond which it denies less."""
+def _table(rows: DataFrame, threshold: int):
+    """A broadcast table of bits that the hashes of labels set, and of what is left of long ones; its size has a bound, beyond which it denies less."""
     spark = rows.sparkSession
     bits = min(TABLE_BITS, 1 << max(15, (BITS_EACH * rows.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, scope, labels, m in _by_length(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(_sums(labels, m)[:, m] ^ scope, bits)) + 1)], names=["at"])
+            leaves = {0} | {k for *_, k, known in _keys(m, threshold, False)[0] if known}
+            rows = max(1, AT_ONCE // max(math.comb(m, k) for k in leaves))
+            for at in range(0, len(labels), rows):
+                sums = _sums(labels[at : at + rows], m)
+                for k in leaves:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(np.unique(_variants(sums, k) ^ scope[at : at + rows, None]), bits)) + 1)], names=["at"])
 
     found = rows.mapInArrow(places, "at long").groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     table = np.zeros(bits // 8, np.uint8)
@@ -221,12 +235,13 @@ def _similar(base: DataFrame, threshold: int) -> DataFrame:
 
     Blocks are lossless.  Short partners become equal if a few characters are left out of
     each, so an equi-join on what is left finds these pairs and no others.  Where the shorter
-    one stays whole, what is left of the longer one is only kept if it can be a label.  Of long labels,
+    one stays whole or is long, what is left of the longer one is only kept if a table says that
+    a shorter one may leave it.  Of labels longer than that,
     few edits leave one segment whole, at most that many characters away, so an equi-join on
     segments finds every pair.  Blocks are joined as numbers, of label numbers alone.
     """
     rows = base.select("_id", F.xxhash64("scope").alias("_s"), "norm")
-    table = _table(rows)
+    table = _table(rows, threshold)
     index = rows.mapInArrow(lambda it: _blocks(it, threshold, False), "id long, block long")
     probes = rows.mapInArrow(lambda it: _blocks(it, threshold, True, table), "id long, block long").withColumnRenamed("id", "other")
     pairs = index.join(probes, "block").where("id < other OR id > other AND block & 1 = 0").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()

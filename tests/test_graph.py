@@ -121,13 +121,31 @@ def test_blocks_of_longer_labels_are_few(spark):
     labels = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in range(11, 15) for _ in range(50)]
     labels += [w[:3] + w[5:] for w in labels[50:60]]
     rows = spark.createDataFrame([(i, 1, w) for i, w in enumerate(labels)], "_id long, _s long, norm string")
-    table = resolve._table(rows)
+    table = resolve._table(rows, 90)
     whole = sum(len(b) for b in resolve._blocks(iter(rows.toArrow().to_batches()), 90, True, table))
     assert whole < 20 * len(labels) < 60 * len(labels) < sum(len(b) for b in resolve._blocks(iter(rows.toArrow().to_batches()), 90, True))
     got = resolve.similar_pairs(spark.createDataFrame([("s", w, i) for i, w in enumerate(labels)], "scope string, norm string, ord long"), 90)
     assert {(x["norm"], x["other"]) for x in got.collect()} == {(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :] if indel_ratio(a, b) >= 90}
 
 
+def test_labels_with_an_end_in_common_are_no_candidates(spark):
+    """Of addresses with one ending only the similar ones meet; pieces of the ending would make all pairs of two lengths."""
+    r = random.Random(8)
+    labels = list(dict.fromkeys("".join(r.choice("abcdefghijklmnop") for _ in range(n)) + f"{r.randrange(100):02}mail{r.randrange(10)}examplecom" for n in range(3, 9) for _ in range(40)))
+    labels += [w[:2] + w[4:] for w in labels[-5:]] + ["x" + w[2:] for w in labels[-20:-10]]
+    rows = spark.createDataFrame([(i, 1, w) for i, w in enumerate(labels)], "_id long, _s long, norm string")
+    table = resolve._table(rows, 90)
+    # a block joins all that are in it
+    sides = [{}, {}]
+    for longer, side in enumerate(sides):
+        for b in resolve._blocks(iter(rows.toArrow().to_batches()), 90, bool(longer), table):
+            for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                side.setdefault(k, set()).add(i)
+    met = {(min(i, j), max(i, j)) for k, x in sides[0].items() for i in x for j in sides[1].get(k, ()) if i != j}
+    want = {(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels)) if indel_ratio(labels[i], labels[j]) >= 90}
+    assert met == want and len(want) >= 15
+
+
 @pytest.mark.parametrize("most", [0, 9, 20, 1000])
 def test_entities_of_chains_and_of_dense_pairs(spark, most):
     """Rounds, components in one task each and all in one task come to the sequential result."""
