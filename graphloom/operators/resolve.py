@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_ratio, normalize_label, strip
@@ -132,7 +132,7 @@ def _keys(m: int, threshold: int, longer: bool) -> tuple[list[tuple[int, int, in
 
 
 #: The most bits of the table of hashes (32 MB), and its bits for each label.
-TABLE_BITS, BITS_EACH = 1 << 28, 256
+TABLE_BITS, BITS_EACH = 1 << 28, 64
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +225,9 @@ def _table(rows: DataFrame, threshold: int):
     return spark.sparkContext.broadcast(table)
 
 
-def placed(labels: DataFrame) -> DataFrame:
-    """(scope, norm, ord) with ``_id``, the number in order of first sight."""
-    return numbered(labels.select("scope", "norm", F.col("ord").alias("_ord")), ["_ord", "scope", "norm"]).withColumnsRenamed({"ord": "_id", "_ord": "ord"})
+def placed(labels: DataFrame, *more: str) -> DataFrame:
+    """(scope, norm, ord) and ``more`` with ``_id``, the number in order of first sight."""
+    return numbered(labels.select("scope", "norm", F.col("ord").alias("_ord"), *more), ["_ord", "scope", "norm"]).withColumnsRenamed({"ord": "_id", "_ord": "ord"})
 
 
 def _similar(base: DataFrame, threshold: int) -> DataFrame:
@@ -287,6 +287,7 @@ def _heads(pairs: DataFrame, most: int) -> DataFrame:
     ``most`` labels are decided within one task each; larger ones go on in rounds.
     """
     pairs = materialize(pairs)
+    _tidy(pairs.sparkSession)
     heads, open_, before, apart = [], pairs, None, False
     while (n := open_.count()) > most:
         if before and 2 * n > before and not apart:
@@ -322,22 +323,36 @@ def representatives(labels: DataFrame, pairs: DataFrame, most: int = COMPONENT)
     return _named(base, _heads(pairs.join(u, ["scope", "norm"]).join(v, ["scope", "other"]).select("u", "v"), most))
 
 
-def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = None) -> DataFrame:
+def _tidy(spark: SparkSession) -> None:
+    """Files of shuffles that nothing needs any more go when the driver collects its garbage, which may be too late for disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def entities(nodes: DataFrame, threshold: int = 90, scope: list[str] | None = None, first: bool = False) -> DataFrame:
     """``nodes`` with ``type_key``, ``norm`` and ``rep``, the normalised label of the entity.
 
     ``scope`` columns keep entities apart (the document, at the first of two
-    levels).  A threshold over 100 merges exact matches only.
+    levels).  A threshold over 100 merges exact matches only.  With ``first`` only
+    (scope, rep, label) of the first node of each entity.
     """
     cleaned = clean_nodes(nodes)
-    if threshold > 100:
+    if threshold > 100 and not first:
         return cleaned.withColumn("rep", F.col("norm"))
     where = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in scope or []], F.col("type_key"))
-    # read for the labels and for what they belong to
-    cleaned = materialize(cleaned.withColumn("scope", where))
-    labels = materialize(cleaned.groupBy("scope", "norm").agg(F.min(F.struct("graph_ord", "node_ord")).alias("_first")).select("scope", "norm", (F.col("_first.graph_ord").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("_first.node_ord")).cast("decimal(38,0)").alias("ord")))
-    base = placed(labels)
-    rep = _named(base, _heads(_similar(base, threshold), COMPONENT))
-    return cleaned.join(rep, ["scope", "norm"]).drop("scope")
+    cleaned = cleaned.withColumn("scope", where)
+    ord_ = (F.col("_first.graph_ord").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("_first.node_ord")).cast("decimal(38,0)")
+    more = ["label"] if first else []
+    labels = materialize(cleaned.groupBy("scope", "norm").agg(F.min(F.struct("graph_ord", "node_ord", *more)).alias("_first")).select("scope", "norm", ord_.alias("ord"), *[f"_first.{c}" for c in more]))
+    if threshold > 100:
+        return labels.select("scope", F.col("norm").alias("rep"), "label")
+    base = placed(labels, *more)
+    del labels
+    _tidy(nodes.sparkSession)
+    heads = _heads(_similar(base, threshold), COMPONENT)
+    if first:
+        # an entity is its earliest label
+        return base.join(heads.select(F.col("v").alias("_id")), "_id", "left_anti").select("scope", F.col("norm").alias("rep"), "label")
+    return cleaned.join(_named(base, heads), ["scope", "norm"]).drop("scope")
 
 
 def merge_nodes(resolved: DataFrame, keys: list[str] | None = None) -> DataFrame:
